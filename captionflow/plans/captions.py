@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import captions as C
 from ..operators import topics as T
+from ..operators import transcript as TR
+from ..functions import scalars as S
+from ..session import stage_table
 
 
 @dataclass
@@ -17,30 +20,39 @@ class CaptionTables:
     cues: DataFrame
     elapsed: str = "total"
     native_lang: bool = False
+    # Stage the tables that feed several branches (fold output, windows, TF-IDF,
+    # segments) as parquet in the checkpoint folder: each branch then scans one
+    # table instead of re-running a copy of the upstream plan, and a lost
+    # executor never re-runs the Python fold.
+    materialize: bool = True
 
     def __post_init__(self):
         self._cache: dict[str, DataFrame] = {}
 
-    def _get(self, name, build):
+    def _get(self, name, build, stage: bool = False):
         if name not in self._cache:
-            self._cache[name] = build()
+            df = build()
+            if stage and self.materialize:
+                df = stage_table(df, name)
+            self._cache[name] = df
         return self._cache[name]
 
     @property
     def tiers(self):
-        return self._get("tiers", lambda: C.video_tiers(self.cues))
+        return self._get("tiers", lambda: C.video_tiers(self.cues), stage=True)
 
     @property
     def cue_windows(self):
-        return self._get("cue_windows", lambda: C.clean_and_window(self.cues, self.tiers, self.elapsed))
+        return self._get("cue_windows", lambda: C.clean_and_window(self.cues, self.tiers, self.elapsed),
+                         stage=True)
 
     @property
     def windows(self):
-        return self._get("windows", lambda: C.window_text(self.cue_windows))
+        return self._get("windows", lambda: C.window_text(self.cue_windows), stage=True)
 
     @property
     def tfidf(self):
-        return self._get("tfidf", lambda: T.tfidf(self.windows, self.native_lang))
+        return self._get("tfidf", lambda: T.tfidf(self.windows, self.native_lang), stage=True)
 
     @property
     def sims(self):
@@ -52,7 +64,7 @@ class CaptionTables:
 
     @property
     def segs(self):
-        return self._get("segs", lambda: T.assign_segments(self.breaks))
+        return self._get("segs", lambda: T.assign_segments(self.breaks), stage=True)
 
     @property
     def vocab_videos(self):
@@ -83,6 +95,29 @@ class CaptionTables:
         return self._get("preview", lambda: T.segment_preview(self.windows, self.segs, native_lang=self.native_lang))
 
 
+    @property
+    def seg_table(self):
+        """``(video_id, seg, start_ms, start_ts, duration, keywords, label, preview)``."""
+        def build():
+            return (self.seg_list.join(self.stats.select("video_id", "seg", "start_ms", "start_ts", "duration"),
+                                       ["video_id", "seg"])
+                    .join(self.keywords, ["video_id", "seg"], "left")
+                    .join(self.preview, ["video_id", "seg"], "left")
+                    .select("video_id", "seg", "start_ms", "start_ts", "duration",
+                            F.coalesce("keywords", F.lit("")).alias("keywords"),
+                            S.topic_label("seg", "keywords").alias("label"),
+                            F.coalesce("preview", F.lit("")).alias("preview")))
+        return self._get("seg_table", build, stage=True)
+
+    def paragraphs(self, terms: dict | None = None):
+        return self._get(f"paragraphs{sorted((terms or {}).items())}",
+                         lambda: TR.paragraphs(self.cue_windows, self.segs, self.elapsed, terms=terms))
+
+    def markdown(self, videos: DataFrame, note: str = TR.DEFAULT_NOTE, terms: dict | None = None):
+        """Ordered Markdown fragments per video (see :func:`render_markdown`)."""
+        return TR.render_markdown(videos, self.tiers, self.seg_table, self.paragraphs(terms), note)
+
+
 def segment_topics(cues: DataFrame, elapsed: str = "total") -> DataFrame:
     """Flagship: ``(video_id, seg, start_ts, keywords)`` for every topic segment."""
     t = CaptionTables(cues, elapsed)

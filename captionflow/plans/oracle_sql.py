@@ -193,3 +193,79 @@ WHERE rk <= 13 GROUP BY ALL""", ["windows", "segs", "_sw"])
 
 def strip_comments(s: str) -> str:
     return re.sub(r"--[^\n]*", "", s)
+
+# ---------------------------------------------------------------- segment table, paragraphs, Markdown
+cte("seg_table", """
+SELECT l.video_id, l.seg, st.start_ms, st.start_ts, st.duration, coalesce(k.keywords, '') AS keywords,
+  CASE WHEN l.seg = 1 THEN CASE WHEN coalesce(k.keywords, '') <> '' THEN 'Introdução — ' || k.keywords
+                                ELSE 'Introdução' END
+       ELSE CASE WHEN coalesce(k.keywords, '') <> '' THEN k.keywords ELSE 'Tópico ' || CAST(l.seg AS VARCHAR) END
+  END AS label,
+  coalesce(p.preview, '') AS preview
+FROM seg_list l JOIN seg_stats st USING (video_id, seg)
+LEFT JOIN seg_keywords k USING (video_id, seg) LEFT JOIN seg_preview p USING (video_id, seg)""",
+    ["seg_list", "seg_stats", "seg_keywords", "seg_preview"])
+cte("_pc", r"""
+SELECT c.video_id, s.seg, c.seq, c.start_ms, c.end_ms, regexp_replace(c.clean_text, '\s+', ' ', 'g') AS t,
+  row_number() OVER (PARTITION BY c.video_id ORDER BY c.seq) AS rn,
+  coalesce(lead(s.seg) OVER (PARTITION BY c.video_id ORDER BY c.seq) <> s.seg, true) AS seg_last
+FROM cue_windows c JOIN segs s USING (video_id, win)""", ["cue_windows", "segs"])
+# state: open lines and paragraph start; a step emits the closed paragraph's lines
+cte("_pfold", r"""
+SELECT video_id, seg, rn, CASE WHEN fl THEN [] ELSE nl END, CASE WHEN fl THEN NULL ELSE ns END,
+       CASE WHEN fl THEN nl END, ns
+FROM (
+  SELECT *, (len(nl) > 0 AND (seg_last OR (t <> '' AND (((end_ms - ns) // 1000 >= 60
+              AND regexp_matches(t, '[.!?]["'']?\s*$')) OR (end_ms - ns) // 1000 >= 120)))) AS fl
+  FROM (SELECT *, CASE WHEN t <> '' THEN [t] ELSE []::VARCHAR[] END AS nl,
+               CASE WHEN t <> '' THEN start_ms END AS ns FROM _pc WHERE rn = 1))
+UNION ALL
+SELECT video_id, seg, rn, CASE WHEN fl THEN []::VARCHAR[] ELSE nl END, CASE WHEN fl THEN NULL ELSE ns END,
+       CASE WHEN fl THEN nl END, ns
+FROM (
+  SELECT *, (len(nl) > 0 AND (seg_last OR (t <> '' AND (((end_ms - ns) // 1000 >= 60
+              AND regexp_matches(t, '[.!?]["'']?\s*$')) OR (end_ms - ns) // 1000 >= 120)))) AS fl
+  FROM (SELECT n.*, CASE WHEN n.t <> '' THEN list_append(f.lines, n.t) ELSE f.lines END AS nl,
+               CASE WHEN n.t <> '' THEN coalesce(f.pstart, n.start_ms) ELSE f.pstart END AS ns
+        FROM _pfold f JOIN _pc n ON n.video_id = f.video_id AND n.rn = f.rn + 1))""",
+    ["_pc"], cols="video_id, seg, rn, lines, pstart, out_lines, out_start")
+cte("paragraphs", r"""
+SELECT video_id, seg, CAST(row_number() OVER (PARTITION BY video_id, seg ORDER BY rn) - 1 AS INTEGER) AS para,
+       out_start AS start_ms, upper(left(body, 1)) || substr(body, 2) AS text
+FROM (
+  SELECT video_id, seg, rn, out_start,
+    trim(regexp_replace(replace(list_reduce(out_lines, lambda acc, x:
+      CASE WHEN strpos(lower(regexp_extract(acc, '[^\x01]*$')), lower(x)) > 0
+             OR strpos(lower(x), lower(regexp_extract(acc, '[^\x01]*$'))) > 0
+           THEN CASE WHEN length(x) > length(regexp_extract(acc, '[^\x01]*$'))
+                     THEN regexp_replace(acc, '[^\x01]*$', '') || x ELSE acc END
+           ELSE acc || chr(1) || x END), chr(1), ' '), ' {2,}', ' ', 'g')) AS body
+  FROM _pfold WHERE out_lines IS NOT NULL)
+WHERE body <> ''""", ["_pfold"])
+cte("markdown", r"""
+SELECT video_id, 0 AS part, CAST(0 AS BIGINT) AS seg, 0 AS para,
+  '## ' || coalesce(v.title, video_id) || ' <a name="video-01"></a>' || chr(10) || '**URL:** https://youtube.com/watch?v='
+  || video_id || '  ' || chr(10) || '**Data:** ' || coalesce(v.publish_date, 'Desconhecida') || '  ' || chr(10)
+  || '**Duração:** ' || printf('%02d:%02d:%02d', t.duration_s // 3600, t.duration_s % 3600 // 60, t.duration_s % 60)
+  || chr(10) || chr(10) AS fragment
+FROM (SELECT DISTINCT video_id FROM seg_table) JOIN tiers t USING (video_id) LEFT JOIN videos v USING (video_id)
+UNION ALL
+SELECT video_id, 1, 0, 0, '### Segmentos de Tópicos (Timestamps)' || chr(10) FROM (SELECT DISTINCT video_id FROM seg_table)
+UNION ALL
+SELECT video_id, 2, seg, 0, '* `[' || start_ts || ']` **' || label || '** *(' || duration || ')* — ' || preview || chr(10)
+FROM seg_table
+UNION ALL
+SELECT video_id, 3, 0, 0, chr(10) || '---' || chr(10) FROM (SELECT DISTINCT video_id FROM seg_table)
+UNION ALL
+SELECT video_id, 4, 0, 0, '### Transcrição Estruturada' || chr(10) || '> **Nota do Sistema:** Transcrição limpa.'
+  || chr(10) || chr(10) FROM (SELECT DISTINCT video_id FROM seg_table)
+UNION ALL
+SELECT video_id, 5, seg, -1, '#### [' || printf('%02d:%02d:%02d', start_ms // 1000 // 3600, start_ms // 1000 % 3600 // 60,
+  start_ms // 1000 % 60) || '] - Tópico: ' || label || chr(10) FROM seg_table
+UNION ALL
+SELECT p.video_id, 5, p.seg, p.para, '[' || CASE WHEN p.start_ms // 1000 >= 3600
+    THEN printf('%02d:%02d:%02d', p.start_ms // 1000 // 3600, p.start_ms // 1000 % 3600 // 60, p.start_ms // 1000 % 60)
+    ELSE printf('%02d:%02d', p.start_ms // 1000 % 3600 // 60, p.start_ms // 1000 % 60) END || '] ' || p.text
+  || chr(10) || chr(10)
+FROM paragraphs p SEMI JOIN (SELECT DISTINCT video_id FROM seg_table) s USING (video_id)""",
+    ["seg_table", "tiers", "videos", "paragraphs"])

@@ -60,3 +60,18 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback_root: str | None = None)
     d = tempfile.mkdtemp(prefix="captionflow-ckpt-", dir=root)
     sc.setCheckpointDir(d)
     return d
+
+
+def stage_table(df, name: str):
+    """Write ``df`` as a parquet table under the checkpoint folder and read it back.
+
+    Cuts lineage (a lost executor never recomputes the upstream plan) and turns a
+    DataFrame that feeds several branches into one scan instead of several
+    copies of its plan. Columnar and compressed, unlike an RDD checkpoint.
+    """
+    import uuid
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/stage-{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
