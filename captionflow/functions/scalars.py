@@ -230,7 +230,7 @@ def extract_lang(name) -> Column:
 
 def maturity_gate(date_col, as_of, min_days: int = 7) -> Column:
     """True when more than ``min_days`` whole days old, or the date is unknown."""
-    d = F.try_to_date(_c(date_col), F.lit("yyyy-MM-dd"))
+    d = F.try_to_date(_c(date_col), "yyyy-MM-dd")
     return F.coalesce(F.datediff(_c(as_of), d) > min_days, F.lit(True))
 
 

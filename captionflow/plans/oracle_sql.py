@@ -269,3 +269,60 @@ SELECT p.video_id, 5, p.seg, p.para, '[' || CASE WHEN p.start_ms // 1000 >= 3600
   || chr(10) || chr(10)
 FROM paragraphs p SEMI JOIN (SELECT DISTINCT video_id FROM seg_table) s USING (video_id)""",
     ["seg_table", "tiers", "videos", "paragraphs"])
+
+# ---------------------------------------------------------------- state fixtures
+cte("obs", """
+SELECT 'e' || lpad(CAST(user_id * 20 + k % 20 AS VARCHAR), 10, '0') AS video_id, event_id AS ord,
+  CASE event_type WHEN 'view' THEN strftime(ts, '%Y-%m-%d') WHEN 'error' THEN NULL ELSE 'N/A' END AS publish_date,
+  CASE event_type WHEN 'click' THEN 'T' || CAST(event_id AS VARCHAR) WHEN 'purchase' THEN 'Avulso'
+                  WHEN 'signup' THEN '' ELSE 'N/A' END AS title,
+  (event_type = 'purchase' AND value > 20) AS subtitle_downloaded, (event_type = 'view') AS info_downloaded,
+  (event_type = 'error' AND value > 50) AS has_no_subtitle,
+  'PL' || CAST(event_id % 7 AS VARCHAR) AS playlist, 'ch' || CAST(user_id % 12 AS VARCHAR) AS channel_id,
+  '@up' || CAST(user_id % 12 AS VARCHAR) AS uploader_id, 'Uploader up' || CAST(user_id % 12 AS VARCHAR) AS uploader,
+  value AS duration_s, user_id AS view_count
+FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""")
+cte("obs_rows", "SELECT * EXCLUDE (playlist), [playlist] AS playlists, CAST(NULL AS VARCHAR) AS channel FROM obs",
+    ["obs"])
+cte("listing", """
+SELECT 'e' || lpad(CAST(o_orderkey % 4000 AS VARCHAR), 10, '0') AS video_id, o_orderkey AS ord,
+  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS title,
+  CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y%m%d') END AS upload_date,
+  CASE WHEN o_orderkey % 3 = 1 THEN CAST(epoch(o_orderdate) AS BIGINT) END AS epoch_s
+FROM orders""")
+cte("listing_rows", """
+SELECT video_id, ord,
+  CASE WHEN length(d8) = 8 THEN substr(d8, 1, 4) || '-' || substr(d8, 5, 2) || '-' || substr(d8, 7, 2)
+       ELSE 'N/A' END AS publish_date,
+  coalesce(nullif(title, ''), 'N/A') AS title,
+  false AS subtitle_downloaded, false AS info_downloaded, false AS has_no_subtitle
+FROM (SELECT *, CASE WHEN upload_date IS NULL OR upload_date = ''
+                     THEN strftime(to_timestamp(epoch_s) AT TIME ZONE 'UTC', '%Y%m%d') ELSE upload_date END AS d8
+      FROM listing)""", ["listing"])
+cte("files", """
+SELECT 'chan-v' || lpad(CAST(doc_id AS VARCHAR), 10, '0') || '.' || lang || '.srt' AS path,
+       'v' || lpad(CAST(doc_id AS VARCHAR), 10, '0') AS video_id, 1700000000 + doc_id % 97 AS mtime_s
+FROM documents WHERE doc_id % 6 <> 0
+UNION ALL
+SELECT 'chan-v' || lpad(CAST(doc_id AS VARCHAR), 10, '0') || '.' || lang || '-XX.srt',
+       'v' || lpad(CAST(doc_id AS VARCHAR), 10, '0'), 1700000000 + doc_id % 89
+FROM documents WHERE doc_id % 5 = 0
+UNION ALL
+SELECT 'chan-v' || lpad(CAST(doc_id AS VARCHAR), 10, '0') || '-' || lang || '.md',
+       'v' || lpad(CAST(doc_id AS VARCHAR), 10, '0'), 1700000000 + doc_id % 83
+FROM documents WHERE doc_id % 7 = 0""")
+cte("inputs", """
+SELECT page_id,
+  CASE page_id % 5 WHEN 0 THEN url
+                   WHEN 1 THEN 'https://www.youtube.com/watch?v=p' || lpad(CAST(page_id AS VARCHAR), 10, '0')
+                   WHEN 2 THEN '@ch' || CAST(page_id AS VARCHAR)
+                   WHEN 3 THEN 'playlist?list=PL' || CAST(page_id AS VARCHAR)
+                   ELSE 'p' || lpad(CAST(page_id AS VARCHAR), 10, '0') END AS input, url
+FROM pages""")
+cte("tags", """
+SELECT source AS channel, doc_id AS ord,
+  CASE doc_id % 9 WHEN 0 THEN 'NA' WHEN 1 THEN upper(lang) || '-BR' WHEN 2 THEN lang || '_XX' ELSE lang END AS tag
+FROM documents""")
+cte("outcomes", """
+SELECT video_id, CASE WHEN n % 10 = 0 THEN 1 ELSE 0 END AS exit_code, (n % 3 <> 0) AS has_caption
+FROM (SELECT DISTINCT video_id, CAST(regexp_extract(video_id, '(\\d+)$', 1) AS BIGINT) AS n FROM obs)""", ["obs"])

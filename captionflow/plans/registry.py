@@ -153,6 +153,9 @@ def q_render_markdown(spark, sf_dir):
     return _captions(spark, sf_dir).markdown(X.fx_videos(docs))
 
 
+from . import registry_state  # noqa: E402,F401  (registers the state queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -145,3 +145,100 @@ def fx_outcomes(obs: DataFrame) -> DataFrame:
     return (obs.select("video_id").distinct()
             .select("video_id", F.when(n % 10 == 0, 1).otherwise(0).alias("exit_code"),
                     (n % 3 != 0).alias("has_caption")))
+
+
+def fx_obs_rows(events: DataFrame) -> DataFrame:
+    """FX-OBS as state rows: the observation's playlist as a one-element list."""
+    o = fx_obs(events)
+    return (o.withColumn("playlists", F.array("playlist")).drop("playlist")
+            .withColumn("channel", F.lit(None).cast("string")))
+
+
+def fx_listing_docs(orders: DataFrame) -> DataFrame:
+    """FX-JSON listing lines ``(ord, value)``: JSON per listing row; every 50th
+    line cut in half, every 51st without ``id``."""
+    k = F.col("o_orderkey")
+    li = fx_listing(orders)
+    full = F.to_json(F.struct(F.when(F.col("ord") % 51 != 0, F.col("video_id")).alias("id"), "title",
+                              "upload_date", F.col("epoch_s").alias("timestamp")))
+    line = F.when(F.col("ord") % 50 == 0, F.substring(full, 1, (F.length(full) / 2).cast("int"))).otherwise(full)
+    return li.select("ord", line.alias("value"))
+
+
+def fx_state_docs(events: DataFrame) -> DataFrame:
+    """FX-JSON state documents: one per channel, odd channels as the bare list.
+    ``(path, doc)``; the document lists the channel's rows in ``ord`` order."""
+    o = fx_obs_rows(events)
+    n = F.regexp_extract("channel_id", r"(\d+)$", 1).cast("int")
+    vid = F.struct(F.when(F.col("ord") % 2 == 0, F.col("video_id")).alias("video_id"),
+                   F.when(F.col("ord") % 2 == 1, F.col("video_id")).alias("id"),
+                   "publish_date", "title", "subtitle_downloaded", "info_downloaded", "has_no_subtitle",
+                   "playlists", "channel_id", "uploader", "uploader_id", "duration_s", "view_count")
+    docs = o.groupBy("channel_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", vid.alias("v")))), lambda x: x["v"]).alias("videos"))
+    doc = F.when(n % 2 == 0, F.to_json(F.struct(F.col("channel_id").alias("channel"), "videos"))) \
+        .otherwise(F.to_json("videos"))
+    return docs.select(F.concat(F.lit("escriba_"), F.col("channel_id"), F.lit(".json")).alias("path"), doc.alias("doc"))
+
+
+def fx_info_docs(events: DataFrame) -> DataFrame:
+    """FX-INFO per-video metadata documents ``(name, doc)`` from ``events``."""
+    e = F.col("ord")
+    o = fx_obs(events).join(events.select(F.col("event_id").alias("ord"), "ts"), "ord")
+    m = F.struct(
+        F.when(e % 3 == 0, F.date_format("ts", "yyyyMMdd")).when(e % 3 == 2, F.lit("soon")).alias("upload_date"),
+        F.when(e % 5 == 0, F.date_format("ts", "yyyy-MM-dd")).alias("publish_date"),
+        F.when(e % 4 != 0, F.concat(F.lit("T"), e.cast("string"))).alias("title"),
+        F.when(e % 8 == 0, F.concat(F.lit("F"), e.cast("string"))).alias("fulltitle"),
+        F.when(e % 2 == 0, F.col("channel_id")).alias("channel_id"),
+        F.when(e % 6 != 1, F.col("uploader_id")).alias("uploader_id"),
+        F.when(e % 3 != 1, F.col("uploader")).alias("uploader"),
+        F.concat(F.lit("Channel "), F.col("channel_id")).alias("channel"),
+        (e % 9 == 0).alias("subtitle_downloaded"))
+    doc = F.when(e % 13 == 0, F.lit("[1, 2]")).otherwise(F.to_json(m))
+    return o.select(F.col("ord").alias("ord"),
+                    F.concat(F.lit("chan-"), F.col("video_id"), F.lit(".info.json")).alias("name"), doc.alias("doc"))
+
+
+LOG_FILES = ("historico.txt", "historico-info.txt", "videos_sem_legenda.txt")
+
+
+def fx_log_lines(events: DataFrame) -> DataFrame:
+    """FX-LOGS ``(file, value)``: id logs from FX-OBS flags plus noise lines."""
+    o = fx_obs(events)
+    a = o.filter("subtitle_downloaded").select(F.lit(LOG_FILES[0]).alias("file"),
+                                               F.concat(F.lit("youtube "), "video_id").alias("value"))
+    b = o.filter("info_downloaded").select(F.lit(LOG_FILES[1]).alias("file"),
+                                           F.concat(F.lit("  youtube "), "video_id", F.lit("  ")).alias("value"))
+    c = o.filter("has_no_subtitle").select(F.lit(LOG_FILES[2]).alias("file"),
+                                           F.concat(F.lit("https://www.youtube.com/watch?v="), "video_id").alias("value"))
+    noise = o.filter(F.col("ord") % 17 == 0).select(
+        F.element_at(F.array(*[F.lit(x) for x in LOG_FILES]), (F.col("ord") % 3 + 1).cast("int")).alias("file"),
+        F.concat(F.lit("# note "), F.col("ord").cast("string")).alias("value"))
+    return a.unionByName(b).unionByName(c).unionByName(noise)
+
+
+def fx_json_files(documents: DataFrame) -> DataFrame:
+    """FX-JSONFILES: JSON file inventory ``(path, mtime_s)`` in five folders."""
+    d = F.col("doc_id")
+    v = F.concat(F.lit("v"), F.lpad(d.cast("string"), 10, "0"))
+    folder = F.concat(F.lit("d"), (d % 5).cast("string"))
+    name = (F.when(d % 97 == 0, F.lit("package.json"))
+            .when(d % 10 == 0, F.concat(F.lit("escriba_"), F.col("source"), F.lit(".json")))
+            .when(d % 10 == 1, F.concat(F.lit("lista_"), F.col("source"), F.lit(".json")))
+            .when(d % 10 <= 5, F.concat(F.lit("chan-"), v, F.lit(".info.json")))
+            .otherwise(F.concat(F.lit("notes"), (d % 10).cast("string"), F.lit(".json"))))
+    return documents.select(F.concat(folder, F.lit("/"), name).alias("path"),
+                            (F.lit(1700000000) + (d * 37) % 1009).alias("mtime_s"))
+
+
+def fx_listing_by_customer(orders: DataFrame) -> DataFrame:
+    """FX-LISTING-C: a second channel listing keyed by customer, so the history
+    holds videos this listing lacks (reverse-import candidates)."""
+    k = F.col("o_orderkey")
+    return orders.select(
+        F.concat(F.lit("e"), F.lpad(F.col("o_custkey").cast("string"), 10, "0")).alias("video_id"),
+        k.alias("ord"),
+        F.col("o_orderpriority").alias("title"),
+        F.date_format("o_orderdate", "yyyyMMdd").alias("upload_date"),
+        F.lit(None).cast("long").alias("epoch_s"))
