@@ -242,3 +242,47 @@ def fx_listing_by_customer(orders: DataFrame) -> DataFrame:
         F.col("o_orderpriority").alias("title"),
         F.date_format("o_orderdate", "yyyyMMdd").alias("upload_date"),
         F.lit(None).cast("long").alias("epoch_s"))
+
+
+def fx_vstate(documents: DataFrame) -> DataFrame:
+    """FX-VSTATE: state rows for the caption videos (ids of FX-FILES)."""
+    d = F.col("doc_id")
+    date = (F.when(d % 4 == 0, F.lit("N/A")).when(d % 4 == 1, F.lit("2024-01-28"))
+            .when(d % 4 == 2, F.lit("2023-12-01")).otherwise(F.lit("bad-date")))
+    return documents.select(
+        F.concat(F.lit("v"), F.lpad(d.cast("string"), 10, "0")).alias("video_id"), d.alias("ord"),
+        date.alias("publish_date"), F.concat(F.lit("Doc "), d.cast("string")).alias("title"),
+        (d % 4 == 0).alias("subtitle_downloaded"), F.lit(False).alias("info_downloaded"),
+        (d % 9 == 0).alias("has_no_subtitle"), F.col("source").alias("channel_id"))
+
+
+def fx_voutcomes(documents: DataFrame) -> DataFrame:
+    """Fetch outcomes for the caption videos."""
+    d = F.col("doc_id")
+    return documents.select(F.concat(F.lit("v"), F.lpad(d.cast("string"), 10, "0")).alias("video_id"),
+                            F.when(d % 10 == 0, 1).otherwise(0).alias("exit_code"), (d % 3 != 0).alias("has_caption"))
+
+
+def fx_regen_files(documents: DataFrame) -> DataFrame:
+    """FX-FILES placed in the working folder or, by mtime parity, ``archive/``."""
+    f = fx_files(documents)
+    return f.withColumn("path", F.when(F.col("mtime_s") % 2 == 0, F.concat(F.lit("archive/"), "path"))
+                        .otherwise(F.col("path")))
+
+
+def fx_host_lines(pages: DataFrame) -> DataFrame:
+    """FX-HOSTS tab-separated host records from page URLs, with comments and short rows."""
+    p = F.col("page_id")
+    host = F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1)
+    full = F.concat_ws("\t", host, F.lit("TRUE"), F.lit("/"), F.lit("FALSE"), (p * 1000).cast("string"),
+                       F.concat(F.lit("k"), p.cast("string")), F.lit("v"))
+    short = F.concat_ws("\t", host, F.lit("TRUE"), F.lit("/"))
+    line = (F.when(p % 7 == 0, F.concat(F.lit("# page "), p.cast("string"))).when(p % 11 == 0, F.lit(""))
+            .when(p % 5 == 0, short).otherwise(full))
+    return pages.select("page_id", line.alias("value"))
+
+
+def fx_state_paths(files: DataFrame) -> DataFrame:
+    """``channel`` field of each state document, present for even path lengths."""
+    return files.select("path", F.when(F.length("path") % 2 == 0, F.concat(F.lit("@doc"), F.length("path")
+                                                                         .cast("string"))).alias("channel"))
