@@ -153,7 +153,7 @@ def q_render_markdown(spark, sf_dir):
     return _captions(spark, sf_dir).markdown(X.fx_videos(docs))
 
 
-from . import registry_files, registry_state  # noqa: E402,F401  (register more queries)
+from . import registry_blocks, registry_files, registry_state  # noqa: E402,F401  (register more queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
