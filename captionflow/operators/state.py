@@ -335,3 +335,53 @@ def resolve_language(channels: DataFrame, detected: DataFrame, override: str | N
     stored = F.when(F.col("stored_lang") != "N/A", S.parse_lang_regex("stored_lang"))
     return j.select("channel", F.coalesce(F.lit(override).cast("string"), stored, F.col("_det"),
                                           F.lit(default[:2].lower())).alias("lang"))
+
+
+# ---------------------------------------------------------------------------
+# Partial merge states: the same first-valid-wins merge as an associative
+# combine, so a stored snapshot can be merged with new observations in any
+# batch order and give exactly the result of one merge over all rows.
+# ---------------------------------------------------------------------------
+PARTIAL_EXTRA = EXTRA
+
+
+def to_partial(rows: DataFrame, ord_col: str = "ord") -> DataFrame:
+    """Observation rows -> partial states (one per row)."""
+    r = conform(rows)
+    o = F.col(ord_col).cast("long")
+    sd = ~S.is_weak_date("publish_date")
+    st = ~S.is_weak_title("title")
+    keys = F.transform(F.coalesce("playlists", F.array().cast("array<string>")),
+                       lambda x, i: F.struct(F.struct(o.alias("o"), i.cast("long").alias("p")).alias("k"),
+                                             x.alias("playlist")))
+    return r.select(
+        "video_id", o.alias("ord"), F.col("publish_date").alias("date0"), F.col("title").alias("title0"),
+        F.when(sd, F.col("publish_date")).alias("sd"), F.when(sd, o).alias("sd_ord"),
+        F.when(st, F.col("title")).alias("st"), F.when(st, o).alias("st_ord"),
+        *[F.coalesce(F.col(f), F.lit(False)).alias(f) for f in FLAGS],
+        *[F.col(c) for c in PARTIAL_EXTRA],
+        F.col("playlists").isNotNull().alias("has_pl"), keys.alias("pl_keys"))
+
+
+def combine_partials(parts: DataFrame) -> DataFrame:
+    """Merge partial states by id (associative and commutative)."""
+    g = parts.groupBy("video_id").agg(
+        F.min("ord").alias("ord"), F.min_by("date0", "ord").alias("date0"), F.min_by("title0", "ord").alias("title0"),
+        F.min_by("sd", "sd_ord").alias("sd"), F.min("sd_ord").alias("sd_ord"),
+        F.min_by("st", "st_ord").alias("st"), F.min("st_ord").alias("st_ord"),
+        *[F.bool_or(f).alias(f) for f in FLAGS],
+        *[F.min_by(c, "ord").alias(c) for c in PARTIAL_EXTRA],
+        F.bool_or("has_pl").alias("has_pl"))
+    kp = (parts.select("video_id", F.explode("pl_keys").alias("x"))
+          .groupBy("video_id", F.col("x.playlist").alias("playlist")).agg(F.min("x.k").alias("k"))
+          .groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("k", "playlist"))).alias("pl_keys")))
+    return (g.join(kp, "video_id", "left")
+            .withColumn("pl_keys", F.coalesce("pl_keys", F.array().cast(kp.schema["pl_keys"].dataType))))
+
+
+def finalize_partial(parts: DataFrame) -> DataFrame:
+    """Partial states -> state rows (the columns of :func:`dedup_state`)."""
+    return parts.select(
+        "video_id", F.coalesce("sd", "date0").alias("publish_date"), F.coalesce("st", "title0").alias("title"),
+        *FLAGS, *PARTIAL_EXTRA, "ord",
+        F.when(F.col("has_pl"), F.transform(F.array_sort("pl_keys"), lambda x: x["playlist"])).alias("playlists"))
