@@ -32,33 +32,47 @@ def tfidf(windows: DataFrame, native_lang: bool = False) -> DataFrame:
 
     tokens = lowercase runs of 2+ word characters; idf = ln((1+n)/(1+df)) + 1 with
     n = all windows of the video (also those left without terms).
+
+    Three exchanges, no joins of the token table: term counts per (video, win,
+    term) with map-side partial aggregation; document frequency as a window
+    count over (video, term); the norm as a window sum over (video, win). Keys
+    are finer than the video, so one long video spreads over many tasks.
     """
     spark = windows.sparkSession
-    toks = windows.select(
-        "video_id", "win", S.stopword_key("lang", native_lang).alias("swkey"),
+    w_in = windows if "n_windows" in windows.columns else with_window_count(windows)
+    toks = w_in.select(
+        "video_id", "win", "n_windows", S.stopword_key("lang", native_lang).alias("swkey"),
         F.explode(F.regexp_extract_all(F.lower("text"), F.lit(S.TOKEN_RE), 0)).alias("term"))
     toks = drop_stopwords(toks, stopword_table(spark, native_lang))
-    tf = toks.groupBy("video_id", "win", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("video_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    nwin = windows.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
-    w = (tf.join(df, ["video_id", "term"]).join(nwin, "video_id")
-         .withColumn("w", F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)))
-    norm = w.groupBy("video_id", "win").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return (w.join(norm, ["video_id", "win"])
-            .select("video_id", "win", "term", "tf", (F.col("w") / F.col("norm")).alias("weight")))
+    tf = toks.groupBy("video_id", "win", "term").agg(F.count(F.lit(1)).alias("tf"),
+                                                      F.first("n_windows").alias("n"))
+    by_term = Window.partitionBy("video_id", "term")
+    w = tf.withColumn("w", F.col("tf") * (F.log((F.col("n") + 1) / (F.count(F.lit(1)).over(by_term) + 1)) + 1))
+    by_win = Window.partitionBy("video_id", "win")
+    return w.select("video_id", "win", "term", "tf",
+                    (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_win))).alias("weight"))
+
+
+def with_window_count(windows: DataFrame) -> DataFrame:
+    """Add ``n_windows`` (windows of the video) via a per-video count join."""
+    n = windows.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    return windows.join(n, "video_id")
 
 
 def adjacent_cosine(windows: DataFrame, weights: DataFrame) -> DataFrame:
     """``(video_id, win, sim)`` for win >= 1: cosine of each window with the previous.
 
-    Rows are unit vectors, so cosine is the dot product over shared terms. The
-    previous window's weight comes from an equi-join on ``(video, term, win-1)``;
-    windows without shared terms (or without any term) get 0.
+    Rows are unit vectors, so cosine is the dot product over shared terms: the
+    previous window's weight of the same term comes from ``lag`` over
+    (video, term) ordered by window (one exchange, no self-join); products are
+    summed per (video, win). Windows without shared terms (or without any term)
+    get 0.
     """
-    cur = weights.select("video_id", "term", "win", "weight")
-    prev = weights.select("video_id", "term", (F.col("win") + 1).alias("win"), F.col("weight").alias("pw"))
-    dots = (cur.join(prev, ["video_id", "term", "win"])
-            .groupBy("video_id", "win").agg(F.sum(F.col("weight") * F.col("pw")).alias("dot")))
+    by_term = Window.partitionBy("video_id", "term").orderBy("win")
+    prod = (weights.select("video_id", "term", "win", "weight",
+                           F.lag("win").over(by_term).alias("pwin"), F.lag("weight").over(by_term).alias("pw"))
+            .filter(F.col("pwin") == F.col("win") - 1))
+    dots = prod.groupBy("video_id", "win").agg(F.sum(F.col("weight") * F.col("pw")).alias("dot"))
     wins = windows.select("video_id", "win").filter(F.col("win") >= 1)
     return (wins.join(dots, ["video_id", "win"], "left")
             .select("video_id", "win", F.round(F.coalesce("dot", F.lit(0.0)), SIM_DECIMALS).alias("sim")))

@@ -48,7 +48,7 @@ class CaptionTables:
 
     @property
     def windows(self):
-        return self._get("windows", lambda: C.window_text(self.cue_windows), stage=True)
+        return self._get("windows", lambda: T.with_window_count(C.window_text(self.cue_windows)), stage=True)
 
     @property
     def tfidf(self):

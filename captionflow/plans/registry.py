@@ -66,6 +66,7 @@ def q_window_text(spark, sf_dir):
     return _captions(spark, sf_dir).windows.select("video_id", "lang", "win", "start_ms", "end_ms", "n_cues", "text")
 
 
+
 @register("drop_stopwords", O.sql("""
 SELECT a.video_id, a.win, a.n_tokens, coalesce(b.n_kept, 0) AS n_kept
 FROM (SELECT video_id, win, count(*) AS n_tokens FROM _tok GROUP BY ALL) a
