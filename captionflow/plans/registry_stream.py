@@ -87,3 +87,42 @@ def q_stream_topics(spark, d):
 
 
 __all__ = ["ST"]
+
+
+# ------------------------------------------------------------------ sinks
+@register("write_markdown", O.sql("""
+SELECT video_id, string_agg(fragment, '' ORDER BY part, seg, para) AS md FROM markdown GROUP BY ALL""", "markdown"))
+def q_write_markdown(spark, d):
+    """Markdown files written per video, read back whole."""
+    from ..plans.captions import CaptionTables
+    from ..sources.sinks import read_markdown, write_markdown
+    docs = X.table(spark, d, "documents")
+    frags = CaptionTables(X.fx_cues(docs)).markdown(X.fx_videos(docs))
+    out = _scratch(spark, "markdown")
+    write_markdown(frags, out)
+    return read_markdown(spark, out)
+
+
+@register("write_channel_state", O.sql("""
+SELECT s.channel_id AS channel, s.video_id, s.publish_date, s.title, s.subtitle_downloaded, s.info_downloaded,
+  s.has_no_subtitle, s.playlists,
+  coalesce(CASE WHEN CAST(regexp_extract(s.channel_id, '(\\d+)$', 1) AS INTEGER) % 3 = 0 THEN 'pt' END,
+           CASE WHEN CAST(regexp_extract(s.channel_id, '(\\d+)$', 1) AS INTEGER) % 2 = 0 THEN 'en' END)
+    AS detected_language
+FROM state_dedup s""", "state_dedup"))
+def q_write_channel_state(spark, d):
+    """Merged state written as a snapshot (per-channel JSON lines + headers),
+    read back; the old language survives where no new one is given."""
+    from ..sources.sinks import read_channel_snapshot, write_channel_state
+    st = ST.dedup_state(X.fx_obs_rows(X.table(spark, d, "events"))).withColumn("state_channel", F.col("channel_id"))
+    n = F.regexp_extract("channel", r"(\d+)$", 1).cast("int")
+    chans = st.select(F.col("channel_id").alias("channel")).distinct().select(
+        "channel", F.when(n % 3 == 0, "pt").alias("detected_language"),
+        F.when(n % 2 == 0, "en").alias("old_language"))
+    out = _scratch(spark, "state")
+    write_channel_state(st, chans, out)
+    vids, hdr = read_channel_snapshot(spark, out)
+    return (vids.join(hdr, vids["state_channel"] == hdr["channel"])
+            .select(F.col("state_channel").alias("channel"), "video_id", "publish_date", "title",
+                    "subtitle_downloaded", "info_downloaded", "has_no_subtitle",
+                    F.array_join("playlists", ",").alias("playlists"), "detected_language"))

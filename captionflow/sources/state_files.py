@@ -59,7 +59,7 @@ def parse_listing_lines(lines: DataFrame, text_col: str = "value", ord_col: str
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
     """Listing files (JSON lines). Each file is read whole so the line position is
     exact; the order key is ``(file, ord)`` with ``ord`` the line number."""
-    f = (spark.read.option("wholetext", True).text(path)
+    f = (spark.read.text(path, wholetext=True)
          .select(F.col("_metadata.file_path").alias("file"),
                  F.posexplode(F.split("value", "\n")).alias("ord", "value")))
     j = F.from_json(F.col("value"), LISTING_LINE, _opts())
@@ -90,7 +90,7 @@ def parse_state_documents(docs: DataFrame, text_col: str = "doc", path_col: str
 
 
 def read_channel_state(spark: SparkSession, path: str) -> DataFrame:
-    docs = spark.read.option("wholetext", True).text(path).select(
+    docs = spark.read.text(path, wholetext=True).select(
         F.col("value").alias("doc"), F.col("_metadata.file_path").alias("path"))
     return parse_state_documents(docs)
 
@@ -119,7 +119,7 @@ def parse_video_info(docs: DataFrame, text_col: str = "doc", name_col: str = "na
 
 
 def read_video_info(spark: SparkSession, path: str, id_mode: str = "suffix") -> DataFrame:
-    docs = spark.read.option("wholetext", True).text(path).select(
+    docs = spark.read.text(path, wholetext=True).select(
         F.col("value").alias("doc"), F.col("_metadata.file_name").alias("name"))
     return parse_video_info(docs, id_mode=id_mode)
 
