@@ -39,12 +39,12 @@ class CaptionTables:
 
     @property
     def tiers(self):
-        return self._get("tiers", lambda: C.video_tiers(self.cues), stage=True)
+        # from the staged fold output: a partial+final aggregate of one scan
+        return self._get("tiers", lambda: C.video_tiers(self.cue_windows))
 
     @property
     def cue_windows(self):
-        return self._get("cue_windows", lambda: C.clean_and_window(self.cues, self.tiers, self.elapsed),
-                         stage=True)
+        return self._get("cue_windows", lambda: C.clean_and_window(self.cues, elapsed=self.elapsed), stage=True)
 
     @property
     def windows(self):

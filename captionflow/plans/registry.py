@@ -163,3 +163,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+@register("stopword_sets", O.sql(f"""
+SELECT l.lang, l.swkey, count(*) AS n_terms
+FROM (SELECT DISTINCT lang, {O.SWKEY.format(c='lang')} AS swkey FROM documents) l JOIN _sw s USING (swkey)
+GROUP BY ALL""", "_sw"))
+def q_stopword_sets(spark, sf_dir):
+    """The stopword set each document language resolves to (unknown -> pt) and its size."""
+    from ..functions import scalars as S
+    from ..operators import topics as T
+    langs = X.table(spark, sf_dir, "documents").select("lang").distinct()
+    stop = T.stopword_table(spark).groupBy("swkey").agg(F.count(F.lit(1)).alias("n_terms"))
+    return langs.select("lang", S.stopword_key("lang").alias("swkey")).join(F.broadcast(stop), "swkey") \
+        .select("lang", "swkey", "n_terms")

@@ -163,14 +163,18 @@ def describe_files(files: DataFrame, path_col: str = "path", mtime_col: str = "m
 
 def list_files(spark: SparkSession, root: str, exts=("srt", "md", "json")) -> DataFrame:
     """Files of ``root`` and its direct sub-folders (except tool folders): path,
-    name, id, language, extension, mtime. Content is never read."""
+    name, id, language, extension, mtime. Content is never read (the
+    ``binaryFile`` source prunes the ``content`` column; it skips zero-length files)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    prefix = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
     glob = "{" + ",".join(f"*.{e}" for e in exts) + "}"
-    df = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-          .load([root.rstrip("/"), root.rstrip("/") + "/*"])
-          .select("path", (F.col("modificationTime").cast("long")).alias("mtime_s")))
-    skip = "|".join(d.replace(".", r"\.") for d in SKIP_DIRS)
-    df = df.filter(~F.col("path").rlike(rf"/({skip})/[^/]+$"))
-    return describe_files(df)
+    df = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+          .load(root).select("path", F.col("modificationTime").cast("long").alias("mtime_s")))
+    rel = F.substring(F.col("path"), len(prefix) + 2, 1 << 30)
+    parts = F.split(rel, "/")
+    keep = (F.size(parts) == 1) | ((F.size(parts) == 2) & ~parts[0].isin(*SKIP_DIRS))
+    return describe_files(df.filter(keep))
 
 
 def route_state_files(files: DataFrame, prefixes=STATE_PREFIXES, blacklist=BLACKLIST) -> DataFrame:
