@@ -81,24 +81,27 @@ def adjacent_cosine(windows: DataFrame, weights: DataFrame) -> DataFrame:
 MAX_FORCED = 9   # largest (min_segments - 1) over all tiers
 
 
-def topic_breaks(windows: DataFrame, sims: DataFrame, tiers: DataFrame) -> DataFrame:
+def topic_breaks(windows: DataFrame, sims: DataFrame, tiers: DataFrame | None = None) -> DataFrame:
     """``(video_id, win, is_break)`` for every window.
 
     Break = window 0, or sim < tier threshold, or among the ``min_segments-1``
-    lowest similarities (ties by window index).
+    lowest similarities (ties by window index). Tier values come from
+    ``windows`` when it carries them, else from ``tiers``.
     """
-    s = sims.join(tiers.select("video_id", "threshold", "min_segments"), "video_id")
+    w = windows.select("video_id", "win", *[c for c in ("threshold", "min_segments") if c in windows.columns])
+    if "threshold" not in w.columns:
+        w = w.join(tiers.select("video_id", "threshold", "min_segments"), "video_id")
+    s = w.join(sims, ["video_id", "win"], "left")
     # literal bound -> Spark plans a WindowGroupLimit (partial top-k before the shuffle)
     rk = Window.partitionBy("video_id").orderBy("sim", "win")
-    low = (s.withColumn("rk", F.row_number().over(rk)).filter(F.col("rk") <= MAX_FORCED)
+    low = (s.filter(F.col("sim").isNotNull())
+           .withColumn("rk", F.row_number().over(rk)).filter(F.col("rk") <= MAX_FORCED)
            .filter(F.col("rk") <= F.greatest(F.col("min_segments") - 1, F.lit(1)))
            .select("video_id", "win", F.lit(True).alias("forced")))
-    thr = s.select("video_id", "win", (F.col("sim") < F.col("threshold")).alias("below"))
-    return (windows.select("video_id", "win")
-            .join(thr, ["video_id", "win"], "left").join(low, ["video_id", "win"], "left")
+    return (s.join(low, ["video_id", "win"], "left")
             .select("video_id", "win",
-                    ((F.col("win") == 0) | F.coalesce("below", F.lit(False)) | F.coalesce("forced", F.lit(False)))
-                    .alias("is_break")))
+                    ((F.col("win") == 0) | F.coalesce(F.col("sim") < F.col("threshold"), F.lit(False))
+                     | F.coalesce("forced", F.lit(False))).alias("is_break")))
 
 
 def assign_segments(breaks: DataFrame) -> DataFrame:

@@ -48,7 +48,10 @@ class CaptionTables:
 
     @property
     def windows(self):
-        return self._get("windows", lambda: T.with_window_count(C.window_text(self.cue_windows)), stage=True)
+        # one per-video aggregate of the fold output gives the window count and
+        # the tier values; one join puts them on every window row
+        return self._get("windows", lambda: C.window_text(self.cue_windows).join(
+            self.tiers.select("video_id", "n_windows", "threshold", "min_segments"), "video_id"), stage=True)
 
     @property
     def tfidf(self):
@@ -60,7 +63,7 @@ class CaptionTables:
 
     @property
     def breaks(self):
-        return self._get("breaks", lambda: T.topic_breaks(self.windows, self.sims, self.tiers))
+        return self._get("breaks", lambda: T.topic_breaks(self.windows, self.sims))
 
     @property
     def segs(self):
@@ -121,6 +124,10 @@ class CaptionTables:
 def segment_topics(cues: DataFrame, elapsed: str = "total") -> DataFrame:
     """Flagship: ``(video_id, seg, start_ts, keywords)`` for every topic segment."""
     t = CaptionTables(cues, elapsed)
-    return (t.seg_list.join(t.stats.select("video_id", "seg", "start_ts"), ["video_id", "seg"])
+    # a segment starts at the first cue of its first window: the window table suffices
+    start = (t.windows.join(t.segs, ["video_id", "win"]).groupBy("video_id", "seg")
+             .agg(F.min_by("start_ms", "win").alias("start_ms")).select("video_id", "seg", S.smart_ts("start_ms")
+                                                                       .alias("start_ts")))
+    return (t.seg_list.join(start, ["video_id", "seg"])
             .join(t.keywords, ["video_id", "seg"], "left")
             .select("video_id", "seg", "start_ts", F.coalesce("keywords", F.lit("")).alias("keywords")))

@@ -46,7 +46,8 @@ def q_read_cues(spark, sf_dir):
 
 @register("video_tiers", O.sql("SELECT * FROM tiers", "tiers"))
 def q_video_tiers(spark, sf_dir):
-    t = _captions(spark, sf_dir, materialize=False).tiers
+    from ..operators.captions import video_tiers
+    t = video_tiers(X.fx_cues(X.table(spark, sf_dir, "documents")))
     return t.select("video_id", "n_cues", "duration_s", "window_s", "threshold", "min_segments")
 
 
