@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import stage_table
 from .ordered import running_sum
 
 BATCH_SIZE = 100
@@ -22,7 +23,7 @@ def _strip(c):
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def md_to_blocks(md: DataFrame, id_col: str = "video_id", text_col: str = "md") -> DataFrame:
+def md_to_blocks(md: DataFrame, id_col: str = "video_id", text_col: str = "md", stage: bool = True) -> DataFrame:
     """``(video_id, block_no, type, language, text)``; one row per block.
 
     Blank lines outside code are skipped; fence lines toggle code mode; the lines
@@ -30,6 +31,9 @@ def md_to_blocks(md: DataFrame, id_col: str = "video_id", text_col: str = "md")
     other lines are headings 1-3, bullets, dividers or paragraphs."""
     lines = md.select(F.col(id_col).alias("video_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("ln", "line"))
     lines = lines.withColumn("s", _strip(F.col("line"))).withColumn("is_fence", F.col("s").startswith("```"))
+    if stage:
+        # the exploded lines feed six branches: split the documents once
+        lines = stage_table(lines, "md-lines")
     lines = running_sum(lines.withColumn("_f", F.col("is_fence").cast("long")), ["video_id"], "ln", "_f", "fences")
     # fences strictly before this line; odd = inside a code block
     lines = lines.withColumn("before", F.col("fences") - F.col("_f"))
@@ -111,7 +115,7 @@ def page_payloads(blocks: DataFrame, videos: DataFrame, database_id: str = "", t
         F.struct(F.struct(F.array(F.struct(F.struct(F.col("title").alias("content")).alias("text"))).alias("title"))
                  .alias("Name"),
                  F.struct(S.video_url("video_id", www=True).alias("url")).alias("URL")).alias("properties")))
-    head = F.regexp_replace(props, r"\}$", "")
+    head = F.regexp_replace(props, r"\}\z", "")
     payload = F.when(F.col("batch") == 0, F.concat(head, F.lit(',"children":['), F.col("children"), F.lit("]}"))) \
         .otherwise(F.concat(F.lit('{"children":['), F.col("children"), F.lit("]}")))
     return g.join(v, "video_id", "left").select("video_id", "batch", "n_children", "title", payload.alias("payload"))

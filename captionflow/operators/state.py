@@ -44,13 +44,15 @@ def conform(rows: DataFrame) -> DataFrame:
     return out
 
 
-def merge_videos(rows: DataFrame, ord_col: str = "ord", with_playlists: bool = False) -> DataFrame:
+def merge_videos(rows: DataFrame, ord_col: str = "ord", with_playlists: bool = False,
+                 extra_aggs: tuple = ()) -> DataFrame:
     """One row per ``video_id``: date/title = first non-weak in ``ord`` order
     (else the first row's value); flags = OR; other columns = first row's value.
 
     ``with_playlists`` (``dedup_state``) adds the ordered distinct union of all
     ``playlists`` arrays, computed as a (video, playlist) aggregate so no
-    video's observations are gathered into one list.
+    video's observations are gathered into one list. ``extra_aggs`` are more
+    aggregate columns computed in the same pass.
     """
     rows = conform(rows)
     agg = [
@@ -59,7 +61,10 @@ def merge_videos(rows: DataFrame, ord_col: str = "ord", with_playlists: bool = F
         *[F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for f in FLAGS],
         *[F.min_by(c, ord_col).alias(c) for c in EXTRA],
         F.min(ord_col).alias(ord_col),
+        *extra_aggs,
     ]
+    if with_playlists:
+        agg.append(F.bool_or(F.col("playlists").isNotNull()).alias("_has"))
     merged = rows.groupBy("video_id").agg(*agg)
     if not with_playlists:
         return merged
@@ -69,15 +74,14 @@ def merge_videos(rows: DataFrame, ord_col: str = "ord", with_playlists: bool = F
     lists = pl.groupBy("video_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("first", "playlist"))), lambda x: x["playlist"])
         .alias("playlists"))
-    has_pl = rows.groupBy("video_id").agg(F.bool_or(F.col("playlists").isNotNull()).alias("_has"))
-    return (merged.join(lists, "video_id", "left").join(has_pl, "video_id")
+    return (merged.join(lists, "video_id", "left")
             .withColumn("playlists", F.when(F.col("_has"), F.coalesce("playlists", F.array().cast("array<string>"))))
             .drop("_has"))
 
 
-def dedup_state(rows: DataFrame, ord_col: str = "ord") -> DataFrame:
+def dedup_state(rows: DataFrame, ord_col: str = "ord", extra_aggs: tuple = ()) -> DataFrame:
     """The merge applied before a state snapshot is written (adds playlists)."""
-    return merge_videos(rows, ord_col, with_playlists=True)
+    return merge_videos(rows, ord_col, with_playlists=True, extra_aggs=extra_aggs)
 
 
 def last_wins(rows: DataFrame, ord_col: str = "ord") -> DataFrame:
@@ -130,10 +134,8 @@ def upsert_listing(state: DataFrame, listing: DataFrame, playlist: str | None =
         ls = ls.withColumn("playlists", F.array(F.lit(playlist)))
     u = (st.unionByName(ls.select(*st.columns))
          .withColumn(ord_col, F.col("_src").cast("long") * F.lit(10 ** 12) + F.col(ord_col)))
-    merged = dedup_state(u, ord_col)
-    src = u.groupBy("video_id").agg(F.min("_src").alias("_s"))
-    return (merged.join(src, "video_id")
-            .withColumn("src", F.when(F.col("_s") == 0, "state").otherwise("listed")).drop("_s"))
+    merged = dedup_state(u, ord_col, extra_aggs=(F.min("_src").alias("_s"),))
+    return merged.withColumn("src", F.when(F.col("_s") == 0, "state").otherwise("listed")).drop("_s")
 
 
 def target_channel(listing: DataFrame, history: DataFrame) -> DataFrame:
