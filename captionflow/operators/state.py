@@ -149,7 +149,7 @@ def reverse_import(state: DataFrame, history: DataFrame, target: DataFrame,
     """History rows absent from the state that belong to the target channel:
     same ``channel_id``, else same ``uploader_id``, else the channel name inside
     the lowercase ``uploader``. ``target`` is one row (broadcast, size 1)."""
-    t = target.select(F.col("channel_id").alias("_tc"), F.col("uploader_id").alias("_tu")).limit(1)
+    t = target.select(F.col("channel_id").alias("_tc"), F.col("uploader_id").alias("_tu"))
     missing = history.join(state.select("video_id"), "video_id", "left_anti")
     # the one-row target is probed with two left equi-joins (broadcast, size 1)
     by_ch = F.broadcast(t.select("_tc").filter(F.col("_tc").isNotNull() & (F.col("_tc") != "")))

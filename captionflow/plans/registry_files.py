@@ -190,10 +190,11 @@ def _json_files(spark, d):
     return SF.describe_files(X.fx_json_files(_docs(spark, d)))
 
 
-O.cte("json_files", """
+MODERN, LEGACY = SF.STATE_PREFIXES
+O.cte("json_files", f"""
 SELECT 'd' || CAST(doc_id % 5 AS VARCHAR) || '/' ||
-  CASE WHEN doc_id % 97 = 0 THEN 'package.json' WHEN doc_id % 10 = 0 THEN 'escriba_' || source || '.json'
-       WHEN doc_id % 10 = 1 THEN 'lista_' || source || '.json'
+  CASE WHEN doc_id % 97 = 0 THEN 'package.json' WHEN doc_id % 10 = 0 THEN '{MODERN}' || source || '.json'
+       WHEN doc_id % 10 = 1 THEN '{LEGACY}' || source || '.json'
        WHEN doc_id % 10 <= 5 THEN 'chan-v' || lpad(CAST(doc_id AS VARCHAR), 10, '0') || '.info.json'
        ELSE 'notes' || CAST(doc_id % 10 AS VARCHAR) || '.json' END AS path,
   1700000000 + (doc_id * 37) % 1009 AS mtime_s
@@ -202,19 +203,19 @@ O.cte("json_desc", O.CTE["files_desc"].split(" AS (\n", 1)[1].rsplit("\n)", 1)[0
     "FROM files)", "FROM json_files)"), ["json_files"])
 
 
-@register("route_state_files", O.sql("""
-SELECT path, name, CASE WHEN starts_with(name, 'escriba_') OR starts_with(name, 'lista_') THEN 'state'
-  WHEN regexp_matches(name, '[A-Za-z0-9_-]{11}') THEN 'metadata' ELSE 'ignore' END AS route
+@register("route_state_files", O.sql(f"""
+SELECT path, name, CASE WHEN starts_with(name, '{MODERN}') OR starts_with(name, '{LEGACY}') THEN 'state'
+  WHEN regexp_matches(name, '[A-Za-z0-9_-]{{11}}') THEN 'metadata' ELSE 'ignore' END AS route
 FROM json_desc WHERE ext = 'json'
   AND name NOT IN ('package.json', 'package-lock.json', 'requirements.json', 'env.json')""", "json_desc"))
 def q_route_state_files(spark, d):
     return SF.route_state_files(_json_files(spark, d)).select("path", "name", "route")
 
 
-O.cte("latest", """
+O.cte("latest", f"""
 SELECT dir, arg_max(path, (mtime_s, path)) AS path, arg_max(name, (mtime_s, path)) AS name FROM (
   SELECT *, min(t) OVER (PARTITION BY dir) AS bt FROM (
-    SELECT *, CASE WHEN starts_with(name, 'escriba_') THEN 0 WHEN starts_with(name, 'lista_') THEN 1 END AS t
+    SELECT *, CASE WHEN starts_with(name, '{MODERN}') THEN 0 WHEN starts_with(name, '{LEGACY}') THEN 1 END AS t
     FROM json_desc WHERE ext = 'json') WHERE t IS NOT NULL)
 WHERE t = bt GROUP BY ALL""", ["json_desc"])
 
@@ -224,9 +225,9 @@ def q_latest_file(spark, d):
     return SF.latest_file(_json_files(spark, d))
 
 
-@register("infer_channel", O.sql("""
+@register("infer_channel", O.sql(f"""
 SELECT dir, path, coalesce(CASE WHEN length(path) % 2 = 0 THEN '@doc' || CAST(length(path) AS VARCHAR) END,
-  '@' || regexp_extract(name, '(?:escriba_|lista_)(.+)\\.json', 1)) AS channel FROM latest""", "latest"))
+  '@' || regexp_extract(name, '(?:{MODERN}|{LEGACY})(.+)\\.json', 1)) AS channel FROM latest""", "latest"))
 def q_infer_channel(spark, d):
     f = _json_files(spark, d)
     return FL.infer_channel(f, X.fx_state_paths(f.select("path").distinct()))
@@ -245,3 +246,23 @@ WHERE starts_with(value, '#') OR trim(value) = ''
             OR contains(trim(split_part(value, chr(9), 1)), 'example.org')))""", "inputs"))
 def q_filter_hosts(spark, d):
     return FL.filter_hosts(X.fx_host_lines(X.table(spark, d, "pages")), ALLOWED_HOSTS)
+
+
+SYNC_CHANNEL = "src1"
+
+
+@register("pick_state_file", O.sql(f"""
+SELECT d.dir, coalesce(ex, CASE WHEN n = 1 THEN mn END, ct, nw, d.dir || '/{MODERN}{SYNC_CHANNEL}.json') AS path,
+  a.dir IS NULL AS is_new
+FROM (SELECT DISTINCT dir FROM json_desc) d LEFT JOIN (
+  SELECT dir, count(*) AS n, max(CASE WHEN name = '{MODERN}{SYNC_CHANNEL}.json' THEN path END) AS ex,
+    min(path) AS mn, min(CASE WHEN contains(name, '{SYNC_CHANNEL}') THEN path END) AS ct,
+    arg_max(path, (mtime_s, path)) AS nw
+  FROM (SELECT * FROM (
+          SELECT *, min(t) OVER (PARTITION BY dir) AS bt FROM (
+            SELECT *, CASE WHEN starts_with(name, '{MODERN}') THEN 0 WHEN starts_with(name, '{LEGACY}') THEN 1 END
+              AS t FROM json_desc WHERE ext = 'json') WHERE t IS NOT NULL) WHERE t = bt)
+  GROUP BY dir) a USING (dir)""", "json_desc"))
+def q_pick_state_file(spark, d):
+    """Sync-time choice of the state file per folder for one channel."""
+    return SF.pick_state_file(_json_files(spark, d), SYNC_CHANNEL)

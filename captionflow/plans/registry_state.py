@@ -92,8 +92,8 @@ def q_union_playlists(spark, d):
 
 
 # ------------------------------------------------------------------ sources
-O.cte("state_doc_rows", """
-SELECT 'escriba_' || channel_id || '.json' AS path,
+O.cte("state_doc_rows", f"""
+SELECT '{SF.STATE_PREFIXES[0]}' || channel_id || '.json' AS path,
   CASE WHEN CAST(regexp_extract(channel_id, '(\\d+)$', 1) AS INTEGER) % 2 = 0 THEN channel_id END AS channel,
   CAST(row_number() OVER (PARTITION BY channel_id ORDER BY ord) - 1 AS BIGINT) AS pos, *
 FROM obs_rows""", ["obs_rows"])

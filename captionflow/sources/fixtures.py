@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .state_files import STATE_PREFIXES
+
 SENTENCE_RE = r"[^.!?\n]+[.!?]*"
 MS_PER_WORD = 2000
 OUTCOME_AS_OF = "2024-01-31"
@@ -178,7 +180,8 @@ def fx_state_docs(events: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("ord", vid.alias("v")))), lambda x: x["v"]).alias("videos"))
     doc = F.when(n % 2 == 0, F.to_json(F.struct(F.col("channel_id").alias("channel"), "videos"))) \
         .otherwise(F.to_json("videos"))
-    return docs.select(F.concat(F.lit("escriba_"), F.col("channel_id"), F.lit(".json")).alias("path"), doc.alias("doc"))
+    return docs.select(F.concat(F.lit(STATE_PREFIXES[0]), F.col("channel_id"), F.lit(".json")).alias("path"),
+                       doc.alias("doc"))
 
 
 def fx_info_docs(events: DataFrame) -> DataFrame:
@@ -224,8 +227,8 @@ def fx_json_files(documents: DataFrame) -> DataFrame:
     v = F.concat(F.lit("v"), F.lpad(d.cast("string"), 10, "0"))
     folder = F.concat(F.lit("d"), (d % 5).cast("string"))
     name = (F.when(d % 97 == 0, F.lit("package.json"))
-            .when(d % 10 == 0, F.concat(F.lit("escriba_"), F.col("source"), F.lit(".json")))
-            .when(d % 10 == 1, F.concat(F.lit("lista_"), F.col("source"), F.lit(".json")))
+            .when(d % 10 == 0, F.concat(F.lit(STATE_PREFIXES[0]), F.col("source"), F.lit(".json")))
+            .when(d % 10 == 1, F.concat(F.lit(STATE_PREFIXES[1]), F.col("source"), F.lit(".json")))
             .when(d % 10 <= 5, F.concat(F.lit("chan-"), v, F.lit(".info.json")))
             .otherwise(F.concat(F.lit("notes"), (d % 10).cast("string"), F.lit(".json"))))
     return documents.select(F.concat(folder, F.lit("/"), name).alias("path"),

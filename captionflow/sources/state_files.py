@@ -32,10 +32,11 @@ INFO_DOC = T.StructType([T.StructField(n, T.StringType()) for n in (
                                T.StructField("duration", T.DoubleType()), T.StructField("view_count", T.LongType())])
 
 # ---------------------------------------------------------------------------
-# Legacy log file names and the kind each one records
+# Names of the existing state files, legacy log files and the
+# kind each log records; they must match the files the tool already wrote.
 # ---------------------------------------------------------------------------
 LEGACY_LOGS = {"historico.txt": "subtitle", "historico-info.txt": "info", "videos_sem_legenda.txt": "no_subtitle"}
-STATE_PREFIXES = ("escriba_", "lista_")
+STATE_PREFIXES = ("escriba_", "lista_")          # modern prefix, legacy prefix
 BLACKLIST = ("package.json", "package-lock.json", "requirements.json", "env.json")
 SKIP_DIRS = (".git", ".venv", "__pycache__")
 
@@ -206,3 +207,26 @@ def latest_file(files: DataFrame, channel: str | None = None, by: str = "dir",
     c = cand.join(best_tier, by).filter(F.col("_t") == F.col("_bt"))
     key = F.struct(F.col("mtime_s"), F.col("path"))
     return c.groupBy(by).agg(F.max_by("path", key).alias("path"), F.max_by("name", key).alias("name"))
+
+
+def pick_state_file(files: DataFrame, channel: str, by: str = "dir", prefixes=STATE_PREFIXES) -> DataFrame:
+    """Per folder, the state file a channel sync reads and rewrites: the exact
+    modern name; else the folder's only state file (modern files, legacy ones
+    only when no modern exists); else the first by path whose name contains the
+    channel; else the newest. A folder without state files gets a new file
+    (``is_new``). One aggregate per folder; no ordering of whole folders."""
+    name = F.col("name")
+    target = f"{prefixes[0]}{channel}.json"
+    tier = F.when(name.startswith(prefixes[0]), 0).when(name.startswith(prefixes[1]), 1)
+    cand = files.filter(F.col("ext") == "json").withColumn("_t", tier).filter(F.col("_t").isNotNull())
+    best = cand.groupBy(by).agg(F.min("_t").alias("_bt"))
+    c = cand.join(best, by).filter(F.col("_t") == F.col("_bt"))
+    g = c.groupBy(by).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(F.when(name == target, F.col("path"))).alias("_ex"),
+        F.min("path").alias("_mn"), F.min(F.when(name.contains(channel), F.col("path"))).alias("_ct"),
+        F.max_by("path", F.struct("mtime_s", "path")).alias("_nw"))
+    dirs = files.select(by).distinct()
+    new_path = F.concat(F.col(by), F.lit("/" + target))
+    return (dirs.join(g, by, "left")
+            .select(by, F.coalesce("_ex", F.when(F.col("_n") == 1, F.col("_mn")), "_ct", "_nw", new_path).alias("path"),
+                    F.col("_n").isNull().alias("is_new")))

@@ -53,11 +53,11 @@ def test_state_documents_both_shapes(spark):
     obj = json.dumps({"channel": "@c", "detected_language": "^pt$",
                       "videos": [{"video_id": "aaaaaaaaaaa", "title": "x"}, {"id": "bbbbbbbbbbb"}, {"title": "no id"}]})
     arr = json.dumps([{"id": "ccccccccccc", "publish_date": "2024-01-01"}])
-    docs = spark.createDataFrame([("escriba_c.json", obj), ("lista_d.json", arr), ("bad.json", "{not json")],
+    docs = spark.createDataFrame([(f"{SF.STATE_PREFIXES[0]}c.json", obj), (f"{SF.STATE_PREFIXES[1]}d.json", arr), ("bad.json", "{not json")],
                                  "path string, doc string")
     rows = sorted((r.path, r.pos, r.video_id, r.doc_channel) for r in SF.parse_state_documents(docs).collect())
-    assert rows == [("escriba_c.json", 0, "aaaaaaaaaaa", "@c"), ("escriba_c.json", 1, "bbbbbbbbbbb", "@c"),
-                    ("lista_d.json", 0, "ccccccccccc", None)]
+    assert rows == [(f"{SF.STATE_PREFIXES[0]}c.json", 0, "aaaaaaaaaaa", "@c"), (f"{SF.STATE_PREFIXES[0]}c.json", 1, "bbbbbbbbbbb", "@c"),
+                    (f"{SF.STATE_PREFIXES[1]}d.json", 0, "ccccccccccc", None)]
 
 
 def test_video_info_rules(spark):
