@@ -84,12 +84,6 @@ def dedup_state(rows: DataFrame, ord_col: str = "ord", extra_aggs: tuple = ()) -
     return merge_videos(rows, ord_col, with_playlists=True, extra_aggs=extra_aggs)
 
 
-def last_wins(rows: DataFrame, ord_col: str = "ord") -> DataFrame:
-    """One row per id, the last in order (loading a single state document)."""
-    w = Window.partitionBy("video_id").orderBy(F.col(ord_col).desc())
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-
-
 def union_history(*sources: DataFrame, ord_col: str = "ord") -> DataFrame:
     """Union of state-file rows and metadata rows (in the given source order),
     merged by id. Each source keeps its own ``ord``; the source index leads."""

@@ -37,6 +37,15 @@ class CaptionTables:
             self._cache[name] = df
         return self._cache[name]
 
+    def cleanup(self) -> None:
+        """Delete the staged tables of this run (call after its results are written)."""
+        from ..session import drop_table_path
+        for df in self._cache.values():
+            path = getattr(df, "_staged_path", None)
+            if path:
+                drop_table_path(df.sparkSession, path)
+        self._cache.clear()
+
     @property
     def tiers(self):
         # from the staged fold output: a partial+final aggregate of one scan

@@ -97,9 +97,10 @@ def q_write_markdown(spark, d):
     from ..plans.captions import CaptionTables
     from ..sources.sinks import read_markdown, write_markdown
     docs = X.table(spark, d, "documents")
-    frags = CaptionTables(X.fx_cues(docs)).markdown(X.fx_videos(docs))
+    t = CaptionTables(X.fx_cues(docs))
     out = _scratch(spark, "markdown")
-    write_markdown(frags, out)
+    write_markdown(t.markdown(X.fx_videos(docs)), out)
+    t.cleanup()
     return read_markdown(spark, out)
 
 

@@ -74,4 +74,13 @@ def stage_table(df, name: str):
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/stage-{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._staged_path = path   # for cleanup by the owner of the stage
+    return out
+
+
+def drop_table_path(spark: SparkSession, path: str) -> None:
+    """Delete a staged table folder (shared storage, through Hadoop's FileSystem)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
