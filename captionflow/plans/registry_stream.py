@@ -68,7 +68,7 @@ def q_stream_pending(spark, d):
     q = SS.stream_pending(spark, f"{root}/outcomes", f"{root}/out", f"{root}/pending", f"{root}/ckpt2",
                           as_of=X.OUTCOME_AS_OF)
     q.awaitTermination()
-    s = SS.read_snapshot(spark, f"{root}/pending")
+    s = SS.read_pending(spark, f"{root}/out", f"{root}/pending")
     return s.select("video_id", "subtitle_downloaded", "has_no_subtitle")
 
 
