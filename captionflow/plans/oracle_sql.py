@@ -62,7 +62,7 @@ SELECT {VID} AS video_id, 'chan-' || {VID} AS title, 'Desconhecida' AS publish_d
 cte("tiers", """
 SELECT video_id, n_cues, duration_s,
   CASE WHEN duration_s < 1800 THEN 30 WHEN duration_s < 3600 THEN 60 ELSE 90 END AS window_s,
-  CASE WHEN duration_s < 1800 THEN 0.25 WHEN duration_s < 3600 THEN 0.35 ELSE 0.50 END AS threshold,
+  CAST(CASE WHEN duration_s < 1800 THEN 0.25 WHEN duration_s < 3600 THEN 0.35 ELSE 0.50 END AS DOUBLE) AS threshold,
   CASE WHEN duration_s < 1200 THEN 3 WHEN duration_s < 2400 THEN 5 WHEN duration_s < 3600 THEN 7 ELSE 10 END
     AS min_segments
 FROM (SELECT video_id, count(*) AS n_cues, CAST(floor(arg_max(end_ms, seq) / 1000) AS BIGINT) AS duration_s

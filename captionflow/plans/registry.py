@@ -69,7 +69,7 @@ def q_window_text(spark, sf_dir):
 
 
 @register("drop_stopwords", O.sql("""
-SELECT a.video_id, a.win, a.n_tokens, coalesce(b.n_kept, 0) AS n_kept
+SELECT a.video_id, a.win, a.n_tokens, CAST(coalesce(b.n_kept, 0) AS BIGINT) AS n_kept
 FROM (SELECT video_id, win, count(*) AS n_tokens FROM _tok GROUP BY ALL) a
 LEFT JOIN (SELECT video_id, win, sum(tf) AS n_kept FROM _tf GROUP BY ALL) b USING (video_id, win)""", "_tok", "_tf"))
 def q_drop_stopwords(spark, sf_dir):

@@ -430,7 +430,8 @@ SELECT c.channel, coalesce(split_part(split_part(b.tag, '-', 1), '_', 1), 'pt')
 FROM (SELECT DISTINCT channel FROM tags) c
 LEFT JOIN (SELECT channel, arg_min(tag, (-votes, first)) AS tag, arg_min(votes, (-votes, first)) AS votes
            FROM lang_votes GROUP BY ALL) b USING (channel)
-LEFT JOIN (SELECT channel, sum(votes) AS n FROM lang_votes GROUP BY ALL) n USING (channel)""", ["lang_votes"])
+LEFT JOIN (SELECT channel, CAST(sum(votes) AS BIGINT) AS n FROM lang_votes GROUP BY ALL) n USING (channel)""",
+      ["lang_votes"])
 
 
 @register("detect_language", O.sql("SELECT * FROM detected", "detected"))
