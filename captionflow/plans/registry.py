@@ -141,7 +141,7 @@ def q_paragraphs(spark, sf_dir):
     return _captions(spark, sf_dir).paragraphs()
 
 
-@register("dedup_lines", O.sql("SELECT video_id, seg, para, length(text) AS n_chars, text FROM paragraphs",
+@register("dedup_lines", O.sql("SELECT video_id, seg, para, CAST(length(text) AS INTEGER) AS n_chars, text FROM paragraphs",
                                "paragraphs"))
 def q_dedup_lines(spark, sf_dir):
     """Paragraph bodies after roll-up line merging (same pass as ``paragraphs``)."""

@@ -56,7 +56,7 @@ def q_md_to_blocks(spark, d):
     return B.md_to_blocks(_md(spark, d))
 
 
-@register("code_fences", O.sql("SELECT video_id, block_no, language, length(text) AS n_chars, text FROM md_blocks "
+@register("code_fences", O.sql("SELECT video_id, block_no, language, CAST(length(text) AS INTEGER) AS n_chars, text FROM md_blocks "
                                "WHERE type = 'code'", "md_blocks"))
 def q_code_fences(spark, d):
     """Code blocks only: fence pairs, their language and the lines between."""
@@ -91,7 +91,8 @@ def q_rich_text(spark, d):
 
 
 @register("chunk_text", O.sql("""
-SELECT video_id, block_no, count(*) AS n_pieces, max(length(content)) AS longest FROM md_spans GROUP BY ALL""",
+SELECT video_id, block_no, count(*) AS n_pieces, CAST(max(length(content)) AS INTEGER) AS longest FROM md_spans
+GROUP BY ALL""",
                               "md_spans"))
 def q_chunk_text(spark, d):
     """Span pieces per block after cutting at 2000 characters."""
@@ -137,7 +138,7 @@ SELECT doc_id,
                   ELSE 'plain text' END AS fence_language,
   CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'Introdução — ' || lang ELSE 'Introdução' END
        ELSE CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'Tópico ' || CAST(doc_id % 3 + 1 AS VARCHAR) END END AS topic_label,
-  CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) - 1) // 2000 + 1 END AS n_chunks
+  CAST(CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) - 1) // 2000 + 1 END AS INTEGER) AS n_chunks
 FROM (SELECT *, split_part(text, chr(10), 1) AS fl FROM documents)""", "md_docs"))
 def q_scalar_text(spark, d):
     """The scalar Column functions projected over every document."""
