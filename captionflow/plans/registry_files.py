@@ -37,6 +37,9 @@ FROM (SELECT path, regexp_extract(path, '([^/]+)$', 1) AS name, mtime_s FROM fil
 
 @register("list_files", O.sql("SELECT * FROM files_desc", "files_desc"))
 def q_list_files(spark, d):
+    """Inventory columns (folder, name, extension, id, language, mtime) for the
+    FX-FILES paths: the per-path half of ``list_files``; its directory listing
+    (binaryFile) is exercised on a real folder in tests/test_sources.py."""
     return _files(spark, d)
 
 

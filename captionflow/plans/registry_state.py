@@ -104,6 +104,8 @@ SELECT path, channel, pos, video_id, publish_date, title, subtitle_downloaded, i
   array_to_string(playlists, ',') AS playlists, channel_id, uploader, uploader_id, duration_s, view_count
 FROM state_doc_rows""", "state_doc_rows"))
 def q_read_channel_state(spark, d):
+    """State documents (both shapes) parsed from their JSON text by the reader's
+    parse step; the file-reading wrapper is tested on a real folder."""
     r = SF.parse_state_documents(X.fx_state_docs(_ev(spark, d)))
     return r.select("path", F.col("doc_channel").alias("channel"), "pos", "video_id", "publish_date", "title", "subtitle_downloaded",
                     "info_downloaded", "has_no_subtitle", _pl(), "channel_id", "uploader", "uploader_id",
@@ -113,6 +115,7 @@ def q_read_channel_state(spark, d):
 @register("read_listing", O.sql("""
 SELECT video_id, ord, title, upload_date, epoch_s FROM listing WHERE ord % 50 <> 0 AND ord % 51 <> 0""", "listing"))
 def q_read_listing(spark, d):
+    """JSON listing lines (some cut, some without id) parsed by the reader's parse step."""
     lines = X.fx_listing_docs(X.table(spark, d, "orders"))
     return SF.parse_listing_lines(lines).select("video_id", "ord", "title", "upload_date", "epoch_s")
 
@@ -143,6 +146,7 @@ FROM (
 
 @register("read_video_info", O.sql("SELECT * EXCLUDE (ord) FROM info_rows", "info_rows"))
 def q_read_video_info(spark, d):
+    """Per-video metadata documents parsed by the reader's parse step."""
     return SF.parse_video_info(X.fx_info_docs(_ev(spark, d)))
 
 
@@ -277,6 +281,7 @@ UNION SELECT DISTINCT 'no_subtitle', video_id FROM obs WHERE has_no_subtitle""",
 
 @register("read_legacy_logs", O.sql("SELECT * FROM log_ids", "log_ids"))
 def q_read_legacy_logs(spark, d):
+    """Legacy log lines (with noise) parsed into (kind, video_id) by the reader's parse step."""
     return SF.parse_log_lines(X.fx_log_lines(_ev(spark, d)))
 
 
