@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
-from ..operators import blocks as B
 from ..operators import files as FL
 from ..operators import state as ST
 from ..sources import fixtures as X

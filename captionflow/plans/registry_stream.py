@@ -86,8 +86,6 @@ def q_stream_topics(spark, d):
     return SS.read_topics(spark, f"{root}/out")
 
 
-__all__ = ["ST"]
-
 
 # ------------------------------------------------------------------ sinks
 @register("write_markdown", O.sql("""

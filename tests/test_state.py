@@ -2,8 +2,6 @@
 
 import json
 
-from pyspark.sql import Row
-
 from captionflow.functions import scalars as S
 from captionflow.operators import state as ST
 from captionflow.sources import state_files as SF
