@@ -48,3 +48,35 @@ def channel_sync(history: DataFrame, state: DataFrame, listing: DataFrame, files
         return SyncResult(full, plan, None, None)
     applied = ST.apply_outcomes(plan, outcomes, as_of, audio_only=audio_only)
     return SyncResult(full, plan, applied, ST.session_summary(applied))
+
+
+def regen_markdown(spark, root: str, state: DataFrame | None = None, note: str | None = None) -> DataFrame:
+    """Offline regeneration: Markdown fragments for every caption file under
+    ``root`` and ``root/archive`` that has no Markdown file next to it; titles
+    from the stored state (file stem when unknown), dates unknown.
+
+    All caption files are read in one pass and the ones to convert are kept with
+    a semi-join on their path (no file list goes through the driver)."""
+    from ..operators import files as FL
+    from ..operators import transcript as TR
+    from ..sources.srt import parse_srt
+    from ..sources.state_files import list_files
+    from ..functions import scalars as S
+    from .captions import CaptionTables
+
+    inv = list_files(spark, root)
+    inputs = FL.scan_regen_inputs(inv)
+    md_stems = inv.filter(F.col("ext") == "md").select(F.regexp_replace("path", r"\.md$", "").alias("_stem"))
+    todo = (inputs.withColumn("_stem", F.regexp_replace("path", r"\.srt$", ""))
+            .join(md_stems, "_stem", "left_anti").select("path", "video_id", "name"))
+    raw = (spark.read.option("pathGlobFilter", "*.srt").option("recursiveFileLookup", "true")
+           .text(root, wholetext=True)
+           .select(F.col("value").alias("srt"), F.col("_metadata.file_path").alias("path")))
+    files = raw.join(todo, "path", "left_semi").join(todo.select("path", "video_id", "name"), "path")
+    cues = parse_srt(files.select("srt", "video_id", S.extract_lang("name").alias("lang")))
+    titles = (FL.lookup_titles(todo, state) if state is not None else
+              todo.select("path", "video_id", F.regexp_replace("name", r"\.[^.]*$", "").alias("title")))
+    videos = titles.groupBy("video_id").agg(F.min("title").alias("title")).withColumn(
+        "publish_date", F.lit(TR.UNKNOWN_DATE))
+    t = CaptionTables(cues)
+    return t.markdown(videos, note) if note else t.markdown(videos)

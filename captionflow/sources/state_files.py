@@ -164,7 +164,7 @@ def describe_files(files: DataFrame, path_col: str = "path", mtime_col: str = "m
 
 def list_files(spark: SparkSession, root: str, exts=("srt", "md", "json")) -> DataFrame:
     """Files of ``root`` and its direct sub-folders (except tool folders): path,
-    name, id, language, extension, mtime. Content is never read (the
+    folder (relative to ``root``), name, id, language, extension, mtime. Content is never read (the
     ``binaryFile`` source prunes the ``content`` column; it skips zero-length files)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(root)
@@ -175,7 +175,8 @@ def list_files(spark: SparkSession, root: str, exts=("srt", "md", "json")) -> Da
     rel = F.substring(F.col("path"), len(prefix) + 2, 1 << 30)
     parts = F.split(rel, "/")
     keep = (F.size(parts) == 1) | ((F.size(parts) == 2) & ~parts[0].isin(*SKIP_DIRS))
-    return describe_files(df.filter(keep))
+    # folders relative to the root: "" for the root itself, e.g. "archive" below it
+    return describe_files(df.filter(keep)).withColumn("dir", F.regexp_extract(rel, r"^(.*)/[^/]*$", 1))
 
 
 def route_state_files(files: DataFrame, prefixes=STATE_PREFIXES, blacklist=BLACKLIST) -> DataFrame:

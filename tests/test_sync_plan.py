@@ -35,3 +35,24 @@ def test_channel_sync_invariants(spark, sf_small):
     # listed videos carry the playlist context
     pl = st.filter(F.array_contains("playlists", "PLX")).select("video_id").collect()
     assert {x.video_id for x in pl} >= listed
+
+
+def test_regen_markdown_skips_converted(spark):
+    import os
+    import tempfile
+    from captionflow.plans.sync import regen_markdown
+    d = tempfile.mkdtemp(prefix="regen-", dir="/tmp")
+    os.makedirs(os.path.join(d, "archive"))
+    srt = "".join(f"{i + 1}\n00:00:{i * 10:02d},000 --> 00:00:{i * 10 + 9:02d},000\nword{i} topic{i % 3} idea{i}.\n\n"
+                  for i in range(5))
+    for name in ("chan-abcdefghijk-pt.srt", "archive/chan-bcdefghijkl-en.srt", "chan-cdefghijklm-pt.srt"):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(srt)
+    with open(os.path.join(d, "chan-cdefghijklm-pt.md"), "w") as f:     # already converted
+        f.write("# done\n")
+    state = spark.createDataFrame([("abcdefghijk", 1, "Stored title")], "video_id string, ord long, title string")
+    frags = regen_markdown(spark, d, state)
+    heads = {r.video_id: r.fragment for r in frags.filter("part = 0").collect()}
+    assert set(heads) == {"abcdefghijk", "bcdefghijkl"}
+    assert heads["abcdefghijk"].startswith("## Stored title ")
+    assert heads["bcdefghijkl"].startswith("## chan-bcdefghijkl-en ")
