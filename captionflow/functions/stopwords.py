@@ -1,15 +1,14 @@
-"""Stopword sets: Spark's built-in lists plus spoken-language filler markers.
+"""Stopword sets: base lists plus spoken-language filler markers.
 
-The base lists are the ones ``pyspark.ml.feature.StopWordsRemover`` ships (read
-straight from the installed Spark jar, so no JVM is needed to build SQL text).
+The base lists are fixed values: the word lists Apache Spark ships for
+``pyspark.ml.feature.StopWordsRemover``, kept as plain text in
+``stopword_lists/`` (``base_dir`` names another folder of such files).
 """
 
 from __future__ import annotations
 
 import functools
-import glob
 import os
-import zipfile
 
 # ---------------------------------------------------------------------------
 # Spoken filler markers added to each base list. These must equal
@@ -44,13 +43,13 @@ PARITY_LANGS = ("pt", "en", "es")
 DEFAULT_LANG = "pt"
 
 
+BASE_DIR = os.path.join(os.path.dirname(os.path.abspath(__file__)), "stopword_lists")
+
+
 @functools.lru_cache(maxsize=None)
-def _spark_list(name: str) -> tuple[str, ...]:
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        text = z.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode("utf-8")
-    return tuple(w for w in text.split() if w)
+def base_list(name: str, base_dir: str = BASE_DIR) -> tuple[str, ...]:
+    with open(os.path.join(base_dir, f"{name}.txt"), encoding="utf-8") as f:
+        return tuple(f.read().split())
 
 
 @functools.lru_cache(maxsize=None)
@@ -63,7 +62,7 @@ def stopword_rows(native_lang: bool = False) -> tuple[tuple[str, str], ...]:
     langs = list(PARITY_LANGS) + (["fr", "de"] if native_lang else [])
     rows = set()
     for lang in langs:
-        for w in _spark_list(BASE_LIST[lang]):
+        for w in base_list(BASE_LIST[lang]):
             rows.add((lang, w))
         for w in ORAL_MARKERS.get(lang, []):
             rows.add((lang, w))

@@ -8,8 +8,6 @@ dependency order.
 
 from __future__ import annotations
 
-import re
-
 from ..functions import stopwords as sw
 
 CTE: dict[str, str] = {}
@@ -36,6 +34,10 @@ def sql(final: str, *names: str) -> str:
     return "WITH RECURSIVE\n" + ",\n".join(CTE[n] for n in order) + "\n" + final
 
 
+def finish(text: str) -> str:
+    return text.replace(STOPWORD_SLOT, sw.sql_values()) if STOPWORD_SLOT in text else text
+
+
 VID = "'v' || lpad(cast(doc_id AS VARCHAR), 10, '0')"
 
 # ---------------------------------------------------------------- fixtures
@@ -116,7 +118,9 @@ FROM _wraw w JOIN _wnum n USING (video_id, rawwin)""", ["_wraw", "_wnum"])
 # ---------------------------------------------------------------- TF-IDF and topics
 SWKEY = ("CASE WHEN substr(coalesce({c}, 'pt'), 1, 2) IN ('pt', 'en', 'es') "
          "THEN substr(coalesce({c}, 'pt'), 1, 2) ELSE 'pt' END")
-cte("_sw", f"SELECT * FROM (VALUES {sw.sql_values()}) AS t(swkey, term)")
+# the word lists are filled in by finish(), when oracle_sql() is called
+STOPWORD_SLOT = "/*stopword rows*/"
+cte("_sw", f"SELECT * FROM (VALUES {STOPWORD_SLOT}) AS t(swkey, term)")
 cte("_tok", f"""
 SELECT video_id, win, {SWKEY.format(c='lang')} AS swkey,
        unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term
@@ -191,9 +195,6 @@ FROM (
 WHERE rk <= 13 GROUP BY ALL""", ["windows", "segs", "_sw"])
 
 
-def strip_comments(s: str) -> str:
-    return re.sub(r"--[^\n]*", "", s)
-
 # ---------------------------------------------------------------- segment table, paragraphs, Markdown
 cte("seg_table", """
 SELECT l.video_id, l.seg, st.start_ms, st.start_ts, st.duration, coalesce(k.keywords, '') AS keywords,

@@ -163,7 +163,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return {name: O.finish(text) for name, text in ORACLE.items()}
 
 
 @register("stopword_sets", O.sql(f"""
