@@ -68,13 +68,13 @@ def _phrase_places(words, phrases):
     for phrase, label in phrases:
         parts = phrase.split()
 
-        def here(i, parts=parts):
+        def here(i):
             ok = F.get(words, i) == parts[0]
             for k, p in enumerate(parts[1:], 1):
                 ok = ok & (F.get(words, i + k) == p)
             return F.coalesce(ok, F.lit(False))
         starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
-        out.append(F.transform(starts, lambda i, label=label: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label"))))
+        out.append(F.transform(starts, lambda i: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label"))))
     return F.concat(*out)
 
 

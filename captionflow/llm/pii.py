@@ -133,8 +133,8 @@ def _all_spans(text: Column, loose: bool) -> Column:
         else:
             hits = found(text, STRICT[kind])
         if not loose:
-            hits = F.filter(hits, lambda x, kind=kind: _strict_ok(kind, x["hit"]))
-        spans = F.transform(hits, lambda x, k=k: _span(x["start"], k, x["hit"]))
+            hits = F.filter(hits, lambda x: _strict_ok(kind, x["hit"]))
+        spans = F.transform(hits, lambda x: _span(x["start"], k, x["hit"]))
         parts.append(F.when(some[kind], spans).otherwise(F.array().cast(_NONE)))
     return F.array_sort(F.concat(*parts))
 
@@ -317,6 +317,6 @@ def scan_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     added = F.filter("others", lambda s: probability(s, weights) >= threshold)
     every = F.array_sort(F.concat(plain(F.col("base")), plain(added)))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return cands.select("doc_id", *counts, span_text(plain(F.col("base")), KINDS).alias("base_spans"),
                         span_text(every, KINDS).alias("spans"))

@@ -81,6 +81,16 @@ def words(data: np.ndarray, is_word: np.ndarray, fold: np.ndarray | None = LOWER
     return np.concatenate(hashes), start, end
 
 
+def prefixes(data: np.ndarray, start: np.ndarray, end: np.ndarray, n: int, fold: np.ndarray = LOWER) -> np.ndarray:
+    """Hash of the first ``n`` bytes of each word that is longer."""
+    start = start[end - start > n]
+    h = np.full(len(start), n, U64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            h = h * U64(_P) + fold[data[start + k]].astype(U64) + U64(1)
+    return mix(h)
+
+
 def grams(codes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """Hash of each run of ``n`` successive codes; empty if there are fewer."""
     if len(codes) < n:

@@ -25,11 +25,14 @@ from .common import bound_batches, held_out
 from .quality import training_rows
 
 SLOTS = 1 << 18
+#: Bytes of a word's start that make an indicator of their own.
+PREFIXES = (5, 7)
 #: Most training rows of each class that the fits read.
 SAMPLE_PER_CLASS = 4000
-#: An indicator has a weight if at least so many sample rows have it.
-MIN_ROWS = 4
-THRESHOLD = 0.5
+#: An indicator has a weight if its counts in the classes of some category differ so
+#: clearly (log-likelihood ratio of independence, in nats times two).
+MIN_RATIO = 20.0
+THRESHOLD = 0.4
 FOLDS = 5
 U64 = np.uint64
 
@@ -42,9 +45,11 @@ CATEGORIES = {
 
 
 def features(data: np.ndarray) -> np.ndarray:
-    """The sorted slots of the words (letters and digits, ASCII letters lowered)."""
-    h, _, _ = texthash.words(data, texthash.ALNUM)
-    return np.unique((h % U64(SLOTS)).astype(np.int32))
+    """The sorted slots of the words (letters and digits, ASCII letters lowered) and
+    of the first bytes of longer words."""
+    h, start, end = texthash.words(data, texthash.ALNUM)
+    every = np.concatenate([h, *(texthash.prefixes(data, start, end, n) for n in PREFIXES)])
+    return np.unique((every % U64(SLOTS)).astype(np.int32))
 
 
 def _sigmoid(z):
@@ -83,15 +88,13 @@ def _minimise(f, w: np.ndarray, steps: int = 60, memory: int = 8) -> np.ndarray:
     return w
 
 
-def logistic(x: list[np.ndarray], dense: np.ndarray, y: np.ndarray, slots: int, ridge: float = 3e-5
+def logistic(x: list[np.ndarray], dense: np.ndarray, y: np.ndarray, slots: int, ridge: float = 1e-3
              ) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic model over unit rows of indicators (``x``: slots of each row) and
-    dense columns. Returns the weights of the slots and of the dense columns, and
+    """Logistic model over indicators (``x``: slots of each row) and dense columns. Returns the weights of the slots and of the dense columns, and
     the shift."""
     size = np.array([len(i) for i in x], np.int64)
     at = np.concatenate(x) if size.sum() else np.zeros(0, np.int32)
     who = np.repeat(np.arange(len(x)), size)
-    value = (1 / np.sqrt(np.maximum(size, 1)))[who]
     n1, n0 = max(1.0, y.sum()), max(1.0, (1 - y).sum())
     # halfway between the classes as they come and classes of equal weight
     weight = np.where(y > 0, math.sqrt(n0 / n1), 1.0)
@@ -99,9 +102,9 @@ def logistic(x: list[np.ndarray], dense: np.ndarray, y: np.ndarray, slots: int,
     k = dense.shape[1]
 
     def loss(w):
-        z = np.bincount(who, value * w[at], len(x)) + dense @ w[slots:slots + k] + w[-1]
+        z = np.bincount(who, w[at], len(x)) + dense @ w[slots:slots + k] + w[-1]
         g = weight * (_sigmoid(z) - y)
-        grad = np.concatenate((np.bincount(at, value * g[who], slots)[:slots], dense.T @ g, [g.sum()]))
+        grad = np.concatenate((np.bincount(at, g[who], slots)[:slots], dense.T @ g, [g.sum()]))
         grad[:-1] += ridge * w[:-1]
         return float(weight @ (np.logaddexp(0, z) - y * z) + ridge / 2 * (w[:-1] @ w[:-1])), grad
 
@@ -120,25 +123,38 @@ class Chain:
     def predict(self, slots: np.ndarray) -> list[float]:
         cols = self.slot_of[slots]
         cols = cols[cols >= 0]
-        unit = 1 / math.sqrt(max(len(cols), 1))
         p: list[float] = []
         for k in range(len(self.names)):
-            z = float(self.weight[k][cols].sum()) * unit + self.shift[k] + float(self.earlier[k] @ np.array(p))
+            z = float(self.weight[k][cols].sum()) + self.shift[k] + float(self.earlier[k] @ np.array(p))
             p.append(float(_sigmoid(z)))
         return p
 
 
+def telling(x: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """By slot, the log-likelihood ratio statistic of indicator and class, 0 where the
+    indicator is no likelier in class 1."""
+    if not x:
+        return np.zeros(SLOTS)
+    with_1 = np.bincount(np.concatenate([*(i for i, t in zip(x, y) if t > 0), np.zeros(0, np.int32)]), minlength=SLOTS)
+    with_any = np.bincount(np.concatenate(x), minlength=SLOTS)
+    n1, n = float((y > 0).sum()), float(len(x))
+    out = np.zeros(SLOTS)
+    for seen, of in ((with_1, n1), (with_any - with_1, n - n1)):
+        for part, whole in ((seen, with_any), (of - seen, n - with_any)):
+            mean = whole * of / n
+            out += 2 * np.where(part > 0, part * np.log(np.maximum(part, 1e-9) / np.maximum(mean, 1e-9)), 0)
+    return np.where(with_1 * n > with_any * n1, out, 0)
+
+
 def fit_chain(x: list[np.ndarray], y: np.ndarray, names: tuple[str, ...], folds: int = FOLDS) -> Chain:
     """``y``: rows by categories, 0 or 1."""
-    rows_with = np.bincount(np.concatenate(x) if x else np.zeros(0, np.int64), minlength=SLOTS)
-    known = np.flatnonzero(rows_with >= MIN_ROWS)
+    known = np.flatnonzero(np.any([telling(x, y[:, k]) >= MIN_RATIO for k in range(len(names))], axis=0))
     slot_of = np.full(SLOTS, -1, np.int32)
     slot_of[known] = np.arange(len(known))
     cols = [c[c >= 0] for c in (slot_of[i] for i in x)]
     fold = np.arange(len(x)) % folds
     out_of_fold = np.zeros((len(x), 0))
     weight, earlier, shift = [], [], []
-    unit = 1 / np.sqrt(np.maximum([len(c) for c in cols], 1))
     for k in range(len(names)):
         w, e, b = logistic(cols, out_of_fold, y[:, k], len(known))
         weight.append(w)
@@ -150,7 +166,7 @@ def fit_chain(x: list[np.ndarray], y: np.ndarray, names: tuple[str, ...], folds:
                 learn, rest = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
                 wf, ef, bf = logistic([cols[i] for i in learn], out_of_fold[learn], y[learn, k], len(known))
                 for i in rest:
-                    p[i] = _sigmoid(wf[cols[i]].sum() * unit[i] + out_of_fold[i] @ ef + bf)
+                    p[i] = _sigmoid(wf[cols[i]].sum() + out_of_fold[i] @ ef + bf)
             out_of_fold = np.column_stack((out_of_fold, p))
     return Chain(names, slot_of, np.array(weight).reshape(len(names), len(known)).astype(np.float32), earlier, shift)
 
