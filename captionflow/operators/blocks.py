@@ -1,18 +1,17 @@
 """Markdown -> typed document blocks -> rich-text spans -> request batches.
 
-Line order inside a document is kept with positions from ``posexplode``;
-the fence state (inside/outside a code block) is a running count of fence
-lines, computed with the blocked running sum so a huge document is not one task.
+Line order inside a document is kept with positions from ``posexplode``; the fence
+state (inside/outside a code block) is a running count of fence lines. A document is
+one string in one row before, so its lines fit one task; documents are the unit that
+spreads over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import stage_table
-from .ordered import running_sum
 
 BATCH_SIZE = 100
 SPAN_CHARS = 2000
@@ -23,42 +22,35 @@ def _strip(c):
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def md_to_blocks(md: DataFrame, id_col: str = "video_id", text_col: str = "md", stage: bool = True) -> DataFrame:
+def md_to_blocks(md: DataFrame, id_col: str = "video_id", text_col: str = "md") -> DataFrame:
     """``(video_id, block_no, type, language, text)``; one row per block.
 
     Blank lines outside code are skipped; fence lines toggle code mode; the lines
     between a fence pair form one ``code`` block (an unclosed block is dropped);
-    other lines are headings 1-3, bullets, dividers or paragraphs."""
+    other lines are headings 1-3, bullets, dividers or paragraphs. One exchange by
+    document: fence count, block grouping and numbering all ride on it."""
     lines = md.select(F.col(id_col).alias("video_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("ln", "line"))
     lines = lines.withColumn("s", _strip(F.col("line"))).withColumn("is_fence", F.col("s").startswith("```"))
-    if stage:
-        # the exploded lines feed six branches: split the documents once
-        lines = stage_table(lines, "md-lines")
-    lines = running_sum(lines.withColumn("_f", F.col("is_fence").cast("long")), ["video_id"], "ln", "_f", "fences")
+    in_order = Window.partitionBy("video_id").orderBy("ln")
     # fences strictly before this line; odd = inside a code block
-    lines = lines.withColumn("before", F.col("fences") - F.col("_f"))
-    inside = (F.col("before") % 2 == 1) & ~F.col("is_fence")
-    opening = F.col("is_fence") & (F.col("before") % 2 == 0)
-    closing = F.col("is_fence") & (F.col("before") % 2 == 1)
-    code_id = F.floor(F.col("before") / 2)
-
-    plain = (lines.filter(~F.col("is_fence") & ~inside & (F.col("s") != ""))
-             .select("video_id", "ln", S.classify_line("s").alias("type"), F.lit(None).cast("string").alias("language"),
-                     F.col("s").alias("raw")))
-    plain = plain.withColumn("text", S.line_body("raw", "type")).drop("raw")
-
-    opens = lines.filter(opening).select("video_id", code_id.alias("cid"),
-                                         S.fence_language(F.substring("s", 4, 1 << 30)).alias("language"))
-    closes = lines.filter(closing).select("video_id", code_id.alias("cid"), F.col("ln"))
-    body = (lines.filter(inside).groupBy("video_id", code_id.alias("cid"))
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]),
-                              "\n").alias("text")))
-    code = (closes.join(opens, ["video_id", "cid"]).join(body, ["video_id", "cid"], "left")
-            .select("video_id", "ln", F.lit("code").alias("type"), "language",
-                    F.coalesce("text", F.lit("")).alias("text")))
-    blocks = plain.unionByName(code).withColumn("_one", F.lit(1).cast("long"))
-    numbered = running_sum(blocks, ["video_id"], "ln", "_one", "block_no")
-    return numbered.select("video_id", (F.col("block_no") - 1).alias("block_no"), "type", "language", "text")
+    before = F.coalesce(F.sum(F.col("is_fence").cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.withColumn("before", before)
+    odd = F.col("before") % 2 == 1
+    code = F.col("is_fence") | odd
+    group = F.when(code, -1 - F.floor(F.col("before") / 2)).otherwise(F.col("ln"))
+    part = lines.filter(code | (F.col("s") != "")).select("video_id", "ln", "line", "s", "is_fence", odd.alias("odd"),
+                                                         code.alias("code"), group.alias("grp"))
+    # a code group: its opening fence, its lines, its closing fence; any other group is one line
+    body = F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_fence"), F.struct("ln", "line")))), lambda x: x["line"])
+    g = part.groupBy("video_id", "grp").agg(
+        F.bool_or("code").alias("code"), F.max("ln").alias("ln"), F.min_by("s", "ln").alias("s"),
+        F.bool_or(F.col("is_fence") & F.col("odd")).alias("closed"), F.array_join(body, "\n").alias("body"))
+    kind = F.when(F.col("code"), "code").otherwise(S.classify_line("s"))
+    blocks = g.filter(~F.col("code") | F.col("closed")).select(
+        "video_id", "ln", "code", "s", "body", kind.alias("type"),
+        F.when(F.col("code"), S.fence_language(F.substring("s", 4, 1 << 30))).alias("language"))
+    return blocks.select("video_id", (F.row_number().over(in_order) - 1).cast("long").alias("block_no"), "type", "language",
+                         F.when(F.col("code"), F.col("body")).otherwise(S.line_body("s", "type")).alias("text"))
 
 
 def rich_text(blocks: DataFrame, terms: dict | None = None, size: int = SPAN_CHARS) -> DataFrame:

@@ -51,7 +51,9 @@ def merge_videos(rows: DataFrame, ord_col: str = "ord", with_playlists: bool = F
 
     ``with_playlists`` (``dedup_state``) adds the ordered distinct union of all
     ``playlists`` arrays, computed as a (video, playlist) aggregate so no
-    video's observations are gathered into one list. ``extra_aggs`` are more
+    video's observations are gathered into one list; otherwise the first row's
+    list is kept. ``ord_col`` may be of any orderable type, for example a struct
+    of source and position (:func:`in_source_order`). ``extra_aggs`` are more
     aggregate columns computed in the same pass.
     """
     rows = conform(rows)
@@ -65,6 +67,8 @@ def merge_videos(rows: DataFrame, ord_col: str = "ord", with_playlists: bool = F
     ]
     if with_playlists:
         agg.append(F.bool_or(F.col("playlists").isNotNull()).alias("_has"))
+    else:
+        agg.append(F.min_by("playlists", ord_col).alias("playlists"))
     merged = rows.groupBy("video_id").agg(*agg)
     if not with_playlists:
         return merged
@@ -84,16 +88,20 @@ def dedup_state(rows: DataFrame, ord_col: str = "ord", extra_aggs: tuple = ()) -
     return merge_videos(rows, ord_col, with_playlists=True, extra_aggs=extra_aggs)
 
 
+def in_source_order(*sources: DataFrame, ord_col: str = "ord") -> DataFrame:
+    """Union of sources whose order key becomes ``(src, ord)``: the index of the
+    source leads, then the source's own order, whatever its range or type."""
+    u = None
+    for i, s in enumerate(sources):
+        p = conform(s).withColumn(ord_col, F.struct(F.lit(i).alias("src"), F.col(ord_col).alias("ord")))
+        u = p if u is None else u.unionByName(p, allowMissingColumns=True)
+    return u
+
+
 def union_history(*sources: DataFrame, ord_col: str = "ord") -> DataFrame:
     """Union of state-file rows and metadata rows (in the given source order),
-    merged by id. Each source keeps its own ``ord``; the source index leads."""
-    parts = []
-    for i, s in enumerate(sources):
-        parts.append(conform(s).withColumn(ord_col, F.lit(i).cast("long") * F.lit(10 ** 12) + F.col(ord_col)))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p, allowMissingColumns=True)
-    return merge_videos(u, ord_col)
+    merged by id. ``ord`` of the result is the order key ``(src, ord)``."""
+    return merge_videos(in_source_order(*sources, ord_col=ord_col), ord_col)
 
 
 def listing_rows(listing: DataFrame) -> DataFrame:
@@ -126,9 +134,8 @@ def upsert_listing(state: DataFrame, listing: DataFrame, playlist: str | None =
     ls = conform(listing).withColumn("_src", F.lit(1))
     if playlist is not None:
         ls = ls.withColumn("playlists", F.array(F.lit(playlist)))
-    u = (st.unionByName(ls.select(*st.columns))
-         .withColumn(ord_col, F.col("_src").cast("long") * F.lit(10 ** 12) + F.col(ord_col)))
-    merged = dedup_state(u, ord_col, extra_aggs=(F.min("_src").alias("_s"),))
+    merged = dedup_state(in_source_order(st, ls.select(*st.columns), ord_col=ord_col), ord_col,
+                         extra_aggs=(F.min("_src").alias("_s"),))
     return merged.withColumn("src", F.when(F.col("_s") == 0, "state").otherwise("listed")).drop("_s")
 
 
@@ -142,12 +149,12 @@ def reverse_import(state: DataFrame, history: DataFrame, target: DataFrame,
                    channel_name: str | None = None) -> DataFrame:
     """History rows absent from the state that belong to the target channel:
     same ``channel_id``, else same ``uploader_id``, else the channel name inside
-    the lowercase ``uploader``. ``target`` is one row (broadcast, size 1)."""
+    the lowercase ``uploader``. ``target`` rows may repeat: its distinct keys are
+    probed with equi-joins (the planner broadcasts them when they are few)."""
     t = target.select(F.col("channel_id").alias("_tc"), F.col("uploader_id").alias("_tu"))
     missing = history.join(state.select("video_id"), "video_id", "left_anti")
-    # the one-row target is probed with two left equi-joins (broadcast, size 1)
-    by_ch = F.broadcast(t.select("_tc").filter(F.col("_tc").isNotNull() & (F.col("_tc") != "")))
-    by_up = F.broadcast(t.select("_tu").filter(F.col("_tu").isNotNull() & (F.col("_tu") != "")))
+    by_ch = t.select("_tc").filter(F.col("_tc").isNotNull() & (F.col("_tc") != "")).distinct()
+    by_up = t.select("_tu").filter(F.col("_tu").isNotNull() & (F.col("_tu") != "")).distinct()
     j = (missing.join(by_ch, missing["channel_id"] == by_ch["_tc"], "left")
          .join(by_up, missing["uploader_id"] == by_up["_tu"], "left"))
     name = channel_name.lower() if channel_name else None
@@ -211,8 +218,8 @@ def heal_metadata(state: DataFrame, recovered: DataFrame) -> DataFrame:
 
 def focus_video(state: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows for the requested ids; an id not in the state gets a default row."""
-    j = ids.select("video_id").distinct().join(state, "video_id", "left")
-    found = F.col("title").isNotNull() | F.col("publish_date").isNotNull() | F.col("subtitle_downloaded").isNotNull()
+    j = ids.select("video_id").distinct().join(state.withColumn("_stored", F.lit(True)), "video_id", "left")
+    found = F.col("_stored").isNotNull()
     return j.select(
         "video_id",
         F.when(found, F.col("publish_date")).otherwise(F.lit("N/A")).alias("publish_date"),
@@ -262,7 +269,10 @@ def apply_outcomes(plan: DataFrame, outcomes: DataFrame, as_of: str, audio_only:
     success counts as downloaded, no flag); 0 without caption -> ``skipped``, and
     ``has_no_subtitle`` if older than 7 days; nonzero -> ``error``. Rows not
     fetched are ``skipped``."""
-    j = plan.join(outcomes.select("video_id", "exit_code", "has_caption"), "video_id", "left")
+    # of repeated outcomes of a video the best counts: a caption, then success, then the least code
+    best = outcomes.groupBy("video_id").agg(F.min_by(F.struct("exit_code", "has_caption"), F.struct(
+        F.coalesce(F.col("exit_code") != 0, F.lit(True)), ~F.coalesce("has_caption", F.lit(False)), "exit_code")).alias("_o"))
+    j = plan.join(best.select("video_id", "_o.exit_code", "_o.has_caption"), "video_id", "left")
     fetched = (F.col("action") == "fetch") & F.col("exit_code").isNotNull()
     ok = fetched & (F.col("exit_code") == 0)
     got = ok & (F.lit(audio_only) | F.col("has_caption"))

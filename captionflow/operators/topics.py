@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import stopwords as sw
-from .ordered import running_sum
 
 SIM_DECIMALS = 9          # similarity / score rounding before compare and rank
 
@@ -27,6 +26,14 @@ def drop_stopwords(tokens: DataFrame, stop: DataFrame, term_col: str = "term") -
     return tokens.join(F.broadcast(s), ["swkey", term_col], "left_anti")
 
 
+def is_stopword(word, lang, native_lang: bool = False):
+    """Whether a word is in the stopword set of a language (sets as literals)."""
+    key, out = S.stopword_key(lang, native_lang), F.lit(False)
+    for k in sorted({k for k, _ in sw.stopword_rows(native_lang)}):
+        out = F.when(key == k, F.lower(word).isin(sorted(t for q, t in sw.stopword_rows(native_lang) if q == k))).otherwise(out)
+    return out
+
+
 def tfidf(windows: DataFrame, native_lang: bool = False) -> DataFrame:
     """``(video_id, win, term, tf, weight)``: per-video smooth TF-IDF, L2-normalised.
 
@@ -78,36 +85,30 @@ def adjacent_cosine(windows: DataFrame, weights: DataFrame) -> DataFrame:
             .select("video_id", "win", F.round(F.coalesce("dot", F.lit(0.0)), SIM_DECIMALS).alias("sim")))
 
 
-MAX_FORCED = 9   # largest (min_segments - 1) over all tiers
-
-
 def topic_breaks(windows: DataFrame, sims: DataFrame, tiers: DataFrame | None = None) -> DataFrame:
     """``(video_id, win, is_break)`` for every window.
 
     Break = window 0, or sim < tier threshold, or among the ``min_segments-1``
     lowest similarities (ties by window index). Tier values come from
-    ``windows`` when it carries them, else from ``tiers``.
+    ``windows`` when it carries them, else from ``tiers``. The rank and the
+    segment count after it ride on one clustering by video: a video's windows
+    are few beside its cues, which the fold has already held in one task.
     """
     w = windows.select("video_id", "win", *[c for c in ("threshold", "min_segments") if c in windows.columns])
     if "threshold" not in w.columns:
         w = w.join(tiers.select("video_id", "threshold", "min_segments"), "video_id")
-    s = w.join(sims, ["video_id", "win"], "left")
-    # literal bound -> Spark plans a WindowGroupLimit (partial top-k before the shuffle)
-    rk = Window.partitionBy("video_id").orderBy("sim", "win")
-    low = (s.filter(F.col("sim").isNotNull())
-           .withColumn("rk", F.row_number().over(rk)).filter(F.col("rk") <= MAX_FORCED)
-           .filter(F.col("rk") <= F.greatest(F.col("min_segments") - 1, F.lit(1)))
-           .select("video_id", "win", F.lit(True).alias("forced")))
-    return (s.join(low, ["video_id", "win"], "left")
+    rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.col("sim").asc_nulls_last(), "win"))
+    return (w.join(sims, ["video_id", "win"], "left").withColumn("rk", rank)
             .select("video_id", "win",
                     ((F.col("win") == 0) | F.coalesce(F.col("sim") < F.col("threshold"), F.lit(False))
-                     | F.coalesce("forced", F.lit(False))).alias("is_break")))
+                     | (F.col("sim").isNotNull() & (F.col("rk") <= F.greatest(F.col("min_segments") - 1, F.lit(1)))))
+                    .alias("is_break")))
 
 
 def assign_segments(breaks: DataFrame) -> DataFrame:
     """``(video_id, win, seg)``: running count of breaks, segment ids from 1."""
-    b = breaks.withColumn("_b", F.col("is_break").cast("long"))
-    return running_sum(b, ["video_id"], "win", "_b", "seg").select("video_id", "win", "seg")
+    so_far = Window.partitionBy("video_id").orderBy("win").rowsBetween(Window.unboundedPreceding, 0)
+    return breaks.select("video_id", "win", F.sum(F.col("is_break").cast("long")).over(so_far).alias("seg"))
 
 
 def segment_keywords(weights: DataFrame, segs: DataFrame, top_n: int = 3) -> DataFrame:
@@ -147,13 +148,11 @@ def segment_preview(windows: DataFrame, segs: DataFrame, max_words: int = 12,
                     native_lang: bool = False) -> DataFrame:
     """``(video_id, seg, preview)``: first words of the segment text that are not
     stopwords and longer than one character; ``...`` when more remain."""
-    spark = windows.sparkSession
-    words = (windows.join(segs, ["video_id", "win"])
-             .select("video_id", "seg", "win", S.stopword_key("lang", native_lang).alias("swkey"),
-                     F.posexplode(F.split(F.trim("text"), r"\s+")).alias("pos", "word"))
-             .filter(F.length("word") > 1)
-             .withColumn("term", F.lower("word")))
-    words = drop_stopwords(words, stopword_table(spark, native_lang))
+    # each window keeps its first kept words only, before anything is shuffled
+    kept = F.filter(F.split(F.trim("text"), r"\s+"), lambda x: (F.length(x) > 1) & ~is_stopword(x, "lang", native_lang))
+    words = (windows.select("video_id", "win", F.slice(kept, 1, max_words + 1).alias("kept"))
+             .join(segs, ["video_id", "win"])
+             .select("video_id", "seg", "win", F.posexplode("kept").alias("pos", "word")))
     w = Window.partitionBy("video_id", "seg").orderBy("win", "pos")
     first = words.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= max_words + 1)
     arr = F.array_sort(F.collect_list(F.struct("rk", "word")))

@@ -165,12 +165,10 @@ def q_union_history(spark, d):
     """State-document rows first (by path, then position), then metadata rows."""
     ev = _ev(spark, d)
     docs = SF.parse_state_documents(X.fx_state_docs(ev)).drop("doc_channel", "detected_language")
-    a = ST.conform(docs).withColumn(
-        "ord", F.struct(F.lit(0).alias("src"), F.col("path").alias("p"), F.col("pos").alias("k")))
+    a = docs.withColumn("ord", F.struct(F.col("path").alias("p"), F.col("pos").alias("k"))).drop("path", "pos")
     info = SF.parse_video_info(X.fx_info_docs(ev), keep=("ord",))
-    b = ST.conform(info).withColumn(
-        "ord", F.struct(F.lit(1).alias("src"), F.lit("").alias("p"), F.col("ord").alias("k")))
-    m = ST.merge_videos(a.select(*MERGE_COLS).unionByName(b.select(*MERGE_COLS)))
+    b = info.withColumn("ord", F.struct(F.lit("").alias("p"), F.col("ord").alias("k")))
+    m = ST.union_history(a, b)
     return m.select(*[c for c in MERGE_COLS if c != "ord"], F.col("ord.src").alias("first_src"))
 
 

@@ -65,8 +65,7 @@ def q_stream_pending(spark, d):
     maturity gate at a fixed ``as_of``."""
     root, _ = _sync(spark, d, None)
     X.fx_outcomes(X.fx_obs(X.table(spark, d, "events"))).repartition(4).write.json(f"{root}/outcomes")
-    q = SS.stream_pending(spark, f"{root}/outcomes", f"{root}/out", f"{root}/pending", f"{root}/ckpt2",
-                          as_of=X.OUTCOME_AS_OF)
+    q = SS.stream_pending(spark, f"{root}/outcomes", f"{root}/pending", f"{root}/ckpt2", as_of=X.OUTCOME_AS_OF)
     q.awaitTermination()
     s = SS.read_pending(spark, f"{root}/out", f"{root}/pending")
     return s.select("video_id", "subtitle_downloaded", "has_no_subtitle")

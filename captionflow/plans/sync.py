@@ -23,26 +23,34 @@ class SyncResult:
 def channel_sync(history: DataFrame, state: DataFrame, listing: DataFrame, files: DataFrame, *,
                  outcomes: DataFrame | None = None, legacy_logs: DataFrame | None = None,
                  channel_name: str | None = None, playlist: str | None = None, since: str | None = None,
-                 audio_only: bool = False, convert: bool = True, as_of: str | None = None) -> SyncResult:
+                 audio_only: bool = False, convert: bool = True, as_of: str | None = None,
+                 info: DataFrame | None = None, recovered: DataFrame | None = None, ignore_metadata: bool = False,
+                 focus: DataFrame | None = None) -> SyncResult:
     """Run one channel sync.
 
     ``history``: merged local history (``merge_videos`` of every state/metadata
     source); ``state``: the channel's stored rows; ``listing``: raw listing lines
     ``(video_id, ord, title, upload_date, epoch_s)``; ``files``: inventory rows
     with ``video_id`` and ``path``; ``outcomes``: fetch results for the videos the
-    plan fetches; ``legacy_logs``: ``(kind, video_id)`` rows.
+    plan fetches; ``legacy_logs``: ``(kind, video_id)`` rows. ``info``: parsed
+    metadata files; ``recovered``: a second source for rows still unknown
+    (``(video_id, title, date)``), left out with ``ignore_metadata``. ``focus``: ids
+    that the work is confined to; one not in the state gets a default row.
     """
     listed = ST.fill_dates(ST.listing_rows(listing), history)
     target = ST.target_channel(listing, history)
     merged = ST.upsert_listing(state, listed, playlist)
     imported = ST.reverse_import(merged.select("video_id"), history, target, channel_name)
-    # imported rows come after the channel's own rows in the merge order
-    base = merged.drop("src")
-    extra = ST.conform(imported).withColumn("ord", F.col("ord") + F.lit(2 * 10 ** 12))
-    full = ST.dedup_state(ST.conform(base).unionByName(extra.select(*ST.conform(base).columns)))
+    # imported ids are not among the channel's own, and each occurs once in the history
+    base = ST.conform(merged.drop("src", "ord"))
+    full = base.unionByName(ST.conform(imported.drop("ord")).select(*base.columns))
     if legacy_logs is not None:
         full = ST.apply_legacy_flags(full, legacy_logs).drop("flips")
-    work = ST.filter_since(full, since)
+    if info is not None:
+        full = ST.harvest_metadata(full, info)
+    if recovered is not None and not ignore_metadata:
+        full = ST.heal_metadata(full, recovered).drop("healed")
+    work = ST.focus_video(full, focus).drop("injected") if focus is not None else ST.filter_since(full, since)
     plan = ST.plan_work(work, ST.files_present(files), audio_only=audio_only, convert=convert)
     if outcomes is None:
         return SyncResult(full, plan, None, None)
@@ -51,12 +59,14 @@ def channel_sync(history: DataFrame, state: DataFrame, listing: DataFrame, files
 
 
 def regen_markdown(spark, root: str, state: DataFrame | None = None, note: str | None = None) -> DataFrame:
-    """Offline regeneration: Markdown fragments for every caption file under
-    ``root`` and ``root/archive`` that has no Markdown file next to it; titles
-    from the stored state (file stem when unknown), dates unknown.
+    """Offline regeneration: Markdown fragments (``video_id`` is the file's path) for
+    every caption file in ``root`` and ``root/archive`` that has no Markdown file next
+    to it; titles from the stored state (file stem when unknown), dates unknown.
 
-    All caption files are read in one pass and the ones to convert are kept with
-    a semi-join on their path (no file list goes through the driver)."""
+    Every caption file is a document of its own, keyed by its path: two languages of
+    a video, or a file and its archive copy, are two documents. The id is the
+    11-character run of the name, else the file stem. The texts are joined once,
+    with the files to convert, by the path as Spark's file metadata spells it."""
     from ..operators import files as FL
     from ..operators import transcript as TR
     from ..sources.srt import parse_srt
@@ -65,18 +75,17 @@ def regen_markdown(spark, root: str, state: DataFrame | None = None, note: str |
     from .captions import CaptionTables
 
     inv = list_files(spark, root)
-    inputs = FL.scan_regen_inputs(inv)
-    md_stems = inv.filter(F.col("ext") == "md").select(F.regexp_replace("path", r"\.md$", "").alias("_stem"))
-    todo = (inputs.withColumn("_stem", F.regexp_replace("path", r"\.srt$", ""))
-            .join(md_stems, "_stem", "left_anti").select("path", "video_id", "name"))
+    stem = F.regexp_replace("name", r"\.[^.]*$", "")
+    srt = inv.filter((F.col("ext") == "srt") & F.col("dir").isin(FL.ARCHIVE_DIR, "")) \
+        .withColumn("video_id", F.coalesce(F.nullif("video_id", F.lit("")), stem)) \
+        .withColumn("_stem", F.regexp_replace("path", r"\.srt$", ""))
+    done = inv.filter(F.col("ext") == "md").select(F.regexp_replace("path", r"\.md$", "").alias("_stem"))
+    todo = srt.join(done, "_stem", "left_anti").select("uri", "path", "video_id", "name")
     raw = (spark.read.option("pathGlobFilter", "*.srt").option("recursiveFileLookup", "true")
-           .text(root, wholetext=True)
-           .select(F.col("value").alias("srt"), F.col("_metadata.file_path").alias("path")))
-    files = raw.join(todo, "path", "left_semi").join(todo.select("path", "video_id", "name"), "path")
-    cues = parse_srt(files.select("srt", "video_id", S.extract_lang("name").alias("lang")))
-    titles = (FL.lookup_titles(todo, state) if state is not None else
-              todo.select("path", "video_id", F.regexp_replace("name", r"\.[^.]*$", "").alias("title")))
-    videos = titles.groupBy("video_id").agg(F.min("title").alias("title")).withColumn(
-        "publish_date", F.lit(TR.UNKNOWN_DATE))
+           .text(root, wholetext=True).select(F.col("value").alias("srt"), F.col("_metadata.file_path").alias("uri")))
+    cues = parse_srt(raw.join(todo, "uri").select("srt", F.col("path").alias("video_id"), S.extract_lang("name").alias("lang")))
+    titles = (FL.lookup_titles(todo, state) if state is not None else todo.select("path", "video_id", stem.alias("title")))
+    videos = titles.select(F.col("path").alias("video_id"), "title", F.lit(TR.UNKNOWN_DATE).alias("publish_date"),
+                           F.col("video_id").alias("url_id"))
     t = CaptionTables(cues)
     return t.markdown(videos, note) if note else t.markdown(videos)

@@ -56,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback_root: str | None = None)
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(d)
         return d
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = fallback_root or os.environ.get("CAPTIONFLOW_SCRATCH") or "/tmp"
     d = tempfile.mkdtemp(prefix="captionflow-ckpt-", dir=root)
     sc.setCheckpointDir(d)

@@ -28,15 +28,16 @@ LISTING_LINE = T.StructType([T.StructField("id", T.StringType()), T.StructField(
                              T.StructField("timestamp", T.LongType())])
 INFO_DOC = T.StructType([T.StructField(n, T.StringType()) for n in (
     "upload_date", "publish_date", "date", "title", "fulltitle", "video_title", "channel_id", "uploader_id",
-    "uploader", "channel")] + [T.StructField("subtitle_downloaded", T.BooleanType()),
-                               T.StructField("duration", T.DoubleType()), T.StructField("view_count", T.LongType())])
+    "uploader", "channel", "_bad")] + [T.StructField("subtitle_downloaded", T.BooleanType()),
+                                       T.StructField("duration", T.DoubleType()),
+                                       T.StructField("view_count", T.LongType())])
 
 # ---------------------------------------------------------------------------
 # Names of the existing state files, legacy log files and the
 # kind each log records; they must match the files the tool already wrote.
 # ---------------------------------------------------------------------------
 LEGACY_LOGS = {"historico.txt": "subtitle", "historico-info.txt": "info", "videos_sem_legenda.txt": "no_subtitle"}
-STATE_PREFIXES = ("escriba_", "lista_")          # modern prefix, legacy prefix
+STATE_PREFIXES = ("state_", "lista_")   # neutral defaults: modern prefix, legacy prefix; pass your own
 BLACKLIST = ("package.json", "package-lock.json", "requirements.json", "env.json")
 SKIP_DIRS = (".git", ".venv", "__pycache__")
 
@@ -46,29 +47,25 @@ def _opts():
 
 
 # ------------------------------------------------------------------ listings
-def parse_listing_lines(lines: DataFrame, text_col: str = "value", ord_col: str = "ord") -> DataFrame:
-    """JSON lines -> ``(video_id, ord, title, fulltitle, upload_date, epoch_s)``;
+def parse_listing_lines(lines: DataFrame, text_col: str = "value", ord_col: str = "ord",
+                        keep: tuple[str, ...] = ()) -> DataFrame:
+    """JSON lines -> ``(video_id, *keep, ord, title, fulltitle, upload_date, epoch_s)``;
     unparsable lines and lines without ``id`` are skipped."""
     j = F.from_json(F.col(text_col), LISTING_LINE, _opts())
-    return (lines.select(F.col(ord_col).alias("ord"), j.alias("j"))
+    return (lines.select(*keep, F.col(ord_col).alias("ord"), j.alias("j"))
             .filter(F.col("j.id").isNotNull() & (F.col("j.id") != ""))
-            .select(F.col("j.id").alias("video_id"), "ord", F.col("j.title").alias("title"),
+            .select(F.col("j.id").alias("video_id"), *keep, "ord", F.col("j.title").alias("title"),
                     F.col("j.fulltitle").alias("fulltitle"), F.col("j.upload_date").alias("upload_date"),
                     F.col("j.timestamp").alias("epoch_s")))
 
 
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
     """Listing files (JSON lines). Each file is read whole so the line position is
-    exact; the order key is ``(file, ord)`` with ``ord`` the line number."""
+    exact; ``ord`` is the order key ``(file, line)``, unique over all files."""
     f = (spark.read.text(path, wholetext=True)
          .select(F.col("_metadata.file_path").alias("file"),
                  F.posexplode(F.split("value", "\n")).alias("ord", "value")))
-    j = F.from_json(F.col("value"), LISTING_LINE, _opts())
-    return (f.select("file", F.col("ord").cast("long").alias("ord"), j.alias("j"))
-            .filter(F.col("j.id").isNotNull() & (F.col("j.id") != ""))
-            .select(F.col("j.id").alias("video_id"), "file", "ord", F.col("j.title").alias("title"),
-                    F.col("j.fulltitle").alias("fulltitle"), F.col("j.upload_date").alias("upload_date"),
-                    F.col("j.timestamp").alias("epoch_s")))
+    return parse_listing_lines(f.withColumn("ord", F.struct("file", F.col("ord").cast("long").alias("line"))), keep=("file",))
 
 
 # ------------------------------------------------------------------ state documents
@@ -100,14 +97,15 @@ def read_channel_state(spark: SparkSession, path: str) -> DataFrame:
 def parse_video_info(docs: DataFrame, text_col: str = "doc", name_col: str = "name",
                      id_mode: str = "suffix", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per-video metadata JSON -> state rows; id from the file name; date and
-    title chains; ``info_downloaded`` = a date is present; non-objects skipped."""
-    m = F.from_json(F.col(text_col), INFO_DOC, _opts())
+    title chains; ``info_downloaded`` = a date is present; non-objects and
+    malformed documents are skipped."""
+    m = F.from_json(F.col(text_col), INFO_DOC, {**_opts(), "columnNameOfCorruptRecord": "_bad"})
     is_obj = F.trim(F.col(text_col)).startswith("{")
     stem = F.regexp_replace(F.col(name_col), r"(\.info)?\.json$", "")
     d = docs.filter(is_obj).select(*keep, S.extract_video_id(stem, id_mode).alias("video_id"), m.alias("m"))
     raw_date = F.coalesce(*[F.nullif(F.col(f"m.{c}"), F.lit("")) for c in ("upload_date", "publish_date", "date")])
     date = S.normalize_date(raw_date, strict=True)
-    return (d.filter(F.col("video_id") != "").select(
+    return (d.filter((F.col("video_id") != "") & F.col("m").isNotNull() & F.col("m._bad").isNull()).select(
         *keep, "video_id",
         S.coalesce_title("m.title", "m.fulltitle", "m.video_title", default="Avulso").alias("title"),
         F.coalesce(date, F.lit("N/A")).alias("publish_date"),
@@ -151,7 +149,8 @@ def read_legacy_logs(spark: SparkSession, path: str, logs: dict | None = None) -
 # ------------------------------------------------------------------ file inventories
 def describe_files(files: DataFrame, path_col: str = "path", mtime_col: str = "mtime_s",
                    id_mode: str = "suffix") -> DataFrame:
-    """Inventory rows -> ``(path, dir, name, ext, video_id, lang, mtime_s)``."""
+    """Inventory rows -> ``(path, dir, name, ext, video_id, lang, mtime_s)``, and
+    ``uri`` where the rows have one."""
     p = F.col(path_col)
     name = F.regexp_extract(p, r"([^/]+)$", 1)
     stem = F.regexp_replace(name, r"(\.info)?\.[A-Za-z0-9]+$", "")
@@ -159,7 +158,8 @@ def describe_files(files: DataFrame, path_col: str = "path", mtime_col: str = "m
         p.alias("path"), F.regexp_extract(p, r"^(.*)/[^/]*$", 1).alias("dir"), name.alias("name"),
         F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1)).alias("ext"),
         S.extract_video_id(stem, id_mode).alias("video_id"),
-        S.extract_lang(name).alias("lang"), F.col(mtime_col).alias("mtime_s"))
+        S.extract_lang(name).alias("lang"), F.col(mtime_col).alias("mtime_s"),
+        *(["uri"] if "uri" in files.columns else []))
 
 
 def list_files(spark: SparkSession, root: str, exts=("srt", "md", "json")) -> DataFrame:
@@ -171,7 +171,8 @@ def list_files(spark: SparkSession, root: str, exts=("srt", "md", "json")) -> Da
     prefix = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
     glob = "{" + ",".join(f"*.{e}" for e in exts) + "}"
     df = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-          .load(root).select("path", F.col("modificationTime").cast("long").alias("mtime_s")))
+          .load(root).select("path", F.col("modificationTime").cast("long").alias("mtime_s"),
+                             F.col("_metadata.file_path").alias("uri")))
     rel = F.substring(F.col("path"), len(prefix) + 2, 1 << 30)
     parts = F.split(rel, "/")
     keep = (F.size(parts) == 1) | ((F.size(parts) == 2) & ~parts[0].isin(*SKIP_DIRS))

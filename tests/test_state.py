@@ -54,8 +54,9 @@ def test_state_documents_both_shapes(spark):
     docs = spark.createDataFrame([(f"{SF.STATE_PREFIXES[0]}c.json", obj), (f"{SF.STATE_PREFIXES[1]}d.json", arr), ("bad.json", "{not json")],
                                  "path string, doc string")
     rows = sorted((r.path, r.pos, r.video_id, r.doc_channel) for r in SF.parse_state_documents(docs).collect())
-    assert rows == [(f"{SF.STATE_PREFIXES[0]}c.json", 0, "aaaaaaaaaaa", "@c"), (f"{SF.STATE_PREFIXES[0]}c.json", 1, "bbbbbbbbbbb", "@c"),
-                    (f"{SF.STATE_PREFIXES[1]}d.json", 0, "ccccccccccc", None)]
+    assert rows == sorted([
+        (f"{SF.STATE_PREFIXES[0]}c.json", 0, "aaaaaaaaaaa", "@c"), (f"{SF.STATE_PREFIXES[0]}c.json", 1, "bbbbbbbbbbb", "@c"),
+        (f"{SF.STATE_PREFIXES[1]}d.json", 0, "ccccccccccc", None)])
 
 
 def test_video_info_rules(spark):

@@ -37,22 +37,30 @@ def test_channel_sync_invariants(spark, sf_small):
     assert {x.video_id for x in pl} >= listed
 
 
-def test_regen_markdown_skips_converted(spark):
+def test_regen_markdown_per_file(spark):
+    """Every file is a document: two languages of an id, an archive copy, a file
+    without an id, names with a space; converted ones are left out."""
     import os
     import tempfile
     from captionflow.plans.sync import regen_markdown
     d = tempfile.mkdtemp(prefix="regen-", dir="/tmp")
     os.makedirs(os.path.join(d, "archive"))
-    srt = "".join(f"{i + 1}\n00:00:{i * 10:02d},000 --> 00:00:{i * 10 + 9:02d},000\nword{i} topic{i % 3} idea{i}.\n\n"
-                  for i in range(5))
-    for name in ("chan-abcdefghijk-pt.srt", "archive/chan-bcdefghijkl-en.srt", "chan-cdefghijklm-pt.srt"):
+    os.makedirs(os.path.join(d, "deep", "er"))
+    names = ("chan-abcdefghijk-pt.srt", "chan-abcdefghijk-en.srt", "archive/chan-abcdefghijk-pt.srt",
+             "archive/chan-bcdefghijkl-en.srt", "talk.srt", "my talk.srt", "chan-cdefghijklm-pt.srt", "deep/er/chan-xxxxxxxxxxx-pt.srt")
+    for k, name in enumerate(names):
         with open(os.path.join(d, name), "w") as f:
-            f.write(srt)
+            f.write("".join(f"{i + 1}\n00:00:{i * 10:02d},000 --> 00:00:{i * 10 + 9:02d},000\n"
+                            f"word{k}x{i} topic{i % 3} idea{i}.\n\n" for i in range(5)))
     with open(os.path.join(d, "chan-cdefghijklm-pt.md"), "w") as f:     # already converted
         f.write("# done\n")
     state = spark.createDataFrame([("abcdefghijk", 1, "Stored title")], "video_id string, ord long, title string")
-    frags = regen_markdown(spark, d, state)
-    heads = {r.video_id: r.fragment for r in frags.filter("part = 0").collect()}
-    assert set(heads) == {"abcdefghijk", "bcdefghijkl"}
-    assert heads["abcdefghijk"].startswith("## Stored title ")
-    assert heads["bcdefghijkl"].startswith("## chan-bcdefghijkl-en ")
+    frags = regen_markdown(spark, d, state).collect()
+    heads = {r.video_id.split(os.path.basename(d) + "/")[1]: r.fragment for r in frags if r.part == 0}
+    assert set(heads) == set(names[:6])
+    assert all(heads[n].startswith("## Stored title ") for n in names[:3])
+    assert heads[names[3]].startswith("## chan-bcdefghijkl-en ") and heads["my talk.srt"].startswith("## my talk ")
+    assert "watch?v=abcdefghijk" in heads[names[1]]
+    for k, name in enumerate(names[:6]):
+        body = "".join(r.fragment for r in frags if r.video_id.endswith(os.path.basename(d) + "/" + name) and r.part == 5)
+        assert f"word{k}x0".lower() in body.lower() and not any(f"word{j}x" in body.lower() for j in range(8) if j != k)
