@@ -243,4 +243,5 @@ def keep_one_per_component(docs: DataFrame, shingle: int = SHINGLE, max_bits: in
     low = of.groupBy("component_id").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("low"))
     keep = stage(low.select(F.col("low.rid").alias(rid)), "kept")
-    return whole.join(keep, rid, "left_semi").select(*docs.columns)
+    # the kept rows grow with the documents: merged by key at every size
+    return whole.join(keep.hint("merge"), rid, "left_semi").select(*docs.columns)
