@@ -71,12 +71,31 @@ def features(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(flag).astype(np.int32)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, y, text) of the labelled rows that models may learn from. Label rows
-    with a null id or label are ignored; of several for an id the largest counts."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()) \
+def training_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) that models may learn from. Label rows with a null id or label are
+    ignored; of several for an id the largest counts."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()) \
         .groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
-    return docs.select("doc_id", text_or_empty().alias("text")).where(~held_out()).join(size_checked(known), "doc_id")
+
+
+def training_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, y, text) of the documents with a label to learn from."""
+    return docs.select("doc_id", text_or_empty().alias("text")).where(~held_out()).join(known, "doc_id")
+
+
+def sample_labels(known: DataFrame, per_class: int) -> DataFrame:
+    """At most ``per_class`` labels of each class, those of least hashed id; chosen
+    before any text is read, and so few that they are broadcast. A class of many is
+    thinned by hash first, so the ordering sees about twice the bound."""
+    order, picked = F.xxhash64(F.col("doc_id").cast("string")), None
+    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for y in (0, 1):
+        part = known.where(F.col("y") == y)
+        if sizes.get(y, 0) > 2 * per_class:
+            part = part.where(F.pmod(F.xxhash64("doc_id", F.lit(y)), F.lit(sizes[y])) < 2 * per_class)
+        part = part.withColumn("o", order).orderBy("o", "doc_id").limit(per_class)
+        picked = part if picked is None else picked.union(part)
+    return F.broadcast(picked)
 
 
 def class_counts(rows: DataFrame) -> np.ndarray:
@@ -103,15 +122,11 @@ def log_count_ratio(counts: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
-def sample_rows(rows: DataFrame, per_class: int) -> list[tuple[int, np.ndarray]]:
-    """At most ``per_class`` rows of each class, those of least hashed id."""
+def sample_rows(docs: DataFrame, known: DataFrame, per_class: int) -> list[tuple[int, np.ndarray]]:
+    """(class, slots) of the documents of a bounded sample of labels, in a fixed order."""
     slots = F.arrow_udf(lambda c: pa.array([features(d).tobytes() for d in texthash.rows(c)], pa.binary()), "binary")
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    picked = None
-    for y in (0, 1):
-        part = rows.where(F.col("y") == y).select("y", "text", order.alias("o"), "doc_id").orderBy("o", "doc_id").limit(per_class)
-        picked = part if picked is None else picked.union(part)
-    return [(r["y"], np.frombuffer(r["slots"], np.int32)) for r in picked.select("y", slots("text").alias("slots")).collect()]
+    rows = training_rows(docs, sample_labels(known, per_class)).select("o", "doc_id", "y", slots("text").alias("slots")).collect()
+    return [(r["y"], np.frombuffer(r["slots"], np.int32)) for r in sorted(rows, key=lambda r: (r["o"], str(r["doc_id"]), r["slots"]))]
 
 
 def dual_coordinate_descent(x: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray,
@@ -180,10 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality). With
     no training rows, or of one class alone, every score is that of the prior."""
     bound_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, "quality")
-    counts = class_counts(rows)
-    scale = log_count_ratio(counts)
-    sample = sample_rows(rows, per_class)
+    known = training_labels(labels, "quality")
+    scale = log_count_ratio(class_counts(training_rows(docs, size_checked(known))))
+    sample = sample_rows(docs, known, per_class)
     x = [s for _, s in sample]
     y = np.array([1.0 if t else -1.0 for t, _ in sample])
     n1, n0 = int((y > 0).sum()), int((y < 0).sum())

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import texthash
 from .common import bound_batches, held_out
-from .quality import training_rows
+from .quality import sample_labels, training_labels, training_rows
 
 SLOTS = 1 << 18
 #: Bytes of a word's start that make an indicator of their own.
@@ -184,14 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict = CATEGORIES, per_c
     most ``per_class`` training rows of each class, those of least hashed id. With no
     training rows every probability is one half or less."""
     bound_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, "toxic")
     slots = F.arrow_udf(lambda c: pa.array([features(d).tobytes() for d in texthash.rows(c)], pa.binary()), "binary")
-    picked = None
-    for y in (0, 1):
-        part = rows.where(F.col("y") == y).withColumn("o", F.xxhash64(F.col("doc_id").cast("string"))) \
-            .orderBy("o", "doc_id").limit(per_class).select("o", "text", *category_labels(F.col("y"), F.col("text"), categories))
-        picked = part if picked is None else picked.union(part)
-    sample = sorted(picked.withColumn("slots", slots("text")).drop("text").collect(), key=lambda r: r["o"])
+    rows = training_rows(docs, sample_labels(training_labels(labels, "toxic"), per_class))
+    rows = rows.select("o", "doc_id", *category_labels(F.col("y"), F.col("text"), categories), slots("text").alias("slots"))
+    sample = sorted(rows.collect(), key=lambda r: (r["o"], str(r["doc_id"]), r["slots"]))
     names = tuple(categories)
     x = [np.frombuffer(r["slots"], np.int32) for r in sample]
     y = np.array([[float(r[n]) for n in names] for r in sample]).reshape(len(x), len(names))
