@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import drop_table_path, stage_table
 
 #: Bytes of text that one Arrow batch may carry to a Python worker.
-ARROW_BATCH_BYTES = 16 * 1024 * 1024
+ARROW_BATCH_BYTES = 4 * 1024 * 1024
 #: A lookup side is broadcast up to this many rows; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: ``crc32(doc_id as text) mod FOLDS`` is 0 for the held-out rows.
