@@ -4,9 +4,10 @@ places) on the smallest test tables; queries without an oracle must run."""
 import pytest
 
 import __spark_entry__ as E
+from captionflow.plans import registry
 from tests.oracle_check import check, duck
 
-QUERIES = E.queries()
+QUERIES = registry.queries()  # those of the optional subpackage have tests of their own
 ORACLE = E.oracle_sql()
 
 
