@@ -206,15 +206,15 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
 
 
 def fingerprint_components(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of ``rows`` (doc_id, fp):
-    the smallest doc_id of the documents that links connect; null ids count only
-    where a component has no other."""
+    """(fp, root, component_id) for each distinct fingerprint of ``rows`` (doc_id,
+    fp): the smallest fingerprint and the smallest doc_id of the documents that links
+    connect; null ids count only where a component has no other."""
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "classes")
     parts = stage(connected_components(fingerprint_links(classes, max_bits)), "components")
     of = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left") \
         .withColumn("root", F.coalesce("component", "fp"))
     low = stage(of.groupBy("root").agg(F.min("doc_id").alias("component_id")), "lowest")
-    return stage(of.select("fp", "root").join(low, "root").select("fp", "component_id"), "fp-components")
+    return stage(of.select("fp", "root").join(low, "root").select("fp", "root", "component_id"), "fp-components")
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -239,8 +239,9 @@ def keep_one_per_component(docs: DataFrame, shingle: int = SHINGLE, max_bits: in
                   .withColumn(rid, F.monotonically_increasing_id()), "documents")
     rows = whole.select("doc_id", F.col(fp).alias("fp"), F.col(rid).alias("rid"))
     of = rows.join(fingerprint_components(rows, max_bits), "fp")
-    # of the rows of a component: the smallest id, then the first such row
-    low = of.groupBy("component_id").agg(
+    # of the rows of a component: the smallest id, then the first such row; by root,
+    # for components of null ids alone have no id to tell them apart
+    low = of.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("low"))
     keep = stage(low.select(F.col("low.rid").alias(rid)), "kept")
     # the kept rows grow with the documents: merged by key at every size
