@@ -294,6 +294,16 @@ def session_summary(outcomes: DataFrame, by: str = "channel_id") -> DataFrame:
         F.count(F.lit(1)).alias("total"))
 
 
+def sync_counts(rows: DataFrame, by: str = "channel_id") -> DataFrame:
+    """What a sync did to each channel, from rows tagged ``src`` (state, listed or
+    imported) with their legacy ``flips``. Rows without a channel count under ''."""
+    return rows.groupBy(F.coalesce(by, F.lit("")).alias(by)).agg(
+        F.count_if(F.col("src") == "state").alias("from_state"),
+        F.count_if(F.col("src") == "listed").alias("newly_listed"),
+        F.count_if(F.col("src") == "imported").alias("imported"),
+        F.coalesce(F.sum("flips"), F.lit(0)).cast("long").alias("legacy_flips"))
+
+
 def state_summary(state: DataFrame, by: str = "channel_id") -> DataFrame:
     return state.groupBy(by).agg(F.count_if("info_downloaded").alias("info_downloaded"),
                                  F.count_if("has_no_subtitle").alias("has_no_subtitle"),

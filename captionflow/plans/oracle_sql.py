@@ -279,14 +279,14 @@ SELECT 'e' || lpad(CAST(user_id * 20 + k % 20 AS VARCHAR), 10, '0') AS video_id,
                   WHEN 'signup' THEN '' ELSE 'N/A' END AS title,
   (event_type = 'purchase' AND value > 20) AS subtitle_downloaded, (event_type = 'view') AS info_downloaded,
   (event_type = 'error' AND value > 50) AS has_no_subtitle,
-  'PL' || CAST(event_id % 7 AS VARCHAR) AS playlist, 'ch' || CAST(user_id % 12 AS VARCHAR) AS channel_id,
-  '@up' || CAST(user_id % 12 AS VARCHAR) AS uploader_id, 'Uploader up' || CAST(user_id % 12 AS VARCHAR) AS uploader,
+  'PL' || CAST(event_id % 7 AS VARCHAR) AS playlist, 'ch' || CAST(user_id // 3 AS VARCHAR) AS channel_id,
+  '@up' || CAST(user_id // 3 AS VARCHAR) AS uploader_id, 'Uploader up' || CAST(user_id // 3 AS VARCHAR) AS uploader,
   value AS duration_s, user_id AS view_count
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""")
 cte("obs_rows", "SELECT * EXCLUDE (playlist), [playlist] AS playlists, CAST(NULL AS VARCHAR) AS channel FROM obs",
     ["obs"])
 cte("listing", """
-SELECT 'e' || lpad(CAST(o_orderkey % 4000 AS VARCHAR), 10, '0') AS video_id, o_orderkey AS ord,
+SELECT 'e' || lpad(CAST(o_orderkey // 4 AS VARCHAR), 10, '0') AS video_id, o_orderkey AS ord,
   CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS title,
   CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y%m%d') END AS upload_date,
   CASE WHEN o_orderkey % 3 = 1 THEN CAST(epoch(o_orderdate) AS BIGINT) END AS epoch_s

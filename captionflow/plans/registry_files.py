@@ -152,6 +152,19 @@ def q_plan_work(spark, d):
     return _plan(spark, d).select("video_id", "action", "info_downloaded", "subtitle_downloaded")
 
 
+@register("plan_work_audio", O.sql("""
+SELECT s.video_id, p.action, s.info_downloaded OR p.action <> 'fetch' AS info_downloaded,
+  s.subtitle_downloaded OR p.action <> 'fetch' AS subtitle_downloaded
+FROM vstate s JOIN (
+  SELECT video_id, CASE WHEN coalesce(p.has_srt, false) AND NOT coalesce(p.has_md, false) THEN 'convert'
+    WHEN coalesce(p.has_srt, false) OR coalesce(p.has_md, false) THEN 'skip_on_disk' ELSE 'fetch' END AS action
+  FROM vstate LEFT JOIN present p USING (video_id)) p USING (video_id)""", "vstate", "present"))
+def q_plan_work_audio(spark, d):
+    """The plan when only audio is wanted: stored flags skip nothing."""
+    plan = ST.plan_work(X.fx_vstate(_docs(spark, d)), ST.files_present(_files(spark, d)), audio_only=True)
+    return plan.select("video_id", "action", "info_downloaded", "subtitle_downloaded")
+
+
 O.cte("voutcomes", """
 SELECT 'v' || lpad(CAST(doc_id AS VARCHAR), 10, '0') AS video_id, CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END
   AS exit_code, doc_id % 3 <> 0 AS has_caption FROM documents""")
@@ -193,7 +206,7 @@ def _json_files(spark, d):
 
 MODERN, LEGACY = SF.STATE_PREFIXES
 O.cte("json_files", f"""
-SELECT 'd' || CAST(doc_id % 5 AS VARCHAR) || '/' ||
+SELECT 'd' || CAST(doc_id // 50 AS VARCHAR) || '/' ||
   CASE WHEN doc_id % 97 = 0 THEN 'package.json' WHEN doc_id % 10 = 0 THEN '{MODERN}' || source || '.json'
        WHEN doc_id % 10 = 1 THEN '{LEGACY}' || source || '.json'
        WHEN doc_id % 10 <= 5 THEN 'chan-v' || lpad(CAST(doc_id AS VARCHAR), 10, '0') || '.info.json'
@@ -267,3 +280,13 @@ FROM (SELECT DISTINCT dir FROM json_desc) d LEFT JOIN (
 def q_pick_state_file(spark, d):
     """Sync-time choice of the state file per folder for one channel."""
     return SF.pick_state_file(_json_files(spark, d), SYNC_CHANNEL)
+
+
+@register("latest_file_of_channel", O.sql(f"""
+SELECT dir, arg_min(path, r) AS path, arg_min(name, r) AS name FROM (
+  SELECT *, CASE name WHEN '{MODERN}{SYNC_CHANNEL}.json' THEN 0 WHEN '{LEGACY}{SYNC_CHANNEL}.json' THEN 1 END AS r
+  FROM json_desc)
+WHERE r IS NOT NULL GROUP BY dir""", "json_desc"))
+def q_latest_file_of_channel(spark, d):
+    """Per folder the state file that bears the channel's name, the modern one first."""
+    return SF.latest_file(_json_files(spark, d), channel=SYNC_CHANNEL)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import state as ST
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as X
 from ..sources import state_files as SF
 from . import oracle_sql as O
@@ -93,9 +96,9 @@ def q_union_playlists(spark, d):
 
 # ------------------------------------------------------------------ sources
 O.cte("state_doc_rows", f"""
-SELECT '{SF.STATE_PREFIXES[0]}' || channel_id || '.json' AS path,
+SELECT '{SF.STATE_PREFIXES[0]}' || channel_id || '-' || CAST(ord // 1000 AS VARCHAR) || '.json' AS path,
   CASE WHEN CAST(regexp_extract(channel_id, '(\\d+)$', 1) AS INTEGER) % 2 = 0 THEN channel_id END AS channel,
-  CAST(row_number() OVER (PARTITION BY channel_id ORDER BY ord) - 1 AS BIGINT) AS pos, *
+  CAST(row_number() OVER (PARTITION BY channel_id, ord // 1000 ORDER BY ord) - 1 AS BIGINT) AS pos, *
 FROM obs_rows""", ["obs_rows"])
 
 
@@ -113,11 +116,13 @@ def q_read_channel_state(spark, d):
 
 
 @register("read_listing", O.sql("""
-SELECT video_id, ord, title, upload_date, epoch_s FROM listing WHERE ord % 50 <> 0 AND ord % 51 <> 0""", "listing"))
+SELECT video_id, title, upload_date, epoch_s FROM listing WHERE ord % 50 <> 0 AND ord % 51 <> 0""", "listing"))
 def q_read_listing(spark, d):
-    """JSON listing lines (some cut, some without id) parsed by the reader's parse step."""
-    lines = X.fx_listing_docs(X.table(spark, d, "orders"))
-    return SF.parse_listing_lines(lines).select("video_id", "ord", "title", "upload_date", "epoch_s")
+    """JSON listing lines (some cut, some without id), written as files to the shared
+    checkpoint folder and read back by the reader."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/listing-{uuid.uuid4().hex}"
+    X.fx_listing_docs(X.table(spark, d, "orders")).select("value").write.text(path)
+    return SF.read_listing(spark, path).select("video_id", "title", "upload_date", "epoch_s")
 
 
 O.cte("info_rows", """
@@ -398,19 +403,35 @@ def q_state_summary(spark, d):
     return ST.state_summary(_history(spark, d))
 
 
+O.cte("synced", """
+SELECT video_id, '' AS channel_id, CASE WHEN min(src) = 0 THEN 'state' ELSE 'listed' END AS src,
+  false AS sd, false AS id, false AS nd
+FROM (SELECT video_id, 0 AS src FROM listing_state UNION ALL SELECT video_id, 1 FROM listing_filled) GROUP BY video_id
+UNION ALL
+SELECT video_id, coalesce(i.channel_id, ''), 'imported', h.subtitle_downloaded, h.info_downloaded, h.has_no_subtitle
+FROM imported i JOIN history h USING (video_id)""", ["listing_state", "listing_filled", "imported", "history"])
+
+
 @register("sync_counts", O.sql("""
-SELECT (SELECT count(*) FROM upserted WHERE src = 'state') AS from_state,
-  (SELECT count(*) FROM upserted WHERE src = 'listed') AS newly_listed,
-  (SELECT count(*) FROM imported) AS imported""", "upserted", "imported"))
+SELECT channel_id, count(*) FILTER (WHERE src = 'state') AS from_state,
+  count(*) FILTER (WHERE src = 'listed') AS newly_listed, count(*) FILTER (WHERE src = 'imported') AS imported,
+  CAST(sum(CAST(coalesce(g.s AND NOT sd, false) AS INTEGER) + CAST(coalesce(g.i AND NOT id, false) AS INTEGER)
+           + CAST(coalesce(g.n AND NOT nd, false) AS INTEGER)) AS BIGINT) AS legacy_flips
+FROM synced LEFT JOIN (
+  SELECT video_id, bool_or(kind = 'subtitle') AS s, bool_or(kind = 'info') AS i, bool_or(kind = 'no_subtitle') AS n
+  FROM log_ids GROUP BY ALL) g USING (video_id)
+GROUP BY channel_id""", "synced", "log_ids"))
 def q_sync_counts(spark, d):
-    """Rows kept from the state, newly listed, and imported from history."""
-    u = _upserted(spark, d).select("src")
+    """Per channel: rows kept from the state, newly listed and imported from history,
+    and flags that the legacy logs flipped. The state is that of the second channel."""
     hist = _history(spark, d)
+    state = _listing_state(spark, d)
+    merged = ST.upsert_listing(state, ST.fill_dates(_listing(spark, d), hist), PLAYLIST_CTX)
     tgt = ST.target_channel(_listing_c(spark, d), hist)
-    imp = ST.reverse_import(_listing_state(spark, d), hist, tgt, CHANNEL_NAME).select(F.lit("imported").alias("src"))
-    return u.unionByName(imp).agg(F.count_if(F.col("src") == "state").alias("from_state"),
-                                  F.count_if(F.col("src") == "listed").alias("newly_listed"),
-                                  F.count_if(F.col("src") == "imported").alias("imported"))
+    imp = ST.reverse_import(state, hist, tgt, CHANNEL_NAME).withColumn("src", F.lit("imported"))
+    cols = ["video_id", "channel_id", "src", *ST.FLAGS]
+    logs = SF.parse_log_lines(X.fx_log_lines(_ev(spark, d)))
+    return ST.sync_counts(ST.apply_legacy_flags(merged.select(*cols).unionByName(imp.select(*cols)), logs))
 
 
 # ------------------------------------------------------------------ playlists, languages

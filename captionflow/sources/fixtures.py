@@ -71,9 +71,9 @@ def fx_obs(events: DataFrame) -> DataFrame:
         (et == "view").alias("info_downloaded"),
         ((et == "error") & (F.col("value") > 50)).alias("has_no_subtitle"),
         F.concat(F.lit("PL"), (F.col("event_id") % 7).cast("string")).alias("playlist"),
-        F.concat(F.lit("ch"), (F.col("user_id") % 12).cast("string")).alias("channel_id"),
-        F.concat(F.lit("@up"), (F.col("user_id") % 12).cast("string")).alias("uploader_id"),
-        F.concat(F.lit("Uploader up"), (F.col("user_id") % 12).cast("string")).alias("uploader"),
+        F.concat(F.lit("ch"), F.floor(F.col("user_id") / 3).cast("string")).alias("channel_id"),
+        F.concat(F.lit("@up"), F.floor(F.col("user_id") / 3).cast("string")).alias("uploader_id"),
+        F.concat(F.lit("Uploader up"), F.floor(F.col("user_id") / 3).cast("string")).alias("uploader"),
         F.col("value").alias("duration_s"),
         F.col("user_id").alias("view_count"),
     )
@@ -83,7 +83,7 @@ def fx_listing(orders: DataFrame) -> DataFrame:
     """FX-LISTING: listing lines ``(video_id, ord, title, upload_date, epoch_s)``."""
     k = F.col("o_orderkey")
     return orders.select(
-        F.concat(F.lit("e"), F.lpad((k % 4000).cast("string"), 10, "0")).alias("video_id"),
+        F.concat(F.lit("e"), F.lpad(F.floor(k / 4).cast("string"), 10, "0")).alias("video_id"),
         k.alias("ord"),
         F.when(k % 11 == 0, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("title"),
         F.when(k % 3 == 0, F.date_format("o_orderdate", "yyyyMMdd")).alias("upload_date"),
@@ -168,19 +168,21 @@ def fx_listing_docs(orders: DataFrame) -> DataFrame:
 
 
 def fx_state_docs(events: DataFrame) -> DataFrame:
-    """FX-JSON state documents: one per channel, odd channels as the bare list.
-    ``(path, doc)``; the document lists the channel's rows in ``ord`` order."""
+    """FX-JSON state documents: one per channel and block of a thousand ``ord``, odd
+    channels as the bare list. ``(path, doc)``; a document lists its rows in ``ord``
+    order."""
     o = fx_obs_rows(events)
     n = F.regexp_extract("channel_id", r"(\d+)$", 1).cast("int")
     vid = F.struct(F.when(F.col("ord") % 2 == 0, F.col("video_id")).alias("video_id"),
                    F.when(F.col("ord") % 2 == 1, F.col("video_id")).alias("id"),
                    "publish_date", "title", "subtitle_downloaded", "info_downloaded", "has_no_subtitle",
                    "playlists", "channel_id", "uploader", "uploader_id", "duration_s", "view_count")
-    docs = o.groupBy("channel_id").agg(
+    docs = o.groupBy("channel_id", F.floor(F.col("ord") / 1000).alias("block")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", vid.alias("v")))), lambda x: x["v"]).alias("videos"))
     doc = F.when(n % 2 == 0, F.to_json(F.struct(F.col("channel_id").alias("channel"), "videos"))) \
         .otherwise(F.to_json("videos"))
-    return docs.select(F.concat(F.lit(STATE_PREFIXES[0]), F.col("channel_id"), F.lit(".json")).alias("path"),
+    return docs.select(F.concat(F.lit(STATE_PREFIXES[0]), F.col("channel_id"), F.lit("-"), F.col("block").cast("string"),
+                                 F.lit(".json")).alias("path"),
                        doc.alias("doc"))
 
 
@@ -222,10 +224,10 @@ def fx_log_lines(events: DataFrame) -> DataFrame:
 
 
 def fx_json_files(documents: DataFrame) -> DataFrame:
-    """FX-JSONFILES: JSON file inventory ``(path, mtime_s)`` in five folders."""
+    """FX-JSONFILES: JSON file inventory ``(path, mtime_s)``, fifty files to a folder."""
     d = F.col("doc_id")
     v = F.concat(F.lit("v"), F.lpad(d.cast("string"), 10, "0"))
-    folder = F.concat(F.lit("d"), (d % 5).cast("string"))
+    folder = F.concat(F.lit("d"), F.floor(d / 50).cast("string"))
     name = (F.when(d % 97 == 0, F.lit("package.json"))
             .when(d % 10 == 0, F.concat(F.lit(STATE_PREFIXES[0]), F.col("source"), F.lit(".json")))
             .when(d % 10 == 1, F.concat(F.lit(STATE_PREFIXES[1]), F.col("source"), F.lit(".json")))
