@@ -10,21 +10,25 @@ placeholders is not.
 
 The benchmark is read in blocks of ``BLOCK_ROWS`` items; a block's windows are the
 broadcast side of the hash join (their size is bounded by the block and checked), and
-every document is looked up against each block. No document is shuffled.
+every document is looked up against each block. Only one block at a time is in the
+executors' memory: of several, each is a job of its own, which writes its hits and
+then frees the block. No document is shuffled.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import texthash
-from .common import bound_batches, free_name, text_or_empty
+from .common import bound_batches, drop_stage, free_name, stage, text_or_empty
 
 #: Template words in a window; an item of fewer words is one window.
 WINDOW = 8
@@ -163,8 +167,9 @@ class Block:
 
 def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, rows: int = BLOCK_ROWS):
     """The benchmark (item_id, text) as blocks of bounded size, each read by itself.
-    Null and empty texts have no windows; repeated rows are items of their own."""
-    items = benchmark.select("item_id", text_or_empty().alias("text")).where("length(text) > 0")
+    Null and empty texts have no windows; repeated rows count once, so that blocks,
+    which are told by hash, are even."""
+    items = benchmark.select("item_id", text_or_empty().alias("text")).where("length(text) > 0").distinct()
     n_rows, n_words = items.agg(F.count(F.lit(1)), F.sum(F.length("text") / 2)).first()
     blocks = max(1, math.ceil((n_rows or 0) / rows), math.ceil((n_words or 0) / BLOCK_WORDS))
     for k in range(blocks):
@@ -172,9 +177,8 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, rows: int = BLO
         yield Block.of([(r["item_id"], r["text"].encode()) for r in part.orderBy("item_id", "text").collect()], window)
 
 
-def match_column(spark, block: Block, text: Column, id_type: str, coverage: float = COVERAGE) -> Column:
-    """Array of (item_id, coverage) of the items of a block that each text contains."""
-    shared = spark.sparkContext.broadcast(block)
+def match_column(shared: Broadcast, text: Column, id_type: str, coverage: float = COVERAGE) -> Column:
+    """Array of (item_id, coverage) of the items of a broadcast block that each text contains."""
     item = pa.int64() if id_type in ("bigint", "int") else pa.string()
 
     @F.arrow_udf(f"array<struct<item_id: {id_type}, coverage: double>>")
@@ -188,21 +192,37 @@ def match_column(spark, block: Block, text: Column, id_type: str, coverage: floa
 def with_matches(docs: DataFrame, benchmark: DataFrame, name: str, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` with a column ``name``: the benchmark items that the text contains,
     as an array of (item_id, coverage) in the order of the items."""
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    out, found = docs, []
-    for k, block in enumerate(benchmark_blocks(benchmark)):
-        found.append(f"{name}_{k}")
-        out = out.withColumn(found[-1], match_column(docs.sparkSession, block, F.col("text"), kind, coverage))
-    return out.withColumn(name, F.array_sort(F.concat(*found)) if len(found) > 1 else F.col(found[0])).drop(*found)
+    blocks = benchmark_blocks(benchmark)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return docs.withColumn(name, match_column(spark.sparkContext.broadcast(block), F.col("text"), kind, coverage))
+    rid = free_name(docs, "rid")
+    whole = stage(docs.withColumn(rid, F.monotonically_increasing_id()), "documents")
+    parts = []
+    while block is not None:
+        shared = spark.sparkContext.broadcast(block)
+        hits = whole.select(F.col(rid).alias("rid"), match_column(shared, F.col("text"), kind, coverage).alias("found"))
+        parts.append(stage(hits.where(F.size("found") > 0), "matches"))
+        shared.destroy()
+        block, after = after, next(blocks, None)
+    # a row for each block with a hit: a document's items, no more than its text holds
+    every = functools.reduce(DataFrame.union, parts).groupBy("rid").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    found = stage(every.select(F.col("rid").alias(rid), F.col("found").alias(name)), "all-matches")
+    drop_stage(*parts)
+    return whole.join(found, rid, "left").select(
+        *[F.col(c) for c in docs.columns], F.coalesce(F.col(name), F.array().cast(found.schema[name].dataType)).alias(name))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, contaminated, items, coverage) for every row of ``docs``: the item_ids
     that its text contains and the largest covered share (0 if there is none).
 
-    Null and empty texts contain nothing; repeated rows and null ids stay; an empty
-    benchmark marks nothing; the whole text is looked up.
+    Null and empty texts contain nothing; repeated rows and null ids stay; repeated
+    benchmark rows count once; an empty benchmark marks nothing; the whole text is
+    looked up.
     """
     name = free_name(docs, "matches")
     m = F.col(name)

@@ -224,6 +224,17 @@ def test_benchmark_blocks_find_what_one_block_finds(spark, sf_small, monkeypatch
     assert len(whole) == 1 and len(few) >= 3
     monkeypatch.setattr(decontamination, "benchmark_blocks", lambda b: iter(few))
     assert {r["doc_id"]: sorted(r["items"]) for r in decontamination.contaminated(docs, items).collect()} == one
+    rough = awkward(spark, [*AWKWARD, *AWKWARD])
+    kept = decontamination.keep_clean(rough, items)
+    assert kept.schema == rough.schema and kept.count() == 2 * len(AWKWARD)
+    assert decontamination.keep_clean(docs, items).count() == sum(not x for x in one.values())
+
+
+def test_repeated_benchmark_rows_count_once(spark):
+    docs = awkward(spark, [(60, "Intro text. " + ITEM)])
+    items = spark.createDataFrame([(1, ITEM)] * 40 + [(2, ITEM)] * 2, "item_id long, text string")
+    assert [r["items"] for r in decontamination.contaminated(docs, items).collect()] == [[1, 2]]
+    assert sum(len(b.ids) for b in decontamination.benchmark_blocks(items, rows=1)) == 2
 
 
 # ---------------------------------------------------------------- pipeline
