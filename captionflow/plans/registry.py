@@ -155,7 +155,7 @@ def q_render_markdown(spark, sf_dir):
     return _captions(spark, sf_dir).markdown(X.fx_videos(docs))
 
 
-from . import registry_blocks, registry_files, registry_state, registry_stream  # noqa: E402,F401
+from . import registry_blocks, registry_files, registry_flows, registry_state, registry_stream  # noqa: E402,F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

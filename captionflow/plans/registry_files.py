@@ -113,19 +113,19 @@ SELECT 'v' || lpad(CAST(doc_id AS VARCHAR), 10, '0') AS video_id, doc_id AS ord,
 FROM documents""")
 
 
+O.cte("stored_titles", """
+SELECT CASE WHEN ord % 2 = 0 THEN video_id ELSE 'x' || substr(video_id, 2) END AS video_id,
+  arg_max(coalesce(CASE WHEN ord % 5 = 0 THEN '' ELSE title END, ''), ord) AS title
+FROM vstate GROUP BY ALL""", ["vstate"])
+
+
 @register("lookup_titles", O.sql(r"""
 SELECT i.path, i.video_id, coalesce(t.title, regexp_replace(i.name, '\.[^.]*$', '')) AS title
-FROM regen_inputs i LEFT JOIN (
-  SELECT CASE WHEN ord % 2 = 0 THEN video_id ELSE 'x' || substr(video_id, 2) END AS video_id,
-    arg_max(coalesce(CASE WHEN ord % 5 = 0 THEN '' ELSE title END, ''), ord) AS title
-  FROM vstate GROUP BY ALL) t USING (video_id)""", "regen_inputs", "vstate"))
+FROM regen_inputs i LEFT JOIN stored_titles t USING (video_id)""", "regen_inputs", "stored_titles"))
 def q_lookup_titles(spark, d):
     """Titles for regeneration inputs from a state where some titles are empty
     and half of the rows belong to videos without files (file stem fallback)."""
-    st = X.fx_vstate(_docs(spark, d))
-    st = (st.withColumn("video_id", F.when(F.col("ord") % 2 == 0, F.col("video_id"))
-                        .otherwise(F.concat(F.lit("x"), F.substring("video_id", 2, 100))))
-          .withColumn("title", F.when(F.col("ord") % 5 == 0, F.lit("")).otherwise(F.col("title"))))
+    st = X.fx_title_state(_docs(spark, d))
     return FL.lookup_titles(FL.scan_regen_inputs(_regen(spark, d)), st)
 
 

@@ -16,22 +16,28 @@ from . import oracle_sql as O
 from .registry import register
 from .registry_state import MERGE_COLS
 
-N_FILES = 8
+#: Rows of a stream's input file, at most.
+FILE_ROWS = 100_000
 
 
 def _scratch(spark, name):
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _write_obs(spark, d, src):
-    rows = X.fx_obs_rows(X.table(spark, d, "events"))
-    rows.repartitionByRange(N_FILES, "ord").sortWithinPartitions("ord").write.json(src)
+def _write_files(df, rows: int, batches: int, path: str, fmt: str) -> int:
+    """Write about ``rows`` rows as input files: enough for ``batches`` batches, and
+    more as the rows grow. Returns the number of files that make one of the batches."""
+    per_file = max(1, min(FILE_ROWS, -(-rows // batches)))
+    df.write.option("maxRecordsPerFile", per_file).format(fmt).save(path)
+    files = df.sparkSession.read.format("binaryFile").load(path).select("path").count()
+    return max(1, -(-files // batches))
 
 
-def _sync(spark, d, files_per_trigger):
+def _sync(spark, d, batches):
     root = _scratch(spark, "stream-sync")
-    _write_obs(spark, d, f"{root}/src")
-    q = SS.stream_sync(spark, f"{root}/src", f"{root}/out", f"{root}/ckpt", files_per_trigger)
+    events = X.table(spark, d, "events")
+    per_batch = _write_files(X.fx_obs_rows(events), events.count(), batches, f"{root}/src", "json")
+    q = SS.stream_sync(spark, f"{root}/src", f"{root}/out", f"{root}/ckpt", per_batch)
     q.awaitTermination()
     return root, SS.read_snapshot(spark, f"{root}/out")
 
@@ -42,15 +48,15 @@ def _state_cols(df):
 
 @register("stream_sync", O.sql("SELECT * FROM state_dedup", "state_dedup"))
 def q_stream_sync(spark, d):
-    """Observation files streamed in batches of 3 files; the final snapshot
+    """Observation files streamed in about three batches; the final snapshot
     equals the one-shot ``dedup_state``."""
     return _state_cols(_sync(spark, d, 3)[1])
 
 
 @register("stream_flush", O.sql("SELECT * FROM state_dedup", "state_dedup"))
 def q_stream_flush(spark, d):
-    """One file per persisted step: same final state as any other batch size."""
-    return _state_cols(_sync(spark, d, 1)[1])
+    """Nine smaller steps, each persisted: same final state as any other batch size."""
+    return _state_cols(_sync(spark, d, 9)[1])
 
 
 @register("stream_pending", O.sql(f"""
@@ -63,8 +69,8 @@ FROM state_dedup s LEFT JOIN outcomes o USING (video_id)""", "state_dedup", "out
 def q_stream_pending(spark, d):
     """Fetch outcomes streamed against the synced state; flags with the
     maturity gate at a fixed ``as_of``."""
-    root, _ = _sync(spark, d, None)
-    X.fx_outcomes(X.fx_obs(X.table(spark, d, "events"))).repartition(4).write.json(f"{root}/outcomes")
+    root, _ = _sync(spark, d, 1)
+    X.fx_outcomes(X.fx_obs(X.table(spark, d, "events"))).write.json(f"{root}/outcomes")
     q = SS.stream_pending(spark, f"{root}/outcomes", f"{root}/pending", f"{root}/ckpt2", as_of=X.OUTCOME_AS_OF)
     q.awaitTermination()
     s = SS.read_pending(spark, f"{root}/out", f"{root}/pending")
@@ -73,13 +79,13 @@ def q_stream_pending(spark, d):
 
 @register("stream_topics", O.sql("SELECT * FROM markdown", "markdown"))
 def q_stream_topics(spark, d):
-    """Caption files streamed in four batches -> Markdown fragments, equal to
+    """Caption files streamed in about four batches -> Markdown fragments, equal to
     the batch plan."""
     from ..sources.srt import render_srt
     root = _scratch(spark, "stream-topics")
     docs = X.table(spark, d, "documents")
-    render_srt(X.fx_cues(docs)).repartition(4, "video_id").write.parquet(f"{root}/src")
-    q = SS.stream_topics(spark, f"{root}/src", f"{root}/out", f"{root}/ckpt", files_per_trigger=1, fmt="parquet",
+    per_batch = _write_files(render_srt(X.fx_cues(docs)), docs.count(), 4, f"{root}/src", "parquet")
+    q = SS.stream_topics(spark, f"{root}/src", f"{root}/out", f"{root}/ckpt", files_per_trigger=per_batch, fmt="parquet",
                          videos=X.fx_videos(docs))
     q.awaitTermination()
     return SS.read_topics(spark, f"{root}/out")

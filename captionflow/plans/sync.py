@@ -59,31 +59,38 @@ def channel_sync(history: DataFrame, state: DataFrame, listing: DataFrame, files
 
 
 def regen_markdown(spark, root: str, state: DataFrame | None = None, note: str | None = None) -> DataFrame:
-    """Offline regeneration: Markdown fragments (``video_id`` is the file's path) for
-    every caption file in ``root`` and ``root/archive`` that has no Markdown file next
+    """Offline regeneration (:func:`regen_documents`) of the caption files in ``root``
+    and ``root/archive``. The texts are joined once, with the files to convert, by the
+    path as Spark's file metadata spells it."""
+    from ..sources.state_files import list_files
+    raw = (spark.read.option("pathGlobFilter", "*.srt").option("recursiveFileLookup", "true")
+           .text(root, wholetext=True).select(F.col("value").alias("srt"), F.col("_metadata.file_path").alias("uri")))
+    return regen_documents(list_files(spark, root), raw, state, note)
+
+
+def regen_documents(inventory: DataFrame, texts: DataFrame, state: DataFrame | None = None,
+                    note: str | None = None) -> DataFrame:
+    """Markdown fragments (``video_id`` is the file's path) for every caption file of
+    ``inventory`` in the root folder or ``archive`` that has no Markdown file next
     to it; titles from the stored state (file stem when unknown), dates unknown.
+    ``texts``: ``(uri, srt)`` of the inventory's files.
 
     Every caption file is a document of its own, keyed by its path: two languages of
     a video, or a file and its archive copy, are two documents. The id is the
-    11-character run of the name, else the file stem. The texts are joined once,
-    with the files to convert, by the path as Spark's file metadata spells it."""
+    11-character run of the name, else the file stem."""
     from ..operators import files as FL
     from ..operators import transcript as TR
     from ..sources.srt import parse_srt
-    from ..sources.state_files import list_files
     from ..functions import scalars as S
     from .captions import CaptionTables
 
-    inv = list_files(spark, root)
     stem = F.regexp_replace("name", r"\.[^.]*$", "")
-    srt = inv.filter((F.col("ext") == "srt") & F.col("dir").isin(FL.ARCHIVE_DIR, "")) \
+    srt = inventory.filter((F.col("ext") == "srt") & F.col("dir").isin(FL.ARCHIVE_DIR, "")) \
         .withColumn("video_id", F.coalesce(F.nullif("video_id", F.lit("")), stem)) \
         .withColumn("_stem", F.regexp_replace("path", r"\.srt$", ""))
-    done = inv.filter(F.col("ext") == "md").select(F.regexp_replace("path", r"\.md$", "").alias("_stem"))
+    done = inventory.filter(F.col("ext") == "md").select(F.regexp_replace("path", r"\.md$", "").alias("_stem"))
     todo = srt.join(done, "_stem", "left_anti").select("uri", "path", "video_id", "name")
-    raw = (spark.read.option("pathGlobFilter", "*.srt").option("recursiveFileLookup", "true")
-           .text(root, wholetext=True).select(F.col("value").alias("srt"), F.col("_metadata.file_path").alias("uri")))
-    cues = parse_srt(raw.join(todo, "uri").select("srt", F.col("path").alias("video_id"), S.extract_lang("name").alias("lang")))
+    cues = parse_srt(texts.join(todo, "uri").select("srt", F.col("path").alias("video_id"), S.extract_lang("name").alias("lang")))
     titles = (FL.lookup_titles(todo, state) if state is not None else todo.select("path", "video_id", stem.alias("title")))
     videos = titles.select(F.col("path").alias("video_id"), "title", F.lit(TR.UNKNOWN_DATE).alias("publish_date"),
                            F.col("video_id").alias("url_id"))

@@ -291,3 +291,32 @@ def fx_state_paths(files: DataFrame) -> DataFrame:
     """``channel`` field of each state document, present for even path lengths."""
     return files.select("path", F.when(F.length("path") % 2 == 0, F.concat(F.lit("@doc"), F.length("path")
                                                                          .cast("string"))).alias("channel"))
+
+
+def fx_listing_files(orders: DataFrame) -> DataFrame:
+    """FX-LISTING-FILES: caption and Markdown files ``(path, mtime_s)`` of some videos
+    of FX-LISTING."""
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("chan-e"), F.lpad(F.floor(k / 4).cast("string"), 10, "0"))
+
+    def of(every, ext):
+        return orders.filter(k % every == 0).select(F.concat(name, F.lit(ext)).alias("path"),
+                                                    (F.lit(1700000000) + k % 97).alias("mtime_s"))
+    return of(12, ".srt").unionByName(of(20, ".md"))
+
+
+def fx_regen_folder(documents: DataFrame) -> DataFrame:
+    """FX-REGEN: FX-FILES in the working folder or ``archive/``, every fifth caption
+    file (by mtime) with a Markdown file next to it. ``(path, video_id, mtime_s, uri)``."""
+    f = fx_regen_files(documents)
+    md = f.filter((F.col("mtime_s") % 5 == 0) & F.col("path").endswith(".srt")) \
+        .withColumn("path", F.regexp_replace("path", r"\.srt$", ".md"))
+    return f.unionByName(md).withColumn("uri", F.concat(F.lit("file:///"), "path"))
+
+
+def fx_title_state(documents: DataFrame) -> DataFrame:
+    """FX-VSTATE with some empty titles, and half of the rows of other videos."""
+    return (fx_vstate(documents)
+            .withColumn("video_id", F.when(F.col("ord") % 2 == 0, F.col("video_id"))
+                        .otherwise(F.concat(F.lit("x"), F.substring("video_id", 2, 100))))
+            .withColumn("title", F.when(F.col("ord") % 5 == 0, F.lit("")).otherwise(F.col("title"))))

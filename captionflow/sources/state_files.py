@@ -127,11 +127,12 @@ def read_video_info(spark: SparkSession, path: str, id_mode: str = "suffix") ->
 def parse_log_lines(lines: DataFrame, text_col: str = "value", file_col: str = "file",
                     logs: dict | None = None) -> DataFrame:
     """Legacy text logs -> distinct ``(kind, video_id)``. Id logs hold
-    ``youtube <id>`` lines; the no-caption log holds URLs with ``watch?v=<id>``."""
+    ``youtube <id>`` lines; the no-caption log holds URLs with ``watch?v=<id>``. A log
+    is a file of its name, or a folder of that name with ``part-`` files."""
     logs = logs or LEGACY_LOGS
     kind = F.lit(None).cast("string")
     for name, k in reversed(list(logs.items())):
-        kind = F.when(F.regexp_extract(F.col(file_col), r"([^/]+)$", 1) == name, F.lit(k)).otherwise(kind)
+        kind = F.when(F.regexp_extract(F.col(file_col), r"([^/]+?)(?:/part-[^/]*)?$", 1) == name, F.lit(k)).otherwise(kind)
     s = F.trim(F.col(text_col))
     vid = (F.when((kind != "no_subtitle") & s.startswith("youtube "), F.substring(s, 9, 1 << 30))
            .when((kind == "no_subtitle") & s.contains("watch?v="),
