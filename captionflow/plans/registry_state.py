@@ -254,7 +254,7 @@ O.cte("listing_state", merge_sql("listing_c").replace("arg_min_null(channel, ord
       .replace("arg_min_null(uploader_id, ord)", "NULL").replace("arg_min_null(duration_s, ord)", "NULL")
       .replace("arg_min_null(view_count, ord)", "NULL"), ["listing_c"])
 O.cte("imported", f"""
-SELECT h.video_id, h.channel_id, h.uploader_id, h.uploader FROM history h, target t
+SELECT h.video_id, h.channel_id, h.uploader_id, h.uploader FROM history h LEFT JOIN target t ON true  -- without a target the name alone decides
 WHERE h.video_id NOT IN (SELECT video_id FROM listing_state)
   AND ((t.channel_id IS NOT NULL AND t.channel_id <> '' AND h.channel_id = t.channel_id)
     OR (t.uploader_id IS NOT NULL AND t.uploader_id <> '' AND h.uploader_id = t.uploader_id)
@@ -284,8 +284,13 @@ UNION SELECT DISTINCT 'no_subtitle', video_id FROM obs WHERE has_no_subtitle""",
 
 @register("read_legacy_logs", O.sql("SELECT * FROM log_ids", "log_ids"))
 def q_read_legacy_logs(spark, d):
-    """Legacy log lines (with noise) parsed into (kind, video_id) by the reader's parse step."""
-    return SF.parse_log_lines(X.fx_log_lines(_ev(spark, d)))
+    """Legacy logs (with noise), written under their names to the shared checkpoint
+    folder and read back by the reader."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logs-{uuid.uuid4().hex}"
+    lines = X.fx_log_lines(_ev(spark, d))
+    for name in X.LOG_FILES:
+        lines.filter(F.col("file") == name).select("value").write.text(f"{root}/{name}")
+    return SF.read_legacy_logs(spark, f"{root}/*")
 
 
 @register("apply_legacy_flags", O.sql("""
@@ -317,6 +322,18 @@ SELECT video_id, arg_min_null(title, ord) AS title, arg_min_null(upload_date, or
   arg_min_null(epoch_s, ord) AS epoch_s, min(ord) AS ord FROM listing GROUP BY ALL""", ["listing"])
 
 
+def _info(spark, d):
+    return _listing_first(spark, d).select(
+        "video_id", "title", "upload_date", F.col("ord").cast("double").alias("duration"),
+        F.concat(F.lit("Ch "), F.col("title")).alias("channel"), F.lit(None).cast("string").alias("uploader"),
+        F.col("epoch_s").alias("view_count"))
+
+
+def _recovered(spark, d):
+    return _listing(spark, d).groupBy("video_id").agg(F.min_by("publish_date", "ord").alias("date"),
+                                                       F.min_by("title", "ord").alias("title"))
+
+
 @register("harvest_metadata", O.sql("""
 SELECT h.video_id,
   CASE WHEN i.video_id IS NOT NULL AND (h.title IS NULL OR h.title IN ('', 'N/A', 'Avulso'))
@@ -334,11 +351,7 @@ SELECT h.video_id,
   h.info_downloaded OR i.video_id IS NOT NULL AS info_downloaded
 FROM history h LEFT JOIN listing_first i USING (video_id)""", "history", "listing_first"))
 def q_harvest_metadata(spark, d):
-    info = _listing_first(spark, d).select(
-        "video_id", "title", "upload_date", F.col("ord").cast("double").alias("duration"),
-        F.concat(F.lit("Ch "), F.col("title")).alias("channel"), F.lit(None).cast("string").alias("uploader"),
-        F.col("epoch_s").alias("view_count"))
-    out = ST.harvest_metadata(_history(spark, d), info)
+    out = ST.harvest_metadata(_history(spark, d), _info(spark, d))
     return out.select("video_id", "title", "publish_date", "duration_s", "channel", "view_count", "info_downloaded")
 
 
@@ -353,9 +366,7 @@ SELECT h.video_id,
 FROM history h LEFT JOIN (SELECT video_id, arg_min_null(publish_date, ord) AS date, arg_min_null(title, ord) AS title
                           FROM listing_rows GROUP BY ALL) r USING (video_id)""", "history", "listing_rows"))
 def q_heal_metadata(spark, d):
-    rec = _listing(spark, d).groupBy("video_id").agg(F.min_by("publish_date", "ord").alias("date"),
-                                                      F.min_by("title", "ord").alias("title"))
-    out = ST.heal_metadata(_history(spark, d), rec)
+    out = ST.heal_metadata(_history(spark, d), _recovered(spark, d))
     return out.select("video_id", "title", "publish_date", F.coalesce("healed", F.lit(False)).alias("healed"))
 
 
