@@ -6,7 +6,8 @@ hashed; windows of every document are looked up among them. A hit must also be
 consistent in its slots: along one alignment of document and item, equal slot values
 of the item meet equal values in the document and different ones meet different ones.
 So a question with new numbers or names is caught, and a chance meeting of
-placeholders is not.
+placeholders is not. Windows of hardly anything but placeholders are hashed with their
+literal values, so that every item can be found.
 
 The benchmark is read in blocks of ``BLOCK_ROWS`` items; a block's windows are the
 broadcast side of the hash join (their size is bounded by the block and checked), and
@@ -32,7 +33,7 @@ from .common import bound_batches, drop_stage, free_name, stage, text_or_empty
 
 #: Template words in a window; an item of fewer words is one window.
 WINDOW = 8
-#: Words of a window that must not be placeholders.
+#: A window of fewer words that are no placeholders is looked up by its literal words.
 MIN_PLAIN = 4
 #: Share of an item's windows that one alignment must hit.
 COVERAGE = 0.5
@@ -47,6 +48,7 @@ UNITS = ("cm mm km m kg g mg lb oz l ml mi ft in s sec second seconds min minute
          "kilogram kilograms liter liters litre litres percent dollar dollars euro euros cent cents").split()
 _NUM, _NAME, _UNIT = U64(1), U64(2), U64(3)
 _UNIT_HASHES = np.sort(np.concatenate([texthash.words(np.frombuffer(u.encode(), np.uint8), texthash.ALNUM)[0] for u in UNITS]))
+_LITERAL = 1 << 20  # salt of windows of literal words
 _DIGIT = np.zeros(256, np.int64)
 _DIGIT[0x30:0x3A] = 1
 _UPPER = np.zeros(256, bool)
@@ -78,15 +80,18 @@ def template(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, h
 
 
-def window_hashes(code: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first word) of the windows with enough plain words."""
-    n = min(window, len(code))
-    if not n:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    h = texthash.grams(code, n, n)
+def window_hashes(code: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, whether it is of the template) of every window of ``n`` words: of template
+    codes, or of literal words where too few words are plain."""
+    if not n or len(code) < n:
+        return np.zeros(0, U64), np.zeros(0, bool)
     plain = np.concatenate(([0], np.cumsum(code > _UNIT)))
-    enough = plain[n:] - plain[:-n] >= min(MIN_PLAIN, n)
-    return h[enough], np.flatnonzero(enough)
+    typed = plain[n:] - plain[:-n] >= min(MIN_PLAIN, n)
+    out = texthash.grams(code, n, n)
+    if not typed.all():
+        rest = np.flatnonzero(~typed)
+        out[rest] = texthash.grams(h, n, _LITERAL + n, rest)
+    return out, typed
 
 
 @dataclass
@@ -95,7 +100,9 @@ class Block:
     hashes: np.ndarray
     item: np.ndarray       # index of the item
     place: np.ndarray      # first word of the window
+    typed: np.ndarray      # whether the window is of the template
     windows: np.ndarray    # by item: its number of windows
+    templates: np.ndarray  # by item: its number of windows of the template
     words: list            # by item: (template codes, word hashes)
     ids: list              # by item: its item_id
     sizes: tuple           # window lengths that occur
@@ -104,25 +111,26 @@ class Block:
     @classmethod
     def of(cls, items: list[tuple[object, bytes]], window: int) -> Block:
         words = [template(np.frombuffer(t, np.uint8)) for _, t in items]
-        parts = [window_hashes(c, window) for c, _ in words]
+        parts = [window_hashes(c, v, min(window, len(c))) for c, v in words]
         count = np.array([len(h) for h, _ in parts], np.int64)
         h = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, U64)
-        place = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+        typed = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, bool)
+        place = np.concatenate([np.arange(n) for n in count]) if parts else np.zeros(0, np.int64)
         item = np.repeat(np.arange(len(items)), count)
         order = np.lexsort((place, item, h))
         bits = max(16, math.ceil(math.log2(max(1, len(h)))) + 4)
         seen = np.zeros(1 << bits, bool)
         seen[(h & U64((1 << bits) - 1)).astype(np.int64)] = True
-        return cls(h[order], item[order], place[order], count, words, [i for i, _ in items],
-                   tuple(sorted({min(window, len(c)) for c, _ in words if len(c)})), seen)
+        return cls(h[order], item[order], place[order], typed[order], count, np.bincount(item[typed], minlength=len(items)),
+                   words, [i for i, _ in items], tuple(sorted({min(window, len(c)) for c, _ in words if len(c)})), seen)
 
-    def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def hits(self, code: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into the sorted windows, word of the document) of every hit."""
         index, at = [], []
         for n in self.sizes:
             if len(code) < n:
                 continue
-            h = texthash.grams(code, n, n)
+            h, _ = window_hashes(code, words, n)
             maybe = np.flatnonzero(self.seen[(h & U64(len(self.seen) - 1)).astype(np.int64)])
             low = np.searchsorted(self.hashes, h[maybe], "left")
             many = np.searchsorted(self.hashes, h[maybe], "right") - low
@@ -145,23 +153,30 @@ class Block:
         here = np.unique(pairs[:2], axis=1).shape[1]
         return pairs.shape[1] == here == there
 
+    def share(self, item: int, typed: np.ndarray) -> float:
+        """Share of an item's windows that are hit (``typed``: of each, whether it is of
+        the template); of those of the template alone, if that is more, as literal ones
+        do not survive new values."""
+        part = typed.sum() / self.templates[item] if self.templates[item] else 0.0
+        return float(max(len(typed) / self.windows[item], part))
+
     def matches(self, data: np.ndarray, coverage: float) -> list[tuple[object, float]]:
         """(item_id, share of its windows) of the items that a text contains."""
         code, h = template(data)
-        index, at = self.hits(code)
+        index, at = self.hits(code, h)
         if not len(index):
             return []
-        item, place = self.item[index], self.place[index]
+        item, place, typed = self.item[index], self.place[index], self.typed[index]
         shift = at - place
         order = np.lexsort((place, shift, item))
-        item, shift, place = item[order], shift[order], place[order]
+        item, shift, place, typed = item[order], shift[order], place[order], typed[order]
         cut = np.flatnonzero((np.diff(item) != 0) | (np.diff(shift) != 0)) + 1
         best: dict[int, float] = {}
         for lo, hi in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(item)]))):
             i = int(item[lo])
-            share = (hi - lo) / self.windows[i]
+            share = self.share(i, typed[lo:hi])
             if share >= coverage and share > best.get(i, 0) and self.consistent(i, int(shift[lo]), place[lo:hi], code, h):
-                best[i] = float(share)
+                best[i] = share
         return [(self.ids[i], best[i]) for i in sorted(best)]
 
 

@@ -91,14 +91,16 @@ def prefixes(data: np.ndarray, start: np.ndarray, end: np.ndarray, n: int, fold:
     return mix(h)
 
 
-def grams(codes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
-    """Hash of each run of ``n`` successive codes; empty if there are fewer."""
+def grams(codes: np.ndarray, n: int, salt: int = 0, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of each run of ``n`` successive codes, or of those that start at ``at``;
+    empty if there are fewer."""
     if len(codes) < n:
         return np.zeros(0, U64)
+    size = len(codes) - n + 1
     with np.errstate(over="ignore"):
-        h = np.full(len(codes) - n + 1, 0x243F6A8885A308D3 + salt, U64)
+        h = np.full(size if at is None else len(at), 0x243F6A8885A308D3 + salt, U64)
         for k in range(n):
-            h = mix(h * U64(_P) + codes[k:len(codes) - n + 1 + k])
+            h = mix(h * U64(_P) + (codes[k:size + k] if at is None else codes[at + k]))
     return h
 
 

@@ -237,6 +237,23 @@ def test_repeated_benchmark_rows_count_once(spark):
     assert sum(len(b.ids) for b in decontamination.benchmark_blocks(items, rows=1)) == 2
 
 
+def found(items, text):
+    """Numbers of the items (from 0) that a text contains."""
+    block = decontamination.Block.of([(i, t.encode()) for i, t in enumerate(items)], decontamination.WINDOW)
+    return [i for i, _ in block.matches(np.frombuffer(text.encode(), np.uint8), decontamination.COVERAGE)]
+
+
+def test_items_of_placeholders():
+    items = ["Compute 12 + 7 * 3 - 4", "3, 7, 12, 18, 25, 33, 42, 52, 63, 75, what is next", "42",
+             "Then Anna Berta Carla Doris Emma Frida Greta Hanna met"]
+    for i, t in enumerate(items):
+        assert i in found(items, f"some words. {t}. some more")
+    assert found(items, "Compute 13 + 7 * 3 - 4 and 4, 7, 13, 18, 26, 33, 43, 52, 64, 75 so") == []
+    # literal windows do not stand in the way of new values elsewhere
+    mixed = "Add 1 2 3 4 5 6 7 8 9 10 11 and tell me how many sheep the old farmer has to buy"
+    assert found([mixed], mixed.replace("1 2 3", "7 5 1").replace("4 5", "99 98")) == [0]
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_by_brute_force(spark, sf_small):
     """Each stage on what the stages before it kept, by plain versions; the classifier's
