@@ -2,9 +2,12 @@
 
 Texts become templates: words are folded, numbers, names and units become typed
 placeholders. Windows of ``WINDOW`` template words of every benchmark item are
-hashed; windows of every document are looked up among them. A hit must also be
-consistent in its slots: along one alignment of document and item, equal slot values
-of the item meet equal values in the document and different ones meet different ones.
+hashed; windows of every document are looked up among them. A run of number parts
+('1,200') or of names ('Mary Ann') is one placeholder. Hits in the order of the item are
+chained over alignments that differ by a few words, so an inserted word loses only the
+windows that hold it. A hit must also be consistent in its slots: along its alignments,
+equal slot values of the item meet equal values in the document and different ones meet
+different ones.
 So a question with new numbers or names is caught, and a chance meeting of
 placeholders is not. Windows of hardly anything but placeholders are hashed with their
 literal values, so that every item can be found.
@@ -18,6 +21,7 @@ then frees the block. No document is shuffled.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 from dataclasses import dataclass
@@ -35,8 +39,12 @@ from .common import bound_batches, drop_stage, free_name, stage, text_or_empty
 WINDOW = 8
 #: A window of fewer words that are no placeholders is looked up by its literal words.
 MIN_PLAIN = 4
-#: Share of an item's windows that one alignment must hit.
+#: Share of an item's windows that a chain of alignments must hit.
 COVERAGE = 0.5
+#: Words that two neighbouring alignments of a chain may differ by.
+DRIFT = 8
+#: A run of so many literal words of an item is a hit at any coverage.
+VERBATIM = 32
 #: Benchmark items in one block, and words in one block at most.
 BLOCK_ROWS = 20_000
 BLOCK_WORDS = 2_000_000
@@ -59,10 +67,25 @@ _STOP = np.zeros(256, np.int64)
 _STOP[[ord(c) for c in ".!?:;\n\r\"|"]] = 1
 
 
+def _merged(code: np.ndarray, h: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with each one marked in ``joined`` made one with the word before it."""
+    first = np.flatnonzero(~joined)
+    size = np.diff(np.concatenate((first, [len(h)])))
+    value = h[first]
+    more = np.flatnonzero(size > 1)
+    for k in range(1, int(size.max())):
+        more = more[size[more] > k]
+        with np.errstate(over="ignore"):
+            value[more] = texthash.mix(value[more] * U64(31) + h[first[more] + k])
+    code = code[first]
+    return np.where(code > _UNIT, value, code), value
+
+
 def template(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(template code, folded word hash) of each word of a text. A word of digits is
     a number; one that follows a number and is listed is a unit; one with a capital
-    and small letters that does not start a sentence is a name."""
+    and small letters that does not start a sentence is a name. Numbers with a point or
+    comma between them are one word, and so are names with a space between them."""
     h, start, end = texthash.words(data, texthash.ALNUM)
     if not len(h):
         return h, h
@@ -74,10 +97,14 @@ def template(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     after_number = np.concatenate(([False], number[:-1]))
     spot = np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)
     inside = np.concatenate(([False], stops[start[1:]] == stops[end[:-1]]))
-    code[_UPPER[data[start]] & (small[end] > small[start]) & inside] = _NAME
+    dot = np.concatenate(([False], (start[1:] == end[:-1] + 1) & np.isin(data[end[:-1]], (0x2C, 0x2E))))
+    space = np.concatenate(([False], (start[1:] == end[:-1] + 1) & (data[end[:-1]] == 0x20)))
+    name = _UPPER[data[start]] & (small[end] > small[start]) & inside
+    code[name] = _NAME
     code[after_number & (_UNIT_HASHES[spot] == h)] = _UNIT
     code[number] = _NUM
-    return code, h
+    joined = (dot & (code == _NUM) | space & (code == _NAME)) & np.concatenate(([False], code[1:] == code[:-1]))
+    return _merged(code, h, joined) if joined.any() else (code, h)
 
 
 def window_hashes(code: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +134,7 @@ class Block:
     ids: list              # by item: its item_id
     sizes: tuple           # window lengths that occur
     seen: np.ndarray       # bitmap over the low bits of the hashes
+    window: int
 
     @classmethod
     def of(cls, items: list[tuple[object, bytes]], window: int) -> Block:
@@ -122,7 +150,7 @@ class Block:
         seen = np.zeros(1 << bits, bool)
         seen[(h & U64((1 << bits) - 1)).astype(np.int64)] = True
         return cls(h[order], item[order], place[order], typed[order], count, np.bincount(item[typed], minlength=len(items)),
-                   words, [i for i, _ in items], tuple(sorted({min(window, len(c)) for c, _ in words if len(c)})), seen)
+                   words, [i for i, _ in items], tuple(sorted({min(window, len(c)) for c, _ in words if len(c)})), seen, window)
 
     def hits(self, code: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into the sorted windows, word of the document) of every hit."""
@@ -140,18 +168,60 @@ class Block:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(index), np.concatenate(at)
 
-    def consistent(self, item: int, shift: int, places: np.ndarray, code: np.ndarray, h: np.ndarray) -> bool:
-        """Whether the slots under the windows at ``places`` map one to one."""
+    def consistent(self, item: int, places: np.ndarray, at: np.ndarray, h: np.ndarray) -> bool:
+        """Whether the slots under the windows at ``places``, which the document has at
+        ``at``, map one to one."""
         item_code, item_h = self.words[item]
-        n = min(WINDOW, len(item_code)) if len(item_code) else 0
-        covered = np.unique((places[:, None] + np.arange(n)[None, :]).ravel())
-        slots = covered[item_code[covered] <= _UNIT]
-        if not len(slots):
+        k = np.arange(min(self.window, len(item_code)))[None, :]
+        there, here = (places[:, None] + k).ravel(), (at[:, None] + k).ravel()
+        slots = item_code[there] <= _UNIT
+        if not slots.any():
             return True
-        pairs = np.unique(np.stack([item_code[slots], item_h[slots], h[slots + shift]]), axis=1)
-        there = np.unique(pairs[[0, 2]], axis=1).shape[1]
-        here = np.unique(pairs[:2], axis=1).shape[1]
-        return pairs.shape[1] == here == there
+        there, here = there[slots], here[slots]
+        pairs = np.unique(np.stack([item_code[there], item_h[there], h[here]]), axis=1)
+        return pairs.shape[1] == np.unique(pairs[:2], axis=1).shape[1] == np.unique(pairs[[0, 2]], axis=1).shape[1]
+
+    def chain(self, place: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Indices of the longest chain of one item's hits: places and words of the
+        document grow, and neighbours' alignments differ by at most ``DRIFT``."""
+        order = np.lexsort((at, place))
+        ways: dict[int, list] = {}      # by shift: (places, lengths, hits) of the chains that end there
+        before = {}
+        end, most = -1, 0
+        for hit in order.tolist():
+            p, s = int(place[hit]), int(at[hit] - place[hit])
+            size, last = 1, -1
+            for t in range(s - DRIFT, s + DRIFT + 1):
+                way = ways.get(t)
+                if way is None:
+                    continue
+                k = bisect.bisect_left(way[0], min(p, p + s - t)) - 1
+                # of equals the one of the same alignment
+                if k >= 0 and (way[1][k] + 1 > size or way[1][k] + 1 == size and t == s):
+                    size, last = way[1][k] + 1, way[2][k]
+            way = ways.setdefault(s, ([], [], []))
+            way[0].append(p)
+            way[1].append(size)
+            way[2].append(hit)
+            before[hit] = last
+            if size > most:
+                end, most = hit, size
+        out = []
+        while end >= 0:
+            out.append(end)
+            end = before[end]
+        return np.array(out[::-1], np.int64)
+
+    def verbatim(self, item: int, shift: int, places: np.ndarray, h: np.ndarray) -> bool:
+        """Whether the windows at ``places`` hold ``VERBATIM`` literal words in a run."""
+        own, n = self.words[item][1], min(self.window, len(self.words[item][1]))
+        if len(places) + n - 1 < VERBATIM:
+            return False
+        words = np.unique(places[:, None] + np.arange(n)[None, :])
+        same = np.zeros(len(own), np.int8)
+        same[words] = own[words] == h[words + shift]
+        step = np.diff(np.concatenate(([0], same, [0])))
+        return bool(max(np.flatnonzero(step < 0) - np.flatnonzero(step > 0), default=0) >= VERBATIM)
 
     def share(self, item: int, typed: np.ndarray) -> float:
         """Share of an item's windows that are hit (``typed``: of each, whether it is of
@@ -167,15 +237,29 @@ class Block:
         if not len(index):
             return []
         item, place, typed = self.item[index], self.place[index], self.typed[index]
+        order = np.lexsort((place, at - place, item))
+        item, at, place, typed = item[order], at[order], place[order], typed[order]
         shift = at - place
-        order = np.lexsort((place, shift, item))
-        item, shift, place, typed = item[order], shift[order], place[order], typed[order]
         cut = np.flatnonzero((np.diff(item) != 0) | (np.diff(shift) != 0)) + 1
         best: dict[int, float] = {}
         for lo, hi in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(item)]))):
             i = int(item[lo])
             share = self.share(i, typed[lo:hi])
-            if share >= coverage and share > best.get(i, 0) and self.consistent(i, int(shift[lo]), place[lo:hi], code, h):
+            if share > best.get(i, 0) and (share >= coverage or self.verbatim(i, int(shift[lo]), place[lo:hi], h)) \
+                    and self.consistent(i, place[lo:hi], at[lo:hi], h):
+                best[i] = share
+        cut = np.flatnonzero(np.diff(item)) + 1
+        for lo, hi in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(item)]))):
+            i = int(item[lo])
+            if shift[lo] == shift[hi - 1]:
+                continue
+            # what a chain can reach at most
+            _, one = np.unique(place[lo:hi], return_index=True)
+            if self.share(i, typed[lo:hi][one]) < max(coverage, best.get(i, 0)) or best.get(i, 0) >= 1:
+                continue
+            hit = self.chain(place[lo:hi], at[lo:hi]) + lo
+            share = self.share(i, typed[hit])
+            if share >= coverage and share > best.get(i, 0) and self.consistent(i, place[hit], at[hit], h):
                 best[i] = share
         return [(self.ids[i], best[i]) for i in sorted(best)]
 

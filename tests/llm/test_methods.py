@@ -254,6 +254,25 @@ def test_items_of_placeholders():
     assert found([mixed], mixed.replace("1 2 3", "7 5 1").replace("4 5", "99 98")) == [0]
 
 
+def test_changes_of_the_word_count():
+    w = ITEM.split()
+    for changed in (" ".join([*w[:19], "extra", *w[19:]]), ITEM.replace("14", "1,250"), ITEM.replace("14", "2.5"),
+                    ITEM.replace("Mary", "Eve").replace("Tom", "Mary Ann"), " ".join([*w[:14], *w[15:]]),
+                    " ".join([*w[:12], "one", "two", *w[12:25], *w[26:]])):
+        assert found([ITEM], f"Intro text here. {changed} More words follow.") == [0], changed
+    far = " ".join([*w[:13], *["filler"] * 200, *w[13:26], *["filler"] * 200, *w[26:]])
+    assert found([ITEM], far) == []
+    # what a chain joins must be consistent as a whole
+    assert found([ITEM], " ".join([*w[:19], "extra", *w[19:]]).replace("14 boxes", "15 boxes").replace("14 more", "16 more")) == []
+
+
+def test_long_verbatim_run():
+    rng = random.Random(12)
+    item = [f"{rng.choice('bcdfg')}{rng.randrange(10 ** 6)}x" for _ in range(100)]
+    assert found([" ".join(item)], "before " + " ".join(item[30:75]) + " after") == [0]
+    assert found([" ".join(item)], "before " + " ".join(item[30:55]) + " after") == []
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_by_brute_force(spark, sf_small):
     """Each stage on what the stages before it kept, by plain versions; the classifier's
