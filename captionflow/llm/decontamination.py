@@ -10,7 +10,9 @@ equal slot values of the item meet equal values in the document and different on
 different ones.
 So a question with new numbers or names is caught, and a chance meeting of
 placeholders is not. Windows of hardly anything but placeholders are hashed with their
-literal values, so that every item can be found.
+literal values, so that every item can be found. All this is done twice: with names and
+runs as placeholders, and with every word folded and only numbers and units typed, so
+that letter case and punctuation hide no copy.
 
 The benchmark is read in blocks of ``BLOCK_ROWS`` items; a block's windows are the
 broadcast side of the hash join (their size is bounded by the block and checked), and
@@ -57,14 +59,15 @@ UNITS = ("cm mm km m kg g mg lb oz l ml mi ft in s sec second seconds min minute
 _NUM, _NAME, _UNIT = U64(1), U64(2), U64(3)
 _UNIT_HASHES = np.sort(np.concatenate([texthash.words(np.frombuffer(u.encode(), np.uint8), texthash.ALNUM)[0] for u in UNITS]))
 _LITERAL = 1 << 20  # salt of windows of literal words
-_DIGIT = np.zeros(256, np.int64)
-_DIGIT[0x30:0x3A] = 1
-_UPPER = np.zeros(256, bool)
-_UPPER[0x41:0x5B] = True
-_LOWER = np.zeros(256, np.int64)
-_LOWER[0x61:0x7B] = 1
-_STOP = np.zeros(256, np.int64)
-_STOP[[ord(c) for c in ".!?:;\n\r\"|"]] = 1
+_FOLDED = 1 << 21   # salt of windows of the folded view
+_DIGIT, _STOP, _POINT = (np.isin(np.arange(256), [ord(c) for c in chars]) for chars in ("0123456789", ".!?:;\n\r\"|", ",."))
+
+
+def _sums(mark: np.ndarray) -> np.ndarray:
+    """How many bytes before each place are marked."""
+    out = np.zeros(len(mark) + 1, np.int32 if len(mark) < 1 << 31 else np.int64)
+    np.cumsum(mark, out=out[1:])
+    return out
 
 
 def _merged(code: np.ndarray, h: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,84 +84,142 @@ def _merged(code: np.ndarray, h: np.ndarray, joined: np.ndarray) -> tuple[np.nda
     return np.where(code > _UNIT, value, code), value
 
 
-def template(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(template code, folded word hash) of each word of a text. A word of digits is
-    a number; one that follows a number and is listed is a unit; one with a capital
-    and small letters that does not start a sentence is a name. Numbers with a point or
-    comma between them are one word, and so are names with a space between them."""
+@functools.cache
+def _cases() -> np.ndarray:
+    """By code point: 1 a capital, 2 a small letter, 0 other (as are all beyond the table)."""
+    return np.array([1 if c.isupper() or c.istitle() else 2 if c.islower() else 0 for c in map(chr, range(0x20000))], np.int8)
+
+
+def _case(data: np.ndarray) -> np.ndarray:
+    """By byte: 1 where a capital starts, 2 where a small letter starts, 0 elsewhere."""
+    out = np.zeros(len(data), np.int8)
+    out[(data >= 0x41) & (data < 0x5B)] = 1
+    out[(data >= 0x61) & (data < 0x7B)] = 2
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        rest = [data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) & 0x3F for k in (1, 2, 3)]
+        b = data[lead].astype(np.int64)
+        two, three = (b & 0x1F) << 6 | rest[0], (b & 0x0F) << 12 | rest[0] << 6 | rest[1]
+        four = (b & 0x07) << 18 | rest[0] << 12 | rest[1] << 6 | rest[2]
+        out[lead] = _cases()[np.minimum(np.where(b < 0xE0, two, np.where(b < 0xF0, three, four)), 0x1FFFF)]
+    return out
+
+
+def _folded(data: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """``h`` with the hashes of words in folded letters of every script."""
+    if not len(data) or data.max() < 0x80:
+        return h
+    text = data.tobytes().decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape")
+    folded = texthash.words(np.frombuffer(text, np.uint8), texthash.ALNUM)[0]
+    return folded if len(folded) == len(h) else h
+
+
+def template(data: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(template code, folded word hash) of each word of a text, in two views. In both a
+    word of digits is a number; one that follows a number and is listed is a unit. In the
+    first, one with a capital and small letters that does not start a sentence is a name,
+    and numbers with a point or comma between them are one word, and so are names with a
+    space between them."""
     h, start, end = texthash.words(data, texthash.ALNUM)
     if not len(h):
-        return h, h
-    code = h.copy()
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
-    small = np.concatenate(([0], np.cumsum(_LOWER[data])))
-    stops = np.concatenate(([0], np.cumsum(_STOP[data])))
-    number = digits[end] - digits[start] == end - start
+        return (h, h), (h, h)
+    h = _folded(data, h)
+    case = _case(data)
+    stops = _sums(_STOP[data])
+    number = _DIGIT[data[start]]
+    if number.any():
+        digits = _sums(_DIGIT[data])
+        number = digits[end] - digits[start] == end - start
     after_number = np.concatenate(([False], number[:-1]))
     spot = np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)
+    unit = after_number & (_UNIT_HASHES[spot] == h)
     inside = np.concatenate(([False], stops[start[1:]] == stops[end[:-1]]))
-    dot = np.concatenate(([False], (start[1:] == end[:-1] + 1) & np.isin(data[end[:-1]], (0x2C, 0x2E))))
-    space = np.concatenate(([False], (start[1:] == end[:-1] + 1) & (data[end[:-1]] == 0x20)))
-    name = _UPPER[data[start]] & (small[end] > small[start]) & inside
+    near = start[1:] == end[:-1] + 1
+    dot = np.concatenate(([False], near & _POINT[data[end[:-1]]]))
+    space = np.concatenate(([False], near & (data[end[:-1]] == 0x20)))
+    plain = h.copy()
+    plain[unit] = _UNIT
+    plain[number] = _NUM
+    name = (case[start] == 1) & inside & (plain > _UNIT)
+    if name.any():
+        small = _sums(case == 2)
+        name &= small[end] > small[start]
+    if not name.any() and not number.any():
+        return (plain, h), (plain, h)
+    code = plain.copy()
     code[name] = _NAME
-    code[after_number & (_UNIT_HASHES[spot] == h)] = _UNIT
-    code[number] = _NUM
     joined = (dot & (code == _NUM) | space & (code == _NAME)) & np.concatenate(([False], code[1:] == code[:-1]))
-    return _merged(code, h, joined) if joined.any() else (code, h)
+    return _merged(code, h, joined) if joined.any() else (code, h), (plain, h)
+
+
+_FACTORS = texthash.mix(np.arange(1, 1 + (1 << 10), dtype=U64)) | U64(1)
+
 
+def _grams(codes: np.ndarray, n: int, salt: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of each run of ``n`` codes, or of those that start at ``at``: a sum of the
+    codes, mixed with their place's factor."""
+    size = len(codes) - n + 1
+    with np.errstate(over="ignore"):
+        h = np.full(size if at is None else len(at), salt, U64)
+        for k in range(n):
+            h += (codes[k:size + k] if at is None else codes[at + k]) * _FACTORS[k]
+    return texthash.mix(h)
 
-def window_hashes(code: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+
+def window_hashes(code: np.ndarray, h: np.ndarray, n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hash, whether it is of the template) of every window of ``n`` words: of template
     codes, or of literal words where too few words are plain."""
     if not n or len(code) < n:
         return np.zeros(0, U64), np.zeros(0, bool)
-    plain = np.concatenate(([0], np.cumsum(code > _UNIT)))
+    plain = _sums(code > _UNIT)
     typed = plain[n:] - plain[:-n] >= min(MIN_PLAIN, n)
-    out = texthash.grams(code, n, n)
+    out = _grams(code, n, salt + n)
     if not typed.all():
         rest = np.flatnonzero(~typed)
-        out[rest] = texthash.grams(h, n, _LITERAL + n, rest)
+        out[rest] = _grams(h, n, salt + _LITERAL + n, rest)
     return out, typed
 
 
 @dataclass
 class Block:
-    """Windows of a block of benchmark items, sorted by hash."""
+    """Windows of a block of benchmark items, sorted by hash. An item counts twice, as
+    number 2 i in the view with names and 2 i + 1 in the folded one."""
     hashes: np.ndarray
-    item: np.ndarray       # index of the item
+    item: np.ndarray       # number of the item
     place: np.ndarray      # first word of the window
     typed: np.ndarray      # whether the window is of the template
     windows: np.ndarray    # by item: its number of windows
     templates: np.ndarray  # by item: its number of windows of the template
     words: list            # by item: (template codes, word hashes)
-    ids: list              # by item: its item_id
-    sizes: tuple           # window lengths that occur
+    ids: list              # by two items: their item_id
+    sizes: tuple           # by view: window lengths that occur
     seen: np.ndarray       # bitmap over the low bits of the hashes
     window: int
 
     @classmethod
     def of(cls, items: list[tuple[object, bytes]], window: int) -> Block:
-        words = [template(np.frombuffer(t, np.uint8)) for _, t in items]
-        parts = [window_hashes(c, v, min(window, len(c))) for c, v in words]
+        words = [view for _, t in items for view in template(np.frombuffer(t, np.uint8))]
+        parts = [window_hashes(c, v, min(window, len(c)), _FOLDED * (i % 2)) for i, (c, v) in enumerate(words)]
         count = np.array([len(h) for h, _ in parts], np.int64)
         h = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, U64)
         typed = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, bool)
-        place = np.concatenate([np.arange(n) for n in count]) if parts else np.zeros(0, np.int64)
-        item = np.repeat(np.arange(len(items)), count)
+        place = np.concatenate([np.arange(n) for n in count]).astype(np.int32) if parts else np.zeros(0, np.int32)
+        item = np.repeat(np.arange(len(words), dtype=np.int32), count)
         order = np.lexsort((place, item, h))
         bits = max(16, math.ceil(math.log2(max(1, len(h)))) + 4)
         seen = np.zeros(1 << bits, bool)
         seen[(h & U64((1 << bits) - 1)).astype(np.int64)] = True
-        return cls(h[order], item[order], place[order], typed[order], count, np.bincount(item[typed], minlength=len(items)),
-                   words, [i for i, _ in items], tuple(sorted({min(window, len(c)) for c, _ in words if len(c)})), seen, window)
+        return cls(h[order], item[order], place[order], typed[order], count, np.bincount(item[typed], minlength=len(words)),
+                   words, [i for i, _ in items],
+                   tuple(tuple(sorted({min(window, len(c)) for c, _ in words[k::2] if len(c)})) for k in (0, 1)), seen, window)
 
-    def hits(self, code: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def hits(self, code: np.ndarray, words: np.ndarray, view: int) -> tuple[np.ndarray, np.ndarray]:
         """(index into the sorted windows, word of the document) of every hit."""
         index, at = [], []
-        for n in self.sizes:
+        for n in self.sizes[view]:
             if len(code) < n:
                 continue
-            h, _ = window_hashes(code, words, n)
+            h, _ = window_hashes(code, words, n, _FOLDED * view)
             maybe = np.flatnonzero(self.seen[(h & U64(len(self.seen) - 1)).astype(np.int64)])
             low = np.searchsorted(self.hashes, h[maybe], "left")
             many = np.searchsorted(self.hashes, h[maybe], "right") - low
@@ -232,10 +293,17 @@ class Block:
 
     def matches(self, data: np.ndarray, coverage: float) -> list[tuple[object, float]]:
         """(item_id, share of its windows) of the items that a text contains."""
-        code, h = template(data)
-        index, at = self.hits(code, h)
+        best: dict[int, float] = {}
+        for view, (code, h) in enumerate(template(data)):
+            for i, share in self.view_matches(code, h, view, coverage).items():
+                best[i // 2] = max(share, best.get(i // 2, 0.0))
+        return [(self.ids[i], best[i]) for i in sorted(best)]
+
+    def view_matches(self, code: np.ndarray, h: np.ndarray, view: int, coverage: float) -> dict[int, float]:
+        """Number and share of the items that a text's words contain in one view."""
+        index, at = self.hits(code, h, view)
         if not len(index):
-            return []
+            return {}
         item, place, typed = self.item[index], self.place[index], self.typed[index]
         order = np.lexsort((place, at - place, item))
         item, at, place, typed = item[order], at[order], place[order], typed[order]
@@ -261,7 +329,7 @@ class Block:
             share = self.share(i, typed[hit])
             if share >= coverage and share > best.get(i, 0) and self.consistent(i, place[hit], at[hit], h):
                 best[i] = share
-        return [(self.ids[i], best[i]) for i in sorted(best)]
+        return best
 
 
 def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, rows: int = BLOCK_ROWS):

@@ -273,6 +273,15 @@ def test_long_verbatim_run():
     assert found([" ".join(item)], "before " + " ".join(item[30:55]) + " after") == []
 
 
+def test_letter_case_hides_no_copy():
+    for item in (ITEM, ITEM.replace("Tom", "Élodie").replace("Mary", "Жанна")):
+        for copy in (item.lower(), item.upper(), item.title(), item.lower().replace("14", "250")):
+            assert found([item], f"intro text. {copy} more words.") == [0], copy
+    # capitals of other scripts start names too
+    item = ITEM.replace("Tom", "Élodie").replace("Mary", "Жанна")
+    assert found([item], item.replace("Élodie", "Ömer").replace("Жанна", "Ольга")) == [0]
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_by_brute_force(spark, sf_small):
     """Each stage on what the stages before it kept, by plain versions; the classifier's
