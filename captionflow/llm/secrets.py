@@ -14,9 +14,11 @@ import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,11 @@ UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A
 UNICODE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})")
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: A compressed layer may grow to this many bytes; one that would not end there is
-#: left unopened and counted (``n_unopened``), so a bomb cannot fill a worker.
+#: counted (``n_unopened``) and scanned in overlapping pieces, so a bomb cannot fill a
+#: worker, up to ``MAX_STREAM_BYTES``. Redaction takes out its run whole.
 MAX_LAYER_BYTES = 1 << 25
+MAX_STREAM_BYTES = 1 << 30
+PIECE, OVERLAP = 1 << 23, 1 << 16
 REDACTED = "[SECRET]"
 
 
@@ -103,57 +108,83 @@ def _from_unicode(run: str) -> str | None:
     return "".join(map(chr, points)).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-class TooLarge(Exception):
-    pass
+COMPRESSED = re.compile(rb"\x1f\x8b|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01-\xff]", re.DOTALL)
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """The content of gzip, zlib, bzip2, xz or zstandard bytes; None for others."""
-    def run(d) -> bytes:
-        out = d.decompress(data, MAX_LAYER_BYTES)
-        if len(out) >= MAX_LAYER_BYTES:
-            raise TooLarge
-        return out
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The content of gzip, zlib, bzip2, xz or zstandard bytes, of all members one after
+    the other, in pieces of at most ``PIECE`` bytes; nothing for others. Of broken
+    members what comes before the fault."""
     try:
-        if data[:2] == b"\x1f\x8b":
-            return run(zlib.decompressobj(31))
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return run(zlib.decompressobj())
-        if data[:3] == b"BZh":
-            return run(bz2.BZ2Decompressor())
-        if data[:6] == b"\xfd7zXZ\x00":
-            return run(lzma.LZMADecompressor())
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(MAX_LAYER_BYTES)
-            if len(out) >= MAX_LAYER_BYTES:
-                raise TooLarge
-            return out
+        while COMPRESSED.match(data):
+            if data[:4] == b"\x28\xb5\x2f\xfd":
+                import zstandard
+                reader = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True)
+                while out := reader.read(PIECE):
+                    yield out
+                return
+            if data[:1] in b"\x1f\x78":
+                d = zlib.decompressobj(47)  # gzip or zlib
+                rest = data
+                while rest and not d.eof:
+                    out, rest = d.decompress(rest, PIECE), d.unconsumed_tail
+                    yield out
+            else:
+                d = bz2.BZ2Decompressor() if data[:3] == b"BZh" else lzma.LZMADecompressor()
+                yield d.decompress(data, PIECE)
+                while not d.eof and not d.needs_input:
+                    yield d.decompress(b"", PIECE)
+            if not d.eof:
+                return
+            data = d.unused_data.lstrip(b"\0")  # members may be padded
+        if data:  # what follows the last member
+            yield data
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
+        return
     except Exception as e:
-        if type(e).__name__ == "ZstdError":
-            return None
-        raise
-    return None
+        if type(e).__name__ != "ZstdError":
+            raise
+
+
+def _contents(data: bytes) -> Iterator[bytes | None]:
+    """The bytes themselves, or what they are compressed from, through any number of
+    layers. A layer that is too large gives None, then its overlapping pieces."""
+    seen = set()
+    while (digest := hashlib.sha256(data).digest()) not in seen:
+        seen.add(digest)
+        if not COMPRESSED.match(data):
+            break
+        pieces, size, stream = [], 0, _inflated(data)
+        for piece in stream:
+            pieces.append(piece)
+            size += len(piece)
+            if size >= MAX_LAYER_BYTES:
+                yield None
+                tail = b""
+                for piece in itertools.chain(pieces, stream):
+                    yield tail + piece
+                    tail = (tail + piece)[-OVERLAP:]
+                    size += len(piece)
+                    if size >= MAX_STREAM_BYTES + MAX_LAYER_BYTES:
+                        break
+                return
+        if not size:
+            break
+        data = b"".join(pieces)
+    yield data
 
 
-def _from_base64(run: str) -> str | None:
-    """The text in a base64 run, through any number of compressed layers."""
+def _base64_bytes(run: str) -> bytes | None:
     body = run.rstrip("=").translate(str.maketrans("-_", "+/"))
     if len(body) % 4 == 1:
         return None
     try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
+        return base64.b64decode(body + "=" * (-len(body) % 4))
     except binascii.Error:
         return None
-    seen = set()
-    while (digest := hashlib.sha256(data).digest()) not in seen:
-        seen.add(digest)
-        inner = _inflate(data)
-        if inner is None:
-            break
-        data = inner
+
+
+def _text_of(data: bytes) -> str | None:
     try:
         text = data.decode()
     except UnicodeDecodeError:
@@ -162,8 +193,24 @@ def _from_base64(run: str) -> str | None:
     return text if text and odd * 10 <= min(len(text), 4096) else None
 
 
+def _from_base64(run: str) -> Iterator[str | None]:
+    """The texts in a base64 run; None stands for a layer that is too large, whose
+    pieces follow."""
+    data = _base64_bytes(run)
+    large = False
+    for content in _contents(data) if data else ():
+        if content is None:
+            large = True
+            yield None
+        elif large:  # a piece may begin or end inside a character
+            yield content.decode("utf-8", "replace")
+        elif (text := _text_of(content)) is not None:
+            yield text
+
+
 def _unwrapped(layer: Layer):
-    """The layers one decoding below; None stands for one that is too large."""
+    """The layers one decoding below, and the span of one that is too large before the
+    layers of its pieces."""
     for mark, pattern, decode in (("%", URL_RUN, _from_url), ("\\", UNICODE_RUN, _from_unicode)):
         if mark in layer.text:
             parts = [(m.start(), m.end(), new) for m in pattern.finditer(layer.text)
@@ -171,37 +218,41 @@ def _unwrapped(layer: Layer):
             if parts:
                 yield layer.replaced(parts)
     for m in BASE64_RUN.finditer(layer.text):
-        try:
-            new = _from_base64(m[0])
-        except TooLarge:
-            yield None
-            continue
-        if new is not None:
-            a, z = layer.span(m.start(), m.end())
-            yield Layer(new, a, z)
+        a, z = layer.span(m.start(), m.end())
+        for new in _from_base64(m[0]):
+            yield (a, z) if new is None else Layer(new, a, z)
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
-    """(base findings, all findings, layers left unopened) of a text; findings are
-    (start, kind, end) in code points of the text, sorted, none twice."""
+def scan_layers(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """(base findings, all findings, spans of the layers that were too large) of a text;
+    findings are (start, kind, end) in code points of the text, sorted, none twice."""
     base = base_findings(text)
-    found, work, seen, unopened = set(base), [Layer(text)], set(), 0
+    found, seen, large = set(base), set(), []
+    work = [_unwrapped(Layer(text))]  # one layer of a large one's pieces at a time
     while work:
-        layer = work.pop()
-        if layer.first is not None:
-            for start, kind, end in base_findings(layer.text):
-                a, z = layer.span(start, end)
-                found.add((a, kind, z))
-        for below in _unwrapped(layer):
-            if below is None:
-                unopened += 1
-                continue
-            where = (below.first, below.last) if isinstance(below.first, int) else None
-            key = (hashlib.sha256(below.text.encode("utf-8", "surrogatepass")).digest(), where)
-            if key not in seen:
-                seen.add(key)
-                work.append(below)
-    return base, sorted(found), unopened
+        below = next(work[-1], None)
+        if below is None:
+            work.pop()
+            continue
+        if isinstance(below, tuple):
+            large.append(below)
+            continue
+        where = (below.first, below.last) if isinstance(below.first, int) else None
+        key = (hashlib.sha256(below.text.encode("utf-8", "surrogatepass")).digest(), where)
+        if key in seen:
+            continue
+        seen.add(key)
+        for start, kind, end in base_findings(below.text):
+            a, z = below.span(start, end)
+            found.add((a, kind, z))
+        work.append(_unwrapped(below))
+    return base, sorted(found), large
+
+
+def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
+    """(base findings, all findings, number of layers that were too large) of a text."""
+    base, found, large = scan_layers(text)
+    return base, found, len(large)
 
 
 def span_list(spans: list[tuple[int, int, int]]) -> str:
@@ -248,14 +299,20 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[until:] if until >= 0 else text
 
 
+def redacted_text(text: str) -> str:
+    """``text`` without its findings and without the runs whose layers are too large."""
+    _, found, large = scan_layers(text)
+    return redact(text, sorted(found + [(a, len(KINDS), z) for a, z in large]))
+
+
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with the secrets of ``text`` replaced, and ``n_chars``, if there is
+    """``docs`` with the secrets of ``text`` and base64 runs of too large layers replaced, and ``n_chars``, if there is
     such a column, counted anew; null texts stay null, other columns stay."""
     bound_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
     def redacted(column: pa.Array) -> pa.Array:
-        return pa.array([None if (t := v.as_py()) is None else redact(t, scan(t)[1]) for v in column], pa.string())
+        return pa.array([None if (t := v.as_py()) is None else redacted_text(t) for v in column], pa.string())
     out = docs.withColumn("text", redacted("text"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -181,6 +181,28 @@ def test_layers_end():
     assert secrets.scan(f"x {bomb} y")[2] == 1
 
 
+def test_members_and_large_layers(monkeypatch):
+    import lzma
+
+    import zstandard
+    plain = b"nothing here "
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        for data in (pack(plain) + pack(SECRET.encode()), pack(plain) + pack(b"password=hunt") + pack(b"er2hunter2"),
+                     pack(plain) + b"\0" * 8 + gzip.compress(SECRET.encode())):
+            if pack is zstandard.compress and b"\0" * 8 in data:
+                continue
+            text = f"x {b64(data)} y"
+            assert secrets.scan(text)[1:] == ([(2, 0, len(text) - 2)], 0), pack
+    monkeypatch.setattr(secrets, "MAX_LAYER_BYTES", 1 << 16)
+    monkeypatch.setattr(secrets, "PIECE", 1 << 12)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 8)
+    for before in (1 << 10, (1 << 16) - 8, (1 << 17) - 5, 1 << 18):
+        text = f"x {b64(gzip.compress(b' ' * before + SECRET.encode() + b' ' * (1 << 17)))} y"
+        assert secrets.scan(text)[1:] == ([(2, 0, len(text) - 2)], 1)
+    large = b64(bz2.compress(b"plain words " * (1 << 14)))
+    assert secrets.scan(f"x {large} y")[1:] == ([], 1) and secrets.redacted_text(f"x {large} y") == "x [SECRET] y"
+
+
 def test_redaction(spark):
     assert secrets.redact("ab", []) == "ab"
     assert secrets.redact("0123456789", [(1, 0, 4), (2, 1, 6), (7, 0, 8)]) == "0[SECRET]6[SECRET]89"
