@@ -11,7 +11,6 @@ are reported as spans of the original text.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import itertools
@@ -39,6 +38,8 @@ URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
 UNICODE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})")
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs over single line ends, as in MIME and PEM.
+BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}")
 #: A compressed layer may grow to this many bytes; one that would not end there is
 #: counted (``n_unopened``) and scanned in overlapping pieces, so a bomb cannot fill a
 #: worker, up to ``MAX_STREAM_BYTES``. Redaction takes out its run whole.
@@ -108,6 +109,8 @@ def _from_unicode(run: str) -> str | None:
     return "".join(map(chr, points)).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
+#: Where compressed bytes may start inside other bytes.
+COMPRESSED_INSIDE = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
 COMPRESSED = re.compile(rb"\x1f\x8b|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01-\xff]", re.DOTALL)
 
 
@@ -174,38 +177,65 @@ def _contents(data: bytes) -> Iterator[bytes | None]:
     yield data
 
 
-def _base64_bytes(run: str) -> bytes | None:
-    body = run.rstrip("=").translate(str.maketrans("-_", "+/"))
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4))
-    except binascii.Error:
-        return None
+BASE64_SIGNS = str.maketrans("-_", "+/", "=\r\n\t ")
+
 
+def _base64_bytes(body: str) -> bytes:
+    """What base64 signs, of any number, decode to."""
+    body = body[:len(body) - 1] if len(body) % 4 == 1 else body
+    return base64.b64decode(body + "=" * (-len(body) % 4))
 
-def _text_of(data: bytes) -> str | None:
+
+def _texts_of(data: bytes) -> Iterator[str]:
+    """The text of bytes, and that of UTF-16 or UTF-32 among them."""
+    yield data.decode("utf-8", "replace")
+    if b"\0" in data:
+        yield data.replace(b"\0", b"").decode("utf-8", "replace")
+
+
+def _opened(data: bytes) -> Iterator[str | None]:
+    """The texts of bytes and of what they are compressed from; None stands for a layer
+    that is too large, whose pieces follow."""
+    yield from _texts_of(data)
+    if COMPRESSED.match(data):
+        for content in _contents(data):
+            if content is None:
+                yield None
+            elif content is not data:
+                yield from _texts_of(content)
+
+
+def _is_text(data: bytes) -> bool:
     try:
-        text = data.decode()
+        data.decode()
     except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in text[:4096] if ord(c) < 32 and c not in "\t\n\r")
-    return text if text and odd * 10 <= min(len(text), 4096) else None
+        return False
+    return b"\0" not in data
+
+
+def _starts(data: bytes) -> bool:
+    """False where bytes only look like the header of zlib or gzip data."""
+    try:
+        return data[:1] not in b"\x1f\x78" or zlib.decompressobj(47).decompress(data) is not None
+    except zlib.error:
+        return False
 
 
 def _from_base64(run: str) -> Iterator[str | None]:
-    """The texts in a base64 run; None stands for a layer that is too large, whose
-    pieces follow."""
-    data = _base64_bytes(run)
-    large = False
-    for content in _contents(data) if data else ():
-        if content is None:
-            large = True
-            yield None
-        elif large:  # a piece may begin or end inside a character
-            yield content.decode("utf-8", "replace")
-        elif (text := _text_of(content)) is not None:
-            yield text
+    """The texts in a base64 run (None as above). If it is no text as it stands, other
+    signs may be in front: then it is read at its four alignments, with any bytes before
+    the text or the compressed bytes. What is no text gives signs that no finding has."""
+    body = run.translate(BASE64_SIGNS)
+    data = _base64_bytes(body)
+    if _is_text(data) and len(body) % 4 != 1:
+        yield from _opened(data)
+        return
+    for k in range(4):
+        data = _base64_bytes(body[k:])
+        yield from _opened(data)
+        for m in COMPRESSED_INSIDE.finditer(data):
+            if m.start() and _starts(data[m.start():m.start() + 256]):
+                yield from itertools.islice(_opened(data[m.start():]), 1, None)
 
 
 def _unwrapped(layer: Layer):
@@ -217,7 +247,7 @@ def _unwrapped(layer: Layer):
                      if (new := decode(m[0])) is not None]
             if parts:
                 yield layer.replaced(parts)
-    for m in BASE64_RUN.finditer(layer.text):
+    for m in itertools.chain(BASE64_RUN.finditer(layer.text), BASE64_LINES.finditer(layer.text)):
         a, z = layer.span(m.start(), m.end())
         for new in _from_base64(m[0]):
             yield (a, z) if new is None else Layer(new, a, z)

@@ -203,6 +203,27 @@ def test_members_and_large_layers(monkeypatch):
     assert secrets.scan(f"x {large} y")[1:] == ([], 1) and secrets.redacted_text(f"x {large} y") == "x [SECRET] y"
 
 
+@pytest.mark.parametrize("inner", [SECRET.encode(), gzip.compress(SECRET.encode()), bz2.compress(SECRET.encode()),
+                                   SECRET.encode("utf-16"), SECRET.encode("utf-16-be"), b"\1\2\0\3" * 1500 + SECRET.encode()])
+def test_base64_with_something_in_front(inner):
+    code = b64(inner)
+    for front in ("https://h.example/t/", "session_", "id-", "a", "ab", "abc", "abcd/ef", "/"):
+        text = f"see {front}{code} end"
+        (a, kind, z), = secrets.scan(text)[1]
+        assert kind == 0 and a <= text.index(code) and z == len(text) - 4, front
+
+
+@pytest.mark.parametrize("width", [20, 64, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+def test_wrapped_base64(width, end):
+    for inner in (b"x" * 43 + SECRET.encode() + b"y" * 40, gzip.compress(random.Random(1).randbytes(400) + SECRET.encode())):
+        code = b64(inner)
+        lines = end.join(code[i:i + width] for i in range(0, len(code), width))
+        text = f"-----BEGIN MESSAGE-----{end}{lines}{end}-----END MESSAGE-----"
+        assert any(kind == 0 for _, kind, _ in secrets.scan(text)[1])
+        assert secrets.scan(secrets.redacted_text(text))[1] == []
+
+
 def test_redaction(spark):
     assert secrets.redact("ab", []) == "ab"
     assert secrets.redact("0123456789", [(1, 0, 4), (2, 1, 6), (7, 0, 8)]) == "0[SECRET]6[SECRET]89"
