@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import stage
 from .components import connected_components
+from .native import let
 
 
 @dataclass(frozen=True)
@@ -72,21 +73,85 @@ def canonical(url: Column) -> Column:
     return F.nullif(F.concat(ascii_lower(host), F.substring(bare, F.length(host) + 1, F.length(bare))), F.lit(""))
 
 
-_LINK = r'(?i)<link\b(?=[^>]*\brel\s*=\s*["\']?canonical)[^>]*?\bhref\s*=\s*["\']?([^"\'\s>]+)'
-_REFRESH = r'(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["\']?refresh)[^>]*?\burl\s*=\s*([^"\'\s>]+)'
+def _tag(name: str) -> str:
+    """Pattern of a tag; a ``>`` inside quotes does not end it, if the quotes end."""
+    return rf'(?i)<{name}\b(?:(?:[^>"\']++|"[^"]*+"|\'[^\']*+\')*+>|[^>]*+>)'
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted or bare; empty without one."""
+    pattern = (rf'(?i)^(?:\s|(?!{name}\s*=)[^"\'\s]++|"[^"]*+"|\'[^\']*+\')*+{name}\s*=\s*'
+               r'(?:"([^"]*)"|\'([^\']*)\'|["\']?([^\s"\'>]+))')
+    return F.trim(decoded(F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])))
+
+
+#: The target in a refresh's content; it may have quotes of its own.
+_TARGET = r'(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*(?:"([^"]*)|\'([^\']*)|([^"\'\s][^\s]*))'
+# Named entities that occur in URLs.
+_ENTITIES = (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"))
+
+
+def decoded(c: Column) -> Column:
+    """Text of an attribute with its entities, by name or number, decoded once."""
+    def one(x: Column) -> Column:
+        body = F.regexp_extract(x, r"^&([^;]*);", 1)
+        number = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10)).otherwise(F.substring(body, 2, 8))
+        # code points as UTF-32 bytes
+        sign = F.decode(F.unhex(F.lpad(F.hex(number.cast("long")), 8, "0")), "UTF-32")
+        out = F.when(body.startswith("#"), sign)
+        for name, value in _ENTITIES:
+            out = out.when(body == name, value)
+        return F.concat(out.when(body == "amp", "&").otherwise(F.concat(F.lit("&"), body, F.lit(";"))),
+                        F.regexp_replace(x, r"^&[^;]*;", ""))
+    # cut before every entity
+    parts = F.split(c, r"(?i)(?=&(?:amp|quot|apos|lt|gt|#[0-9]{1,7}|#x[0-9a-f]{1,6});)")
+    return F.array_join(F.transform(parts, lambda x: F.when(
+        x.rlike(r"(?i)^&(?:amp|quot|apos|lt|gt|#[0-9]{1,7}|#x[0-9a-f]{1,6});"), one(x)).otherwise(x)), "")
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` parts resolved."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"), lambda acc, x: F.when(
+        x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"),
+                    F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def resolved(page: Column, to: Column) -> Column:
+    """The absolute URL of a target ``to`` of a page, by RFC 3986."""
+    scheme = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
+    root = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(page, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    own, rest = F.regexp_extract(to, r"^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_replace(path, r"[^/]*$", "")
+    folder = F.when(folder == "", "/").otherwise(folder)
+    query = F.regexp_extract(page, r"^[^?#]*(\?[^#]*)", 1)
+    return F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to) \
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string")) \
+        .when(to.startswith("//"), F.concat(scheme, to)) \
+        .when(own == "", F.concat(root, path, F.when(rest.startswith("?"), rest).otherwise(F.concat(query, rest)))) \
+        .when(own.startswith("/"), F.concat(root, without_dots(own), rest)) \
+        .otherwise(F.concat(root, without_dots(F.concat(folder, own)), rest))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """(src, dst): URLs as given to where their page's canonical links and refresh
-    redirects lead. Relative targets are taken from the page's host."""
-    found = F.concat(F.regexp_extract_all("html", F.lit(_LINK), 1), F.regexp_extract_all("html", F.lit(_REFRESH), 1))
-    has = F.lower("html").rlike("canonical|refresh")
-    to = pages.where(F.col("url").isNotNull() & has).select("url", F.explode(found).alias("to"))
-    root = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    dst = F.when(F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to")) \
-        .when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))) \
-        .otherwise(F.concat(root, F.when(F.col("to").startswith("/"), "").otherwise("/"), F.col("to")))
-    return to.select(F.col("url").alias("src"), dst.alias("dst"))
+    redirects lead. Relative targets are resolved against the page's URL; those of
+    schemes without ``//`` lead nowhere."""
+    def target(c: Column) -> Column:
+        return F.trim(F.concat(*[F.regexp_extract(c, _TARGET, k) for k in (1, 2, 3)]))
+    links = F.filter(F.regexp_extract_all("html", F.lit(_tag("link")), 0),
+                     lambda t: _attribute(t, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)"))
+    metas = F.filter(F.regexp_extract_all("html", F.lit(_tag("meta")), 0),
+                     lambda t: _attribute(t, "http-equiv").rlike("(?i)^refresh$"))
+    found = F.concat(F.transform(links, lambda t: _attribute(t, "href")),
+                     F.transform(metas, lambda t: let(_attribute(t, "content"), target)))
+    has = F.col("html").rlike("(?i)canonical|refresh|&#")
+    to = pages.where(F.col("url").isNotNull() & has).select("url", F.explode(found).alias("to")).where("to != ''")
+    dst = resolved(F.col("url"), F.col("to"))
+    return to.select(F.col("url").alias("src"), dst.alias("dst")).where("dst is not null")
 
 
 def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:

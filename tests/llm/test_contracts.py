@@ -149,6 +149,61 @@ def test_url_aliases(spark):
     assert url_filter.judge(pages.limit(0), registry.RULES).collect() == []
 
 
+def test_link_targets(spark):
+    from urllib.parse import urljoin
+    page = "http://h.org/a/b/c.html?p=1"
+    targets = ["page2.html", "../a", "?id=1", "../../../x/./y/..", ".", "./", "/r?x=1&y=2", "//o.net/z", "https://o.net/a/../b", "#top",
+               "d/e/", "x?u=../v", "x;y=1"]
+    refresh = ["<meta http-equiv=\"refresh\" content=\"0;url='{}'\">", "<META content='5; URL={}' http-equiv=refresh>",
+               '<meta http-equiv=refresh content="0; url={}">']
+    link = ['<link rel="canonical" href="{}">', "<link href='{}' rel='canonical'/>", '<link title="a > b" rel=canonical href={}>']
+    pages, want = [], []
+    for form in refresh + link:
+        for t in targets:
+            pages.append((len(pages), page, f"<p>{form.format(t.replace('&', '&amp;'))}</p>"))
+            want.append((page, urljoin(page, t) if t != "https://o.net/a/../b" else t))
+    pages += [(0, page, '<link rel="canonical" href="mailto:a@b.c">'), (0, page, '<link rel="canonical" href="/q?a=1&#38;b=2&#x26;c&amp;amp;">'),
+              (0, "http://h.org", '<link rel="canonical" href="r">'), (0, page, '<link rel="icon" href="/canonical">')]
+    want += [(page, "http://h.org/q?a=1&b=2&c&amp;"), ("http://h.org", "http://h.org/r")]
+    got = [tuple(r) for r in url_filter.link_edges(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_alias_verdicts_by_brute_force(spark, sf_small):
+    """The query's pages with links planted among them, against components of all links."""
+    import random
+    from urllib.parse import urljoin
+    rng = random.Random(13)
+    rules = [(r.verdict, r.host, r.path) for r in registry.RULES]
+    urls = [r["url"] for r in spark.read.parquet(f"{sf_small}/pages.parquet").collect()]
+
+    def node(url):
+        bare = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://", "", url.split("#")[0])
+        bare = re.sub(r"(?<=[?&])(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*(?:&|$)", "", bare)
+        bare = re.sub(r"/+$", "", re.sub(r"[?&]+$", "", bare))
+        host = re.match(r"[^/?]*", bare)[0]
+        return host.lower() + bare[len(host):]
+    rows, edges, extra = [], [], [f"http://plain{i}.org/d/p.html" for i in range(60)]
+    for i, url in enumerate(urls + extra):
+        html = ""
+        if i >= len(urls) or rng.random() < 0.2:
+            to = rng.choice([rng.choice(urls), rng.choice(extra), "other.html", "../d/p.html", "?id=1&k=2"])
+            form = rng.choice(["<link rel='canonical' href='{}'>", '<meta http-equiv="refresh" content="0;url=\'{}\'">'])
+            html = form.format(to.replace("&", "&amp;"))
+            edges.append((node(url), node(urljoin(url, to))))
+        rows.append((i, url, html))
+    part = brute.components({node(u) for _, u, _ in rows} | {n for e in edges for n in e}, edges)
+    own = {i: brute.url_rule(*brute.host_path(u), rules)[0] for i, u, _ in rows}
+    said = {}
+    for i, u, _ in rows:
+        if own[i]:
+            said[part[node(u)]] = min(own[i], said.get(part[node(u)], "block"))
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(
+        spark.createDataFrame(rows, "page_id long, url string, html string"), registry.RULES).collect()}
+    assert got == {i: own[i] or said.get(part[node(u)], "allow") for i, u, _ in rows}
+    assert any(own[i] is None and got[i] == "block" for i in got)
+
+
 # ---------------------------------------------------------------- 4
 def check_licenses(rows, texts):
     for r, (d, t) in zip(rows, texts):
