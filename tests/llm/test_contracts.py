@@ -235,6 +235,25 @@ def test_license_scans_awkward(spark):
     assert licenses.scan_documents(empty(spark)).collect() == []
 
 
+def test_wrapped_and_scattered_notices(spark):
+    import textwrap
+    filler = " ".join(f"w{i}" for i in range(500))
+    texts, want = [], []
+    for label, t in licenses.TEMPLATES:
+        for width in (20, 40, 72):
+            for mark in ("", " * ", "# "):
+                body = "\n".join(mark + x for x in textwrap.wrap(t, width))
+                for before in ("", filler[:900], filler):
+                    texts.append((len(texts), f"{before}\n{body}\n{filler}"))
+                    want.append(label)
+    scattered = [f" {filler} ".join(t.split()) for _, t in licenses.TEMPLATES]
+    texts += [(len(texts) + i, t) for i, t in enumerate(scattered)]
+    got = by_id(licenses.scan_documents(awkward(spark, texts)))
+    for i, label in enumerate(want):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1, texts[i]
+    assert all(got[i]["labels"] == "" and got[i]["score"] == 0 for i in range(len(want), len(texts)))
+
+
 # ---------------------------------------------------------------- 5
 def test_simhash(spark, sf_small, docs):
     want = brute.simhash_components(docs)
