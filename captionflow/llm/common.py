@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +35,21 @@ def drop_stage(*frames: DataFrame) -> None:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, so that long texts do not fill a worker."""
+    """Bound Arrow batches by bytes, so that long texts do not fill a worker. The bound
+    stays in the session, for the plans of the operators run after they return."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > ARROW_BATCH_BYTES:
+    if size_in_bytes(spark.conf.get(key)) > ARROW_BATCH_BYTES:
         spark.conf.set(key, str(ARROW_BATCH_BYTES))
 
 
+def size_in_bytes(value: str) -> int:
+    """A size as Spark's settings give it: a number with an optional unit."""
+    m = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", value.lower())
+    if m is None:
+        raise ValueError(f"not a size: {value!r}")
+    return int(m[1]) << 10 * " kmgtp".index(m[2] or " ")
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 
 import numpy as np
@@ -39,11 +40,13 @@ _EMIT_TOKENS = 1 << 20
 
 # ---------------------------------------------------------------- tokens
 class Ids:
-    """Token ids of whole texts, equal to the ``tokenizers`` file ``name``.json.
+    """Token ids of whole texts: ``encode(text, add_special_tokens=False).ids`` of the
+    ``tokenizers`` file ``name``.json.
 
     The same vocabulary as ranks is several times faster; it is used for texts of
     Latin scripts, over which both give the same ids (tested over all their code
-    points). Any other text goes to the ``tokenizers`` library itself.
+    points). Any other text, and any that holds a string of the file's added tokens
+    (which the library gives ids of their own), goes to the library itself.
     """
 
     LATIN = re.compile("[^\x00-ɏ]")
@@ -54,17 +57,18 @@ class Ids:
         with open(files.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.json = files.path(f"{name}.json")
+        with open(self.json, encoding="utf-8") as f:
+            added = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.other = re.compile("|".join([self.LATIN.pattern, *map(re.escape, added)]))
         self.fast = tiktoken.Encoding(name, pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @functools.cached_property
     def exact(self):
         from tokenizers import Tokenizer
-        t = Tokenizer.from_file(self.json)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        return t
+        return Tokenizer.from_file(self.json)
 
     def __call__(self, text: str) -> list[int]:
-        if self.LATIN.search(text) is None:
+        if self.other.search(text) is None:
             return self.fast.encode_ordinary(text)
         return self.exact.encode(text, add_special_tokens=False).ids
 

@@ -6,13 +6,15 @@ the full result; digests of spans and ids are derived from the operator's output
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontamination, licenses, packing, pii, quality, quality_rules, secrets, simhash, toxicity,
-               url_filter)
+from . import (decontamination, licenses, packing, pii, quality, quality_rules, secrets, simhash, token_files,
+               toxicity, url_filter)
+from ..session import ensure_checkpoint_dir
 from .common import table
 
 RULES = [
@@ -82,6 +84,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as token-id files in the shared folder, read back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path)
+    return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens",
+                                                            F.crc32("ids").alias("ids_crc32"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline.py`` over ``documents``."""
     import corpus_pipeline
@@ -90,7 +100,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_packing, op2_quality_classifier, op3_url_filters, op4_license_scans, op5_simhash_near_dedup, op6_secret_scans,
-    op7_pii, op8_benchmark_decontamination, op9_quality_rules, op10_toxicity, pipeline)}
+    op7_pii, op8_benchmark_decontamination, op9_quality_rules, op10_toxicity, op13_token_files,
+    pipeline)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
