@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (decontamination, licenses, packing, pii, quality, quality_rules, secrets, simhash, token_files,
-               toxicity, url_filter)
+               toxicity, url_filter, variants)
 from ..session import ensure_checkpoint_dir
 from .common import table
 
@@ -84,6 +84,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of ``documents`` with its near words, form and root."""
+    return variants.variant_forms(table(spark, sf_dir, "documents"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as token-id files in the shared folder, read back."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
@@ -100,8 +105,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_packing, op2_quality_classifier, op3_url_filters, op4_license_scans, op5_simhash_near_dedup, op6_secret_scans,
-    op7_pii, op8_benchmark_decontamination, op9_quality_rules, op10_toxicity, op13_token_files,
-    pipeline)}
+    op7_pii, op8_benchmark_decontamination, op9_quality_rules, op10_toxicity,
+    op11_spelling_variants, op13_token_files, pipeline)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

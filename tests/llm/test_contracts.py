@@ -36,7 +36,6 @@ def check_packing(rows, texts):
     import numpy as np
     import public_tokenizers as P
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {d: t.encode(x or "", add_special_tokens=False).ids + [1] for d, x in texts}
     pieces, sequences = {}, {}
     for r in rows:
@@ -67,6 +66,7 @@ def test_packing(spark, sf_small, docs):
 
 def test_packing_awkward(spark):
     texts = [(d, t) for d, t in dict((d, t) for d, t in AWKWARD if d is not None).items()]
+    texts += [(40, "a<|endoftext|> b"), (41, "<|endoftext|>"), (42, "你好<|endoftext|>")]
     check_packing(packing.packing_digest(packing.pack(awkward(spark, texts))).collect(), texts)
     all_rows = packing.pack(awkward(spark))
     assert all_rows.selectExpr("sum(length)").first()[0] == all_rows.where("start = 0").selectExpr("sum(doc_tokens)").first()[0]
