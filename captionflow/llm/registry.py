@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontamination, licenses, packing, pii, quality, quality_rules, secrets, simhash, token_files,
+from . import (decontamination, licenses, packing, pii, prefix_trie, quality, quality_rules, secrets, simhash, token_files,
                toxicity, url_filter, variants)
 from ..session import ensure_checkpoint_dir
 from .common import table
@@ -89,6 +89,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variant_forms(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of ``conversations`` with shared heads; a row per node."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), shared_heads=True)
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as token-id files in the shared folder, read back."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
@@ -106,7 +111,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_packing, op2_quality_classifier, op3_url_filters, op4_license_scans, op5_simhash_near_dedup, op6_secret_scans,
     op7_pii, op8_benchmark_decontamination, op9_quality_rules, op10_toxicity,
-    op11_spelling_variants, op13_token_files, pipeline)}
+    op11_spelling_variants, op12_prefix_trie, op13_token_files, pipeline)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
