@@ -3,8 +3,9 @@
 URLs that redirect to each other or name the same canonical page are one alias
 class: classes are the connected components over redirect and canonical-link edges.
 A rule's decision about one URL of a class reaches the URLs of the class that no
-rule fits. A URL's own rule always decides for it; within a class an explicit allow
-takes precedence over a block.
+rule fits; a URL that only occurs as an end of an edge (a redirect's target that was
+never crawled) is judged and decides like that of a page. A URL's own rule always
+decides for it; within a class an explicit allow takes precedence over a block.
 """
 
 from __future__ import annotations
@@ -53,7 +54,9 @@ def with_host_path(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def rule_column(rules: list[Rule]) -> Column:
-    """Struct (rule, verdict) of the longest rule that fits host and path, or null."""
+    """Struct (rule, verdict) of the longest rule that fits host and path, or null; of
+    rules of one length that fit the one whose name is later in code-point order, and of
+    rules of one name the later in the list."""
     out = F.lit(None).cast("struct<rule: string, verdict: string>")
     for r in sorted(rules, key=lambda r: (len(r.name), r.name)):  # later ones win
         on_host = (F.col("host") == r.host) | F.col("host").endswith("." + r.host)
@@ -64,13 +67,15 @@ def rule_column(rules: list[Rule]) -> Column:
 
 def canonical(url: Column) -> Column:
     """The node of a URL: no scheme, host lowered, no fragment, no tracking
-    parameters, no final slash. Null and empty stay without a node (null)."""
+    parameters, no final slash. A URL without ``://`` has no host: it is a node of its
+    own, whatever host it looks like. Null and empty stay without a node (null)."""
     bare = F.regexp_replace(F.regexp_replace(url, r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     named = "(?:" + "|".join(TRACKING) + ")=[^&]*"
     bare = F.regexp_replace(bare, rf"(?<=[?&]){named}(?:&|$)", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"[?&]+$", ""), r"/+$", "")
     host = F.regexp_extract(bare, r"^([^/?]*)", 1)
-    return F.nullif(F.concat(ascii_lower(host), F.substring(bare, F.length(host) + 1, F.length(bare))), F.lit(""))
+    whole = F.concat(ascii_lower(host), F.substring(bare, F.length(host) + 1, F.length(bare)))
+    return F.nullif(F.when(F.contains(url, F.lit("://")), whole).when(url != "", F.concat(F.lit("\n"), url)), F.lit(""))
 
 
 def _tag(name: str) -> str:
@@ -120,7 +125,8 @@ def without_dots(path: Column) -> Column:
 
 
 def resolved(page: Column, to: Column) -> Column:
-    """The absolute URL of a target ``to`` of a page, by RFC 3986."""
+    """The absolute URL of a target ``to`` of a page, by RFC 3986; null for one that is
+    relative to a page without ``://``."""
     scheme = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
     root = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     path = F.regexp_extract(page, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
@@ -130,16 +136,27 @@ def resolved(page: Column, to: Column) -> Column:
     query = F.regexp_extract(page, r"^[^?#]*(\?[^#]*)", 1)
     return F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to) \
         .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string")) \
+        .when(root == "", F.lit(None).cast("string")) \
         .when(to.startswith("//"), F.concat(scheme, to)) \
         .when(own == "", F.concat(root, path, F.when(rest.startswith("?"), rest).otherwise(F.concat(query, rest)))) \
         .when(own.startswith("/"), F.concat(root, without_dots(own), rest)) \
         .otherwise(F.concat(root, without_dots(F.concat(folder, own)), rest))
 
 
+#: What a browser does not read as tags; without its end it goes on to the page's end.
+_HIDDEN = r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style|textarea|template)\b.*?(?:</\1\s*>|\z)"
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """(src, dst): URLs as given to where their page's canonical links and refresh
-    redirects lead. Relative targets are resolved against the page's URL; those of
-    schemes without ``//`` lead nowhere."""
+    redirects lead. Relative targets are resolved against the page's first ``<base href>``
+    or else its URL; those of schemes without ``//`` lead nowhere. Tags inside comments,
+    scripts, styles, text areas and templates do not count."""
+    pages = pages.where(F.col("url").isNotNull() & F.col("html").rlike("(?i)canonical|refresh|&#")) \
+        .select("url", F.regexp_replace("html", _HIDDEN, " ").alias("html"))
+    bases = F.filter(F.transform(F.regexp_extract_all("html", F.lit(_tag("base")), 0), lambda t: _attribute(t, "href")),
+                     lambda x: x != "")
+
     def target(c: Column) -> Column:
         return F.trim(F.concat(*[F.regexp_extract(c, _TARGET, k) for k in (1, 2, 3)]))
     links = F.filter(F.regexp_extract_all("html", F.lit(_tag("link")), 0),
@@ -148,10 +165,11 @@ def link_edges(pages: DataFrame) -> DataFrame:
                      lambda t: _attribute(t, "http-equiv").rlike("(?i)^refresh$"))
     found = F.concat(F.transform(links, lambda t: _attribute(t, "href")),
                      F.transform(metas, lambda t: let(_attribute(t, "content"), target)))
-    has = F.col("html").rlike("(?i)canonical|refresh|&#")
-    to = pages.where(F.col("url").isNotNull() & has).select("url", F.explode(found).alias("to")).where("to != ''")
-    dst = resolved(F.col("url"), F.col("to"))
-    return to.select(F.col("url").alias("src"), dst.alias("dst")).where("dst is not null")
+    to = pages.select("url", F.when(F.col("html").rlike("(?i)<base"), F.get(bases, 0)).alias("base"),
+                      F.explode(found).alias("to")).where("to != ''")
+    page = F.coalesce(resolved(F.col("url"), F.col("base")), F.col("url"))
+    dst = resolved(F.col("page"), F.col("to"))
+    return to.withColumn("page", page).select(F.col("url").alias("src"), dst.alias("dst")).where("dst is not null")
 
 
 def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:
@@ -162,7 +180,8 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     (allow). Null URLs and those without ``://`` have empty host and path; pages with
     a null URL are in no class. Repeated rows and null ids stay; an empty table gives
     no rows; null html has no links. URLs that differ only in scheme, fragment,
-    tracking parameters or a final slash are one node.
+    tracking parameters or a final slash are one node, with the decisions of all of them.
+    Targets that are no page's URL are nodes too.
     """
     judged = with_host_path(pages.select("page_id", "url", "html")).withColumn("own", rule_column(rules))
     rows = stage(judged.select("page_id", "host", "path", "own.rule", F.col("own.verdict").alias("own"),
@@ -170,9 +189,13 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     edges = link_edges(pages)
     if redirects is not None:
         edges = edges.union(redirects.select("src", "dst"))
+    edges = stage(edges.distinct(), "links")
     parts = connected_components(edges.select(canonical(F.col("src")).alias("src"), canonical(F.col("dst")).alias("dst")))
+    # the rules of the URLs at the ends of edges, pages or not
+    ends = edges.select(F.col("src").alias("url")).union(edges.select(F.col("dst").alias("url")))
+    ends = with_host_path(ends).select(canonical(F.col("url")).alias("node"), rule_column(rules)["verdict"].alias("own"))
     # a node's own decision, then the class's: allow, else block (both map-side combined)
-    votes = rows.where("node is not null").groupBy("node").agg(
+    votes = rows.select("node", "own").union(ends).where("node is not null").groupBy("node").agg(
         F.min("own").alias("own"))  # allow sorts before block
     known = votes.join(parts, "node", "full").withColumn("class", F.coalesce("component", "node"))
     of_class = known.groupBy("class").agg(F.min("own").alias("said")).where("said is not null")

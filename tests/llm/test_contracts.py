@@ -146,6 +146,13 @@ def test_url_aliases(spark):
     more = spark.createDataFrame([("http://c.org", "https://bad.net/es/1"), (None, "x"), ("http://c.org", "http://c.org")], "src string, dst string")
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, registry.RULES, more).collect()}
     assert got[4] == "block"
+    # targets that are no pages decide too
+    lone = spark.createDataFrame([(1, "http://a.org/", page.format("http://example.com/en/q")), (3, "example.com/en/a", ""),
+                                  (2, "http://b.org/", '<meta http-equiv="refresh" content="0; url=http://bad.net/es/1">'),
+                                  (4, "http://c.org/", "<!-- " + page.format("http://bad.net/es/1") + "-->")],
+                                 "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(lone, registry.RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
     assert url_filter.judge(pages.limit(0), registry.RULES).collect() == []
 
 
@@ -165,6 +172,15 @@ def test_link_targets(spark):
     pages += [(0, page, '<link rel="canonical" href="mailto:a@b.c">'), (0, page, '<link rel="canonical" href="/q?a=1&#38;b=2&#x26;c&amp;amp;">'),
               (0, "http://h.org", '<link rel="canonical" href="r">'), (0, page, '<link rel="icon" href="/canonical">')]
     want += [(page, "http://h.org/q?a=1&b=2&c&amp;"), ("http://h.org", "http://h.org/r")]
+    link = '<link rel="canonical" href="{}">'
+    pages += [
+        (0, page, f'<!-- {link.format("/no")} --><p>'), (0, page, f'<script>"{link.format("/no")}"</script>{link.format("/yes")}'),
+        (0, page, f'<base href="http://base.net/x/y"><base href="/no">{link.format("z")}'), (0, page, f'<BASE HREF=/k/>{link.format("z")}'),
+        (0, page, f'<base target="_top">{link.format("z")}'), (0, page, f'<!-- {link.format("/no")} <p>{link.format("/no")}'),
+        (0, page, f'<!--><base href="//c.net/">--><base href="//b.net/">{link.format("z")}'), (0, "h.org/a", link.format("z")),
+        (0, "h.org/a", link.format("http://t.org/z"))]
+    want += [(page, "http://h.org/yes"), (page, "http://base.net/x/z"), (page, "http://h.org/k/z"), (page, "http://h.org/a/b/z"),
+             (page, "http://c.net/z"), ("h.org/a", "http://t.org/z")]
     got = [tuple(r) for r in url_filter.link_edges(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()]
     assert sorted(got) == sorted(want)
 
@@ -178,26 +194,32 @@ def test_alias_verdicts_by_brute_force(spark, sf_small):
     urls = [r["url"] for r in spark.read.parquet(f"{sf_small}/pages.parquet").collect()]
 
     def node(url):
+        if "://" not in url:
+            return "schemeless " + url
         bare = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://", "", url.split("#")[0])
         bare = re.sub(r"(?<=[?&])(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*(?:&|$)", "", bare)
         bare = re.sub(r"/+$", "", re.sub(r"[?&]+$", "", bare))
         host = re.match(r"[^/?]*", bare)[0]
         return host.lower() + bare[len(host):]
-    rows, edges, extra = [], [], [f"http://plain{i}.org/d/p.html" for i in range(60)]
+    rows, edges, targets, extra = [], [], [], [f"http://plain{i}.org/d/p.html" for i in range(60)]
     for i, url in enumerate(urls + extra):
         html = ""
         if i >= len(urls) or rng.random() < 0.2:
-            to = rng.choice([rng.choice(urls), rng.choice(extra), "other.html", "../d/p.html", "?id=1&k=2"])
+            uncrawled = [f"http://{h}/{p}/{rng.randrange(9)}" for h in ("www.example.com", "example.com", "un.net", "un.org") for p in ("en", "es")]
+            to = rng.choice([rng.choice(urls), rng.choice(extra), "other.html", "../d/p.html", "?id=1&k=2", *uncrawled])
             form = rng.choice(["<link rel='canonical' href='{}'>", '<meta http-equiv="refresh" content="0;url=\'{}\'">'])
             html = form.format(to.replace("&", "&amp;"))
             edges.append((node(url), node(urljoin(url, to))))
+            targets.append(urljoin(url, to))
         rows.append((i, url, html))
+    rows += [(len(rows), "example.com/en/a", ""), (len(rows) + 1, "un.net/es/1", "")]
     part = brute.components({node(u) for _, u, _ in rows} | {n for e in edges for n in e}, edges)
     own = {i: brute.url_rule(*brute.host_path(u), rules)[0] for i, u, _ in rows}
     said = {}
-    for i, u, _ in rows:
-        if own[i]:
-            said[part[node(u)]] = min(own[i], said.get(part[node(u)], "block"))
+    for u in [u for _, u, _ in rows] + targets:  # every node votes, crawled or not
+        verdict = brute.url_rule(*brute.host_path(u), rules)[0]
+        if verdict:
+            said[part[node(u)]] = min(verdict, said.get(part[node(u)], "block"))
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(
         spark.createDataFrame(rows, "page_id long, url string, html string"), registry.RULES).collect()}
     assert got == {i: own[i] or said.get(part[node(u)], "allow") for i, u, _ in rows}
