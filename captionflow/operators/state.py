@@ -28,11 +28,9 @@ def _first_strong(col: str, weak: Column, ord_col: str) -> Column:
 
 
 def conform(rows: DataFrame) -> DataFrame:
-    """Add any missing state column as null/false so sources can be unioned."""
-    out = rows
-    for f in FLAGS:
-        if f not in out.columns:
-            out = out.withColumn(f, F.lit(False))
+    """Add any missing state column as null/false so sources can be unioned; a flag that
+    is null counts as false."""
+    out = with_flags(rows)
     for c in ("publish_date", "title"):
         if c not in out.columns:
             out = out.withColumn(c, F.lit(None).cast("string"))
@@ -44,6 +42,20 @@ def conform(rows: DataFrame) -> DataFrame:
     return out
 
 
+def with_flags(rows: DataFrame) -> DataFrame:
+    """``rows`` with all flags, none of them null."""
+    return rows.withColumns({f: F.coalesce(F.col(f).cast("boolean"), F.lit(False)) if f in rows.columns else F.lit(False) for f in FLAGS})
+
+
+def first_rows(rows: DataFrame, key: str = "video_id", ord_col: str = "ord") -> DataFrame:
+    """One row for each key, the first in order; without an order column the least by
+    its values. A side that is joined by key must not multiply the other's rows."""
+    others = [c for c in rows.columns if c != key]
+    whole = F.struct(*others)
+    first = F.min_by(whole, F.struct(ord_col, *[c for c in others if c != ord_col])) if ord_col in others else F.min(whole)
+    return rows.groupBy(key).agg(first.alias("_first")).select(key, *[F.col("_first")[c].alias(c) for c in others])
+
+
 def merge_videos(rows: DataFrame, ord_col: str = "ord", with_playlists: bool = False,
                  extra_aggs: tuple = ()) -> DataFrame:
     """One row per ``video_id``: date/title = first non-weak in ``ord`` order
@@ -117,8 +129,11 @@ def listing_rows(listing: DataFrame) -> DataFrame:
 
 
 def fill_dates(listing: DataFrame, history: DataFrame) -> DataFrame:
-    """Unknown listing dates take the history's valid date (titles do not)."""
-    h = history.select("video_id", F.col("publish_date").alias("_hd"))
+    """Unknown listing dates take the history's valid date (titles do not). Of repeated
+    history ids the first row with a valid date counts (by ``ord``, if there is one)."""
+    valid = history.filter(~S.is_weak_date("publish_date")).select("video_id", F.col("publish_date").alias("_hd"),
+                                                                   *(["ord"] if "ord" in history.columns else []))
+    h = first_rows(valid).select("video_id", "_hd")
     return (listing.join(h, "video_id", "left")
             .withColumn("publish_date", F.when((F.col("publish_date") == "N/A") & ~S.is_weak_date("_hd"), F.col("_hd"))
                         .otherwise(F.col("publish_date")))
@@ -170,7 +185,7 @@ def apply_legacy_flags(state: DataFrame, logs: DataFrame) -> DataFrame:
     sets = logs.groupBy("video_id").agg(
         F.bool_or(F.col("kind") == "subtitle").alias("_s"), F.bool_or(F.col("kind") == "info").alias("_i"),
         F.bool_or(F.col("kind") == "no_subtitle").alias("_n"))
-    j = state.join(sets, "video_id", "left")
+    j = with_flags(state).join(sets, "video_id", "left")
     flips = sum((F.coalesce(F.col(k), F.lit(False)) & ~F.col(f)).cast("int")
                 for k, f in (("_s", "subtitle_downloaded"), ("_i", "info_downloaded"), ("_n", "has_no_subtitle")))
     return (j.withColumn("flips", flips)
@@ -182,8 +197,9 @@ def apply_legacy_flags(state: DataFrame, logs: DataFrame) -> DataFrame:
 
 def harvest_metadata(state: DataFrame, info: DataFrame) -> DataFrame:
     """Matched rows: weak title/date and empty duration, channel, view count take
-    the metadata's values; ``info_downloaded`` set."""
-    i = info.select("video_id", F.col("title").alias("_t"), F.col("upload_date").alias("_d"),
+    the metadata's values; ``info_downloaded`` set. Of repeated metadata rows of an id the
+    first counts (by ``ord``, if there is one)."""
+    i = first_rows(info).select("video_id", F.col("title").alias("_t"), F.col("upload_date").alias("_d"),
                     F.col("duration").alias("_dur"), F.coalesce(F.nullif("channel", F.lit("")), "uploader").alias("_ch"),
                     F.col("view_count").alias("_vc"), F.lit(True).alias("_m"))
     j = conform(state).join(i, "video_id", "left")
@@ -204,8 +220,10 @@ def harvest_metadata(state: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def heal_metadata(state: DataFrame, recovered: DataFrame) -> DataFrame:
-    """Second-source fallback only where title or date is exactly ``N/A``."""
-    r = recovered.select("video_id", F.col("title").alias("_t"), F.col("date").alias("_d"))
+    """Second-source fallback only where title or date is exactly ``N/A``. Of repeated rows
+    of an id the first counts (by ``ord``, if there is one)."""
+    state = with_flags(state)
+    r = first_rows(recovered).select("video_id", F.col("title").alias("_t"), F.col("date").alias("_d"))
     j = state.join(r, "video_id", "left")
     t_fix = (F.coalesce("title", F.lit("N/A")) == "N/A") & F.col("_t").isNotNull() & (F.col("_t") != "N/A")
     d_fix = (F.coalesce("publish_date", F.lit("N/A")) == "N/A") & F.col("_d").isNotNull() & (F.col("_d") != "N/A")
@@ -246,8 +264,9 @@ def files_present(files: DataFrame) -> DataFrame:
 def plan_work(state: DataFrame, present: DataFrame, audio_only: bool = False, convert: bool = True) -> DataFrame:
     """One action per video, first match wins: ``skip_done``, ``skip_no_subtitle``
     (both only outside audio-only mode), ``convert`` (caption file without
-    Markdown), ``skip_on_disk``, ``fetch``. On-disk actions also set both flags."""
-    j = state.join(present, "video_id", "left")
+    Markdown), ``skip_on_disk``, ``fetch``. On-disk actions also set both flags. A null
+    flag counts as false."""
+    j = with_flags(state).join(present, "video_id", "left")
     srt, md = F.coalesce("has_srt", F.lit(False)), F.coalesce("has_md", F.lit(False))
     ao = F.lit(audio_only)
     action = (F.when(F.col("subtitle_downloaded") & ~ao, "skip_done")
@@ -266,13 +285,14 @@ def apply_outcomes(plan: DataFrame, outcomes: DataFrame, as_of: str, audio_only:
     """Fetch outcomes -> new flags and a counter class per video.
 
     Exit code 0 with a caption -> ``downloaded`` and the caption flag (audio-only
-    success counts as downloaded, no flag); 0 without caption -> ``skipped``, and
-    ``has_no_subtitle`` if older than 7 days; nonzero -> ``error``. Rows not
-    fetched are ``skipped``."""
+    success counts as downloaded, no flag); 0 without caption (false or null) ->
+    ``skipped``, and ``has_no_subtitle`` if older than 7 days; nonzero -> ``error``. Rows
+    not fetched are ``skipped``; a null flag counts as false."""
     # of repeated outcomes of a video the best counts: a caption, then success, then the least code
     best = outcomes.groupBy("video_id").agg(F.min_by(F.struct("exit_code", "has_caption"), F.struct(
         F.coalesce(F.col("exit_code") != 0, F.lit(True)), ~F.coalesce("has_caption", F.lit(False)), "exit_code")).alias("_o"))
-    j = plan.join(best.select("video_id", "_o.exit_code", "_o.has_caption"), "video_id", "left")
+    j = with_flags(plan).join(best.select("video_id", "_o.exit_code", F.coalesce("_o.has_caption", F.lit(False)).alias("has_caption")),
+                              "video_id", "left")
     fetched = (F.col("action") == "fetch") & F.col("exit_code").isNotNull()
     ok = fetched & (F.col("exit_code") == 0)
     got = ok & (F.lit(audio_only) | F.col("has_caption"))

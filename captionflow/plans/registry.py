@@ -6,11 +6,13 @@ Every query reads the given test tables through a fixture adapter
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as X
 from . import oracle_sql as O
 
@@ -39,9 +41,12 @@ def _captions(spark, sf_dir, **kw):
 
 @register("read_cues", O.sql("SELECT * FROM cues", "cues"))
 def q_read_cues(spark, sf_dir):
-    """FX-SRT round trip: cues rendered as SRT text per video, parsed back."""
-    from ..sources.srt import parse_srt, render_srt
-    return parse_srt(render_srt(X.fx_cues(X.table(spark, sf_dir, "documents"))))
+    """FX-SRT round trip: cues written as caption files to the shared checkpoint folder,
+    read back by the reader."""
+    from ..sources.srt import read_cues, write_cues
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/srt-{uuid.uuid4().hex}"
+    write_cues(X.fx_cues(X.table(spark, sf_dir, "documents")), path, prefix="chan-")
+    return read_cues(spark, path)
 
 
 @register("video_tiers", O.sql("SELECT * FROM tiers", "tiers"))

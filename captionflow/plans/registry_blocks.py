@@ -111,15 +111,48 @@ def q_block_batches(spark, d):
                                               F.max("block_no").alias("last_block"))
 
 
-@register("page_payloads")
+O.cte("payload_spans", """
+SELECT video_id, CAST(block_no // 100 AS INTEGER) AS batch, count(*) AS n_spans,
+  md5(string_agg(content || CASE WHEN bold THEN '+b' WHEN code THEN '+c' ELSE '' END, chr(31) ORDER BY block_no, span_no)) AS spans
+FROM md_spans GROUP BY ALL""", ["md_spans"])
+
+
+@register("page_payloads", O.sql(f"""
+SELECT b.*, coalesce(s.n_spans, 0) AS n_spans, coalesce(s.spans, md5('')) AS spans,
+  CASE WHEN b.batch = 0 THEN 'db' END AS database_id,
+  CASE WHEN b.batch = 0 THEN CASE WHEN doc_id % 7 = 0 THEN '{B.UNTITLED}' ELSE 'Doc ' || CAST(doc_id AS VARCHAR) END END AS page_title,
+  CASE WHEN b.batch = 0 THEN 'https://www.youtube.com/watch?v=' || b.video_id END AS url
+FROM (SELECT video_id, CAST(block_no // 100 AS INTEGER) AS batch, count(*) AS n_children,
+        string_agg(type, ',' ORDER BY block_no) AS types,
+        coalesce(string_agg(language, ',' ORDER BY block_no) FILTER (WHERE type = 'code'), '') AS languages
+      FROM md_blocks GROUP BY ALL) b
+LEFT JOIN payload_spans s USING (video_id, batch)
+JOIN (SELECT doc_id, 'v' || lpad(CAST(doc_id AS VARCHAR), 10, '0') AS video_id FROM documents) d USING (video_id)""",
+                                 "md_blocks", "payload_spans"))
 def q_page_payloads(spark, d):
-    """JSON request bodies per (document, batch of 100 blocks); no SQL oracle
-    (JSON text formatting is engine-specific); covered by golden tests."""
+    """JSON request bodies per (document, batch of 100 blocks), parsed back into columns:
+    page properties, the blocks' types and languages, and all spans with their marks."""
     docs = X.table(spark, d, "documents")
     videos = docs.select(F.concat(F.lit("v"), F.lpad(F.col("doc_id").cast("string"), 10, "0")).alias("video_id"),
                          F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(
                              F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))).alias("title"))
-    return B.page_payloads(B.md_to_blocks(X.fx_md(docs)), videos, database_id="db")
+    made = B.page_payloads(B.md_to_blocks(X.fx_md(docs)), videos, database_id="db")
+    body = F.from_json("payload", "parent struct<database_id: string>, properties struct<Name: struct<title: array<struct<text: "
+                       "struct<content: string>>>>, URL: struct<url: string>>, children array<map<string, string>>", {"mode": "FAILFAST"})
+    block = "rich_text array<struct<type: string, text: struct<content: string>, annotations: struct<bold: boolean, code: boolean>>>, " \
+            "language string"
+    kids = made.select("video_id", "batch", body.alias("p")).select(
+        "video_id", "batch", "p", F.transform("p.children", lambda c: F.struct(
+            c["type"].alias("type"), F.from_json(c[c["type"]], block, {"mode": "FAILFAST"}).alias("b"))).alias("c"))
+    marks = F.flatten(F.transform("c", lambda c: F.transform(F.coalesce(c["b"]["rich_text"], F.array()), lambda s: F.concat(
+        s["text"]["content"], F.when(s["annotations"]["bold"], "+b").when(s["annotations"]["code"], "+c").otherwise("")))))
+    codes = F.filter("c", lambda c: c["type"] == "code")
+    return kids.select(
+        "video_id", "batch", F.size("c").cast("long").alias("n_children"), F.array_join(F.transform("c", lambda c: c["type"]), ",").alias("types"),
+        F.array_join(F.transform(codes, lambda c: c["b"]["language"]), ",").alias("languages"),
+        F.size(marks).cast("long").alias("n_spans"), F.md5(F.array_join(marks, "\x1f")).alias("spans"),
+        F.col("p.parent.database_id").alias("database_id"), F.get(F.col("p.properties.Name.title"), 0)["text"]["content"].alias("page_title"),
+        F.col("p.properties.URL.url").alias("url"))
 
 
 @register("scalar_text", O.sql(r"""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import files as FL
 from ..operators import state as ST
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as X
 from ..sources import state_files as SF
+from ..sources.documents import write_documents
 from . import oracle_sql as O
 from .registry import register
 
@@ -33,14 +37,6 @@ SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, name,
 FROM (SELECT path, regexp_extract(path, '([^/]+)$', 1) AS name, mtime_s FROM files)""", ["files"])
 
 
-@register("list_files", O.sql("SELECT * FROM files_desc", "files_desc"))
-def q_list_files(spark, d):
-    """Inventory columns (folder, name, extension, id, language, mtime) for the
-    FX-FILES paths: the per-path half of ``list_files``; its directory listing
-    (binaryFile) is exercised on a real folder in tests/test_sources.py."""
-    return _files(spark, d)
-
-
 @register("extract_video_id", O.sql("SELECT path, video_id FROM files_desc", "files_desc"))
 def q_extract_video_id(spark, d):
     return _files(spark, d).select("path", "video_id")
@@ -88,6 +84,21 @@ SELECT path, name, video_id, CASE WHEN dir = 'archive' THEN 'archive/' ELSE './'
 FROM regen_desc WHERE ext = 'srt' AND dir IN ('archive', '')""", ["regen_desc"])
 
 
+@register("list_files", O.sql("""
+SELECT dir, name, ext, video_id, lang FROM regen_desc WHERE dir IN ('archive', '')""", "regen_desc"))
+def q_list_files(spark, d):
+    """FX-REGEN written as files (every third one empty) with some in a tool folder and
+    some three levels deep, then listed."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    files = X.fx_regen_files(_docs(spark, d))
+    extra = files.where("mtime_s % 5 = 0")
+    every = files.union(extra.withColumn("path", F.concat(F.lit(".git/"), "path"))) \
+        .union(extra.withColumn("path", F.concat(F.lit("archive/deep/"), "path")))
+    write_documents(every.select(F.col("path").alias("file"), F.lit(0).alias("k"),
+                                 F.when(F.col("mtime_s") % 3 != 0, F.col("path")).alias("piece")), path, "k")
+    return SF.list_files(spark, path).select("dir", "name", "ext", "video_id", "lang")
+
+
 @register("scan_regen_inputs", O.sql("SELECT * FROM regen_inputs", "regen_inputs"))
 def q_scan_regen_inputs(spark, d):
     return FL.scan_regen_inputs(_regen(spark, d))
@@ -143,8 +154,13 @@ SELECT video_id, channel_id, publish_date, action, has_no_subtitle,
 FROM planned""", ["planned"])
 
 
+def _vstate(spark, d):
+    """FX-VSTATE with the false flags of odd rows left null."""
+    return X.fx_vstate(_docs(spark, d)).withColumns({f: F.when(F.col(f) | (F.col("ord") % 2 == 0), F.col(f)) for f in ST.FLAGS})
+
+
 def _plan(spark, d):
-    return ST.plan_work(X.fx_vstate(_docs(spark, d)), ST.files_present(_files(spark, d)))
+    return ST.plan_work(_vstate(spark, d), ST.files_present(_files(spark, d)))
 
 
 @register("plan_work", O.sql("SELECT video_id, action, info_downloaded, subtitle_downloaded FROM planned2", "planned2"))
@@ -161,7 +177,7 @@ FROM vstate s JOIN (
   FROM vstate LEFT JOIN present p USING (video_id)) p USING (video_id)""", "vstate", "present"))
 def q_plan_work_audio(spark, d):
     """The plan when only audio is wanted: stored flags skip nothing."""
-    plan = ST.plan_work(X.fx_vstate(_docs(spark, d)), ST.files_present(_files(spark, d)), audio_only=True)
+    plan = ST.plan_work(_vstate(spark, d), ST.files_present(_files(spark, d)), audio_only=True)
     return plan.select("video_id", "action", "info_downloaded", "subtitle_downloaded")
 
 
@@ -182,7 +198,8 @@ FROM planned2 p LEFT JOIN voutcomes o USING (video_id)""", ["planned2", "voutcom
 
 
 def _applied(spark, d):
-    return ST.apply_outcomes(_plan(spark, d), X.fx_voutcomes(_docs(spark, d)), AS_OF)
+    outcomes = X.fx_voutcomes(_docs(spark, d)).withColumn("has_caption", F.when(F.col("has_caption"), True))  # else null
+    return ST.apply_outcomes(_plan(spark, d), outcomes, AS_OF)
 
 
 @register("apply_outcomes", O.sql("SELECT video_id, outcome, subtitle_downloaded, has_no_subtitle FROM applied",

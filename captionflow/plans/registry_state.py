@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -11,6 +12,7 @@ from ..operators import state as ST
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as X
 from ..sources import state_files as SF
+from ..sources.documents import write_documents
 from . import oracle_sql as O
 from .registry import register
 
@@ -107,10 +109,13 @@ SELECT path, channel, pos, video_id, publish_date, title, subtitle_downloaded, i
   array_to_string(playlists, ',') AS playlists, channel_id, uploader, uploader_id, duration_s, view_count
 FROM state_doc_rows""", "state_doc_rows"))
 def q_read_channel_state(spark, d):
-    """State documents (both shapes) parsed from their JSON text by the reader's
-    parse step; the file-reading wrapper is tested on a real folder."""
-    r = SF.parse_state_documents(X.fx_state_docs(_ev(spark, d)))
-    return r.select("path", F.col("doc_channel").alias("channel"), "pos", "video_id", "publish_date", "title", "subtitle_downloaded",
+    """State documents (both shapes), written as files to the shared checkpoint folder and
+    read back by ranges that cut them anywhere."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/state-{uuid.uuid4().hex}"
+    docs = X.fx_state_docs(_ev(spark, d))
+    write_documents(docs.select(F.col("path").alias("file"), F.lit(0).alias("k"), F.col("doc").alias("piece")), path, "k")
+    r = SF.read_channel_state(spark, path, range_bytes=1 << 16)
+    return r.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("path"), F.col("doc_channel").alias("channel"), "pos", "video_id", "publish_date", "title", "subtitle_downloaded",
                     "info_downloaded", "has_no_subtitle", _pl(), "channel_id", "uploader", "uploader_id",
                     "duration_s", "view_count")
 
@@ -151,8 +156,14 @@ FROM (
 
 @register("read_video_info", O.sql("SELECT * EXCLUDE (ord) FROM info_rows", "info_rows"))
 def q_read_video_info(spark, d):
-    """Per-video metadata documents parsed by the reader's parse step."""
-    return SF.parse_video_info(X.fx_info_docs(_ev(spark, d)))
+    """Per-video metadata documents, written as files to the shared checkpoint folder (a
+    folder for each observation of a video) and read back by the reader."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/info-{uuid.uuid4().hex}"
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("ord"))
+    docs = X.fx_info_docs(_ev(spark, d)).withColumn("nth", nth)
+    write_documents(docs.select(F.concat(F.col("nth").cast("string"), F.lit("/"), "name").alias("file"), "nth",
+                                F.col("doc").alias("piece")), path, "nth")
+    return SF.read_video_info(spark, f"{path}/*")
 
 
 O.cte("u", """
@@ -198,7 +209,8 @@ FROM listing_rows l LEFT JOIN history h USING (video_id)""", ["listing_rows", "h
 
 @register("fill_dates", O.sql("SELECT video_id, ord, publish_date, title FROM listing_filled", "listing_filled"))
 def q_fill_dates(spark, d):
-    return ST.fill_dates(_listing(spark, d), _history(spark, d)).select("video_id", "ord", "publish_date", "title")
+    """The history as observed: ids repeat, the first valid date counts."""
+    return ST.fill_dates(_listing(spark, d), _obs_rows(spark, d)).select("video_id", "ord", "publish_date", "title")
 
 
 O.cte("upsert_u", """
@@ -311,27 +323,22 @@ def q_apply_legacy_flags(spark, d):
 
 
 # ------------------------------------------------------------------ metadata harvest / heal / focus
-def _listing_first(spark, d):
-    """One listing row per video (its first occurrence): the metadata stand-in."""
-    li = X.fx_listing(X.table(spark, d, "orders"))
-    return li.groupBy("video_id").agg(*[F.min_by(c, "ord").alias(c) for c in ("ord", "title", "upload_date", "epoch_s")])
-
-
 O.cte("listing_first", """
 SELECT video_id, arg_min_null(title, ord) AS title, arg_min_null(upload_date, ord) AS upload_date,
   arg_min_null(epoch_s, ord) AS epoch_s, min(ord) AS ord FROM listing GROUP BY ALL""", ["listing"])
 
 
 def _info(spark, d):
-    return _listing_first(spark, d).select(
-        "video_id", "title", "upload_date", F.col("ord").cast("double").alias("duration"),
+    """Metadata rows from the listing; ids repeat, the first row counts."""
+    return X.fx_listing(X.table(spark, d, "orders")).select(
+        "video_id", "ord", "title", "upload_date", F.col("ord").cast("double").alias("duration"),
         F.concat(F.lit("Ch "), F.col("title")).alias("channel"), F.lit(None).cast("string").alias("uploader"),
         F.col("epoch_s").alias("view_count"))
 
 
 def _recovered(spark, d):
-    return _listing(spark, d).groupBy("video_id").agg(F.min_by("publish_date", "ord").alias("date"),
-                                                       F.min_by("title", "ord").alias("title"))
+    """A second source; ids repeat, the first row counts."""
+    return _listing(spark, d).select("video_id", "ord", F.col("publish_date").alias("date"), "title")
 
 
 @register("harvest_metadata", O.sql("""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import state as ST
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as X
+from ..sources.state_files import STATE_PREFIXES
 from ..streaming import sync as SS
 from . import oracle_sql as O
 from .registry import register
@@ -94,39 +95,55 @@ def q_stream_topics(spark, d):
 
 # ------------------------------------------------------------------ sinks
 @register("write_markdown", O.sql("""
-SELECT video_id, string_agg(fragment, '' ORDER BY part, seg, para) AS md FROM markdown GROUP BY ALL""", "markdown"))
+SELECT lang, video_id, md FROM (
+  SELECT video_id, string_agg(fragment, '' ORDER BY part, seg, para) AS md FROM markdown GROUP BY ALL)
+JOIN (SELECT DISTINCT video_id, lang FROM cues) USING (video_id)""", "markdown", "cues"))
 def q_write_markdown(spark, d):
-    """Markdown files written per video, read back whole."""
+    """Markdown by language in packs of a bounded size, read back."""
+    from ..operators.transcript import assemble_markdown
     from ..plans.captions import CaptionTables
     from ..sources.sinks import read_markdown, write_markdown
     docs = X.table(spark, d, "documents")
-    t = CaptionTables(X.fx_cues(docs))
+    cues = X.fx_cues(docs)
+    t = CaptionTables(cues)
     out = _scratch(spark, "markdown")
-    write_markdown(t.markdown(X.fx_videos(docs)), out)
+    write_markdown(t.markdown(X.fx_videos(docs)).join(cues.select("video_id", "lang").distinct(), "video_id"), out, pack_bytes=1 << 20)
     t.cleanup()
-    return read_markdown(spark, out)
+    back = read_markdown(spark, out)
+    return assemble_markdown(back).join(back.select("lang", "video_id").distinct(), "video_id").select("lang", "video_id", "md")
 
 
-@register("write_channel_state", O.sql("""
-SELECT s.channel_id AS channel, s.video_id, s.publish_date, s.title, s.subtitle_downloaded, s.info_downloaded,
-  s.has_no_subtitle, s.playlists,
-  coalesce(CASE WHEN CAST(regexp_extract(s.channel_id, '(\\d+)$', 1) AS INTEGER) % 3 = 0 THEN 'pt' END,
-           CASE WHEN CAST(regexp_extract(s.channel_id, '(\\d+)$', 1) AS INTEGER) % 2 = 0 THEN 'en' END)
-    AS detected_language
-FROM state_dedup s""", "state_dedup"))
+O.cte("state_files_written", """
+SELECT s.*, CASE WHEN n % 5 <> 0 THEN s.channel_id ELSE '@' || s.channel_id END AS doc_channel,
+  coalesce(CASE WHEN n % 3 = 0 THEN 'pt' END, CASE WHEN n % 2 = 0 THEN 'en' END) AS doc_language
+FROM (SELECT *, CAST(regexp_extract(channel_id, '(\\d+)$', 1) AS INTEGER) AS n FROM state_dedup) s""", ["state_dedup"])
+
+
+@register("write_channel_state", O.sql(f"""
+SELECT '{STATE_PREFIXES[0]}' || channel_id || '.json' AS file, doc_channel, doc_language AS detected_language,
+  video_id, publish_date, title, subtitle_downloaded, info_downloaded, has_no_subtitle, playlists, uploader, view_count
+FROM state_files_written""", "state_files_written"))
 def q_write_channel_state(spark, d):
-    """Merged state written as a snapshot (per-channel JSON lines + headers),
-    read back; the old language survives where no new one is given."""
-    from ..sources.sinks import read_channel_snapshot, write_channel_state
-    st = ST.dedup_state(X.fx_obs_rows(X.table(spark, d, "events"))).withColumn("state_channel", F.col("channel_id"))
-    n = F.regexp_extract("channel", r"(\d+)$", 1).cast("int")
-    chans = st.select(F.col("channel_id").alias("channel")).distinct().select(
-        "channel", F.when(n % 3 == 0, "pt").alias("detected_language"),
-        F.when(n % 2 == 0, "en").alias("old_language"))
+    """Observations written as one document for each channel, over older documents
+    (some under legacy names) and read back: rows merged by id; the channel given or from
+    the file's name; the old language where none is given; no other file left."""
+    from ..sources.documents import write_documents
+    from ..sources.sinks import write_channel_state
+    from ..sources.state_files import read_channel_state
     out = _scratch(spark, "state")
-    write_channel_state(st, chans, out)
-    vids, hdr = read_channel_snapshot(spark, out)
-    return (vids.join(hdr, vids["state_channel"] == hdr["channel"])
-            .select(F.col("state_channel").alias("channel"), "video_id", "publish_date", "title",
-                    "subtitle_downloaded", "info_downloaded", "has_no_subtitle",
-                    F.array_join("playlists", ",").alias("playlists"), "detected_language"))
+    rows = X.fx_obs_rows(X.table(spark, d, "events")).withColumn("state_channel", F.col("channel_id"))
+    n = F.regexp_extract("state_channel", r"(\d+)$", 1).cast("int")
+    name = F.concat(F.when(n % 4 == 0, STATE_PREFIXES[1]).otherwise(STATE_PREFIXES[0]), "state_channel", F.lit(".json"))
+    chans = rows.select("state_channel").distinct().select(
+        "state_channel", F.when(n % 5 != 0, F.col("state_channel")).alias("handle"), F.when(n % 2 == 0, name).alias("file"),
+        F.when(n % 3 == 0, "pt").alias("detected_language"))
+    old = chans.where("file is not null").select("file", F.lit(0).alias("k"), F.lit(
+        '{"channel": "old", "videos": [{"id": "gone"}], "detected_language": "en"}').alias("piece"))
+    write_documents(old, out, "k")
+    # ids are observed in several channels; the oracle's state has the first
+    own = ST.dedup_state(rows).select("video_id", "channel_id")
+    write_channel_state(rows.drop("state_channel").join(own.withColumnRenamed("channel_id", "state_channel"), "video_id"), chans, out)
+    return read_channel_state(spark, out, range_bytes=1 << 16).select(
+        F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "doc_channel", "detected_language", "video_id", "publish_date", "title",
+        "subtitle_downloaded", "info_downloaded", "has_no_subtitle", F.array_join("playlists", ",").alias("playlists"),
+        "uploader", "view_count")

@@ -61,10 +61,10 @@ def channel_sync(history: DataFrame, state: DataFrame, listing: DataFrame, files
 def regen_markdown(spark, root: str, state: DataFrame | None = None, note: str | None = None) -> DataFrame:
     """Offline regeneration (:func:`regen_documents`) of the caption files in ``root``
     and ``root/archive``. The texts are joined once, with the files to convert, by the
-    path as Spark's file metadata spells it."""
-    from ..sources.state_files import list_files
+    path."""
+    from ..sources.state_files import list_files, plain_path
     raw = (spark.read.option("pathGlobFilter", "*.srt").option("recursiveFileLookup", "true")
-           .text(root, wholetext=True).select(F.col("value").alias("srt"), F.col("_metadata.file_path").alias("uri")))
+           .text(root, wholetext=True).select(F.col("value").alias("srt"), plain_path(F.col("_metadata.file_path")).alias("uri")))
     return regen_documents(list_files(spark, root), raw, state, note)
 
 

@@ -21,10 +21,14 @@ from pyarrow import fs as pafs
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    """The filesystem of an address and the path in it."""
+    """The filesystem of an address and the path in it. Addresses are as Spark writes
+    them: names are not escaped."""
     local = re.sub(r"^file:/+", "/", path)
-    found, at = pafs.FileSystem.from_uri(local)
-    return found, at.rstrip("/")
+    m = re.match(r"([A-Za-z][A-Za-z0-9+.-]*://[^/]*)(/?.*)$", local, re.DOTALL)
+    if m is None:
+        return pafs.LocalFileSystem(), local.rstrip("/") or "/"
+    found, root = pafs.FileSystem.from_uri(m[1] + "/")
+    return found, (root.rstrip("/") + m[2]).rstrip("/")
 
 
 def names_in(files: pafs.FileSystem, folder: str) -> list[str]:

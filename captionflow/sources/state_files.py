@@ -5,11 +5,15 @@ text DataFrame); each ``read_*`` is the file source built on it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from ..session import stage_table
+from .ranges import RANGE_BYTES, file_ranges, folder_entries, json_records
 
 VIDEO_FIELDS = T.StructType([
     T.StructField("video_id", T.StringType()), T.StructField("id", T.StringType()),
@@ -60,12 +64,14 @@ def parse_listing_lines(lines: DataFrame, text_col: str = "value", ord_col: str
 
 
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
-    """Listing files (JSON lines). Each file is read whole so the line position is
-    exact; ``ord`` is the order key ``(file, line)``, unique over all files."""
-    f = (spark.read.text(path, wholetext=True)
-         .select(F.col("_metadata.file_path").alias("file"),
-                 F.posexplode(F.split("value", "\n")).alias("ord", "value")))
-    return parse_listing_lines(f.withColumn("ord", F.struct("file", F.col("ord").cast("long").alias("line"))), keep=("file",))
+    """Listing files (JSON lines), split like any text file. ``ord`` is the order key
+    ``(file, block, line)``: the file, the start of the split that holds the line, and the
+    line's place among those its task reads. It orders lines as they stand in the files
+    and is unique over all of them."""
+    f = spark.read.text(path).select(
+        "value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                          F.monotonically_increasing_id().alias("line")).alias("ord"))
+    return parse_listing_lines(f.withColumn("file", F.col("ord.file")), keep=("file",))
 
 
 # ------------------------------------------------------------------ state documents
@@ -77,9 +83,13 @@ def parse_state_documents(docs: DataFrame, text_col: str = "doc", path_col: str
     arr = F.from_json(F.col(text_col), T.ArrayType(VIDEO_FIELDS), _opts())
     d = docs.select(F.col(path_col).alias("path"), obj.alias("o"), arr.alias("a"))
     vids = F.coalesce(F.col("o.videos"), F.col("a"))
-    rows = d.select("path", F.col("o.channel").alias("doc_channel"),
-                    F.col("o.detected_language").alias("detected_language"),
-                    F.posexplode(vids).alias("pos", "v"))
+    return _state_rows(d.select("path", F.col("o.channel").alias("doc_channel"),
+                                F.col("o.detected_language").alias("detected_language"),
+                                F.posexplode(vids).alias("pos", "v")))
+
+
+def _state_rows(rows: DataFrame) -> DataFrame:
+    """(path, doc_channel, detected_language, pos, v) with the fields of ``v`` as columns."""
     return (rows.select("path", "doc_channel", "detected_language", F.col("pos").cast("long").alias("pos"),
                         F.coalesce(F.nullif(F.col("v.video_id"), F.lit("")), F.nullif(F.col("v.id"), F.lit("")))
                         .alias("video_id"),
@@ -87,10 +97,22 @@ def parse_state_documents(docs: DataFrame, text_col: str = "doc", path_col: str
             .filter(F.col("video_id").isNotNull()))
 
 
-def read_channel_state(spark: SparkSession, path: str) -> DataFrame:
-    docs = spark.read.text(path, wholetext=True).select(
-        F.col("value").alias("doc"), F.col("_metadata.file_path").alias("path"))
-    return parse_state_documents(docs)
+def read_channel_state(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """State documents (``*.json``) of a folder, or one: the rows of
+    :func:`parse_state_documents`. A document is read by byte ranges and each video's
+    object is a row of its own, so a document may be of any size; ``pos`` counts the
+    objects of its list. A document that breaks off gives no rows."""
+    found = stage_table(json_records(file_ranges(spark, path, ".json", range_bytes), "videos", ("channel", "detected_language")),
+                        "state-documents")
+    rows = found.where("field = 'videos'")
+    ahead = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n")) \
+        .select("file", "start", F.coalesce(F.sum("n").over(ahead), F.lit(0).cast("long")).alias("base"))
+    heads = found.where("field <> 'videos'").groupBy("file").agg(_last_string("channel"), _last_string("detected_language"))
+    return (rows.join(base, ["file", "start"]).join(heads, "file", "left")
+            .select(F.col("file").alias("path"), F.col("channel").alias("doc_channel"), "detected_language",
+                    (F.col("base") + F.col("nth")).alias("pos"), F.from_json("json", VIDEO_FIELDS, _opts()).alias("v"))
+            .transform(_state_rows))
 
 
 # ------------------------------------------------------------------ per-video metadata
@@ -117,6 +139,22 @@ def parse_video_info(docs: DataFrame, text_col: str = "doc", name_col: str = "na
         F.coalesce(F.nullif(F.col("m.uploader_id"), F.lit("")), F.col("m.channel_id")).alias("uploader_id")))
 
 
+def read_state_heads(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(file, channel, detected_language) of the state documents of a folder; the file's
+    name. Documents that are bare lists have neither."""
+    found = json_records(file_ranges(spark, path, ".json", range_bytes), "", ("channel", "detected_language")) \
+        .where("field <> ''")
+    return found.groupBy(F.regexp_extract("file", r"([^/]*)$", 1).alias("file")).agg(
+        _last_string("channel"), _last_string("detected_language"))
+
+
+def _last_string(field: str) -> Column:
+    """The last value of a document's field, if it is a string that is not empty."""
+    own = F.when(F.col("field") == field, F.col("json"))
+    last = F.max_by(own, F.when(own.isNotNull(), F.struct("start", "nth")))
+    return F.nullif(F.get_json_object(F.concat(F.lit('{"v":'), last, F.lit("}")), "$.v"), F.lit("")).alias(field)
+
+
 def read_video_info(spark: SparkSession, path: str, id_mode: str = "suffix") -> DataFrame:
     docs = spark.read.text(path, wholetext=True).select(
         F.col("value").alias("doc"), F.col("_metadata.file_name").alias("name"))
@@ -164,21 +202,23 @@ def describe_files(files: DataFrame, path_col: str = "path", mtime_col: str = "m
 
 
 def list_files(spark: SparkSession, root: str, exts=("srt", "md", "json")) -> DataFrame:
-    """Files of ``root`` and its direct sub-folders (except tool folders): path,
-    folder (relative to ``root``), name, id, language, extension, mtime. Content is never read (the
-    ``binaryFile`` source prunes the ``content`` column; it skips zero-length files)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    prefix = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
-    glob = "{" + ",".join(f"*.{e}" for e in exts) + "}"
-    df = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-          .load(root).select("path", F.col("modificationTime").cast("long").alias("mtime_s"),
-                             F.col("_metadata.file_path").alias("uri")))
-    rel = F.substring(F.col("path"), len(prefix) + 2, 1 << 30)
-    parts = F.split(rel, "/")
-    keep = (F.size(parts) == 1) | ((F.size(parts) == 2) & ~parts[0].isin(*SKIP_DIRS))
+    """Files of ``root`` and its direct sub-folders (except tool folders): path, folder
+    (relative to ``root``), name, id, language, extension, mtime. Tasks list the folders,
+    two levels and no deeper; contents are not read; empty files count. ``uri`` is the
+    path, as :func:`plain_path` gives it for a file that Spark reads."""
+    at = re.sub(r"^file:/+", "/", root).rstrip("/")
+    top = folder_entries(spark.createDataFrame([(at,)], "dir string"))
+    below = top.where(F.col("is_dir") & ~F.col("name").isin(*SKIP_DIRS)).select(F.col("path").alias("dir"))
+    found = top.union(folder_entries(below.repartition(spark.sparkContext.defaultParallelism, "dir")))
+    files = found.where(~F.col("is_dir") & F.regexp_extract("name", r"\.([^.]*)$", 1).isin(*exts))
     # folders relative to the root: "" for the root itself, e.g. "archive" below it
-    return describe_files(df.filter(keep)).withColumn("dir", F.regexp_extract(rel, r"^(.*)/[^/]*$", 1))
+    return describe_files(files.select("path", "mtime_s", F.col("path").alias("uri"))) \
+        .withColumn("dir", F.substring("dir", len(at) + 2, 1 << 30))
+
+
+def plain_path(address: Column) -> Column:
+    """The path of Spark's file metadata, with its escapes undone, without ``file:``."""
+    return F.regexp_replace(F.url_decode(F.replace(address, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
 
 
 def route_state_files(files: DataFrame, prefixes=STATE_PREFIXES, blacklist=BLACKLIST) -> DataFrame:
