@@ -382,9 +382,10 @@ PARTIAL_EXTRA = EXTRA
 
 
 def to_partial(rows: DataFrame, ord_col: str = "ord") -> DataFrame:
-    """Observation rows -> partial states (one per row)."""
+    """Observation rows -> partial states (one per row); the order key may be of any
+    orderable type."""
     r = conform(rows)
-    o = F.col(ord_col).cast("long")
+    o = F.col(ord_col)
     sd = ~S.is_weak_date("publish_date")
     st = ~S.is_weak_title("title")
     keys = F.transform(F.coalesce("playlists", F.array().cast("array<string>")),

@@ -38,9 +38,9 @@ def _sync(spark, d, batches):
     root = _scratch(spark, "stream-sync")
     events = X.table(spark, d, "events")
     per_batch = _write_files(X.fx_obs_rows(events), events.count(), batches, f"{root}/src", "json")
-    q = SS.stream_sync(spark, f"{root}/src", f"{root}/out", f"{root}/ckpt", per_batch)
+    q = SS.stream_sync(spark, f"{root}/src", f"{root}/ckpt", per_batch)
     q.awaitTermination()
-    return root, SS.read_snapshot(spark, f"{root}/out")
+    return root, SS.read_state(spark, f"{root}/ckpt")
 
 
 def _state_cols(df):
@@ -49,15 +49,15 @@ def _state_cols(df):
 
 @register("stream_sync", O.sql("SELECT * FROM state_dedup", "state_dedup"))
 def q_stream_sync(spark, d):
-    """Observation files streamed in about three batches; the final snapshot
+    """Observation files streamed in about three batches; the state in the state store
     equals the one-shot ``dedup_state``."""
     return _state_cols(_sync(spark, d, 3)[1])
 
 
 @register("stream_flush", O.sql("SELECT * FROM state_dedup", "state_dedup"))
 def q_stream_flush(spark, d):
-    """Nine smaller steps, each persisted: same final state as any other batch size."""
-    return _state_cols(_sync(spark, d, 9)[1])
+    """Smaller steps, each persisted: same final state as any other batch size."""
+    return _state_cols(_sync(spark, d, 6)[1])
 
 
 @register("stream_pending", O.sql(f"""
@@ -68,16 +68,48 @@ SELECT s.video_id,
     false) AS has_no_subtitle
 FROM state_dedup s LEFT JOIN outcomes o USING (video_id)""", "state_dedup", "outcomes"))
 def q_stream_pending(spark, d):
-    """Fetch outcomes streamed against the synced state; flags with the
-    maturity gate at a fixed ``as_of``."""
-    root, _ = _sync(spark, d, 1)
-    X.fx_outcomes(X.fx_obs(X.table(spark, d, "events"))).write.json(f"{root}/outcomes")
-    q = SS.stream_pending(spark, f"{root}/outcomes", f"{root}/pending", f"{root}/ckpt2", as_of=X.OUTCOME_AS_OF)
+    """Fetch outcomes streamed with the publish dates of the synced state; its flags with
+    the maturity gate at a fixed day."""
+    root, state = _sync(spark, d, 1)
+    outcomes = X.fx_outcomes(X.fx_obs(X.table(spark, d, "events")))
+    dated = outcomes.join(state.select("video_id", "publish_date"), "video_id").withColumn("at", F.to_timestamp(F.lit(X.OUTCOME_AS_OF)))
+    dated.write.json(f"{root}/outcomes")
+    q = SS.stream_pending(spark, f"{root}/outcomes", f"{root}/pending", f"{root}/ckpt2")
     q.awaitTermination()
-    s = SS.read_pending(spark, f"{root}/out", f"{root}/pending")
+    s = SS.apply_decisions(state, spark.read.schema(SS.DECISIONS).parquet(f"{root}/pending"))
     return s.select("video_id", "subtitle_downloaded", "has_no_subtitle")
 
 
+O.cte("dated_outcomes", f"""
+SELECT video_id, n, j, CAST(DATE '{X.FETCH_START}' + CAST(j * {X.FETCH_STEP} AS INTEGER) AS DATE) AS fetched,
+  (n + j) % 5 <> 0 AS ok, (n + j) % 4 = 3 AS has_caption,
+  CASE WHEN n % 13 <> 0 AND n % 17 <> 0 THEN CAST(DATE '2024-02-26' + CAST(n % 18 + 8 AS INTEGER) AS DATE) END AS due
+FROM (SELECT DISTINCT video_id, CAST(regexp_extract(video_id, '(\\d+)$', 1) AS BIGINT) AS n FROM obs),
+     (SELECT unnest(generate_series(0, {X.FETCH_ROUNDS - 1})) AS j)
+WHERE (n * 7 + j) % 3 <> 0""", ["obs"])
+
+
+@register("stream_retries", O.sql("""
+SELECT video_id, CASE WHEN has_caption THEN 'downloaded' ELSE 'closed' END AS decision, strftime(fetched, '%Y-%m-%d') AS day
+FROM dated_outcomes WHERE ok AND (has_caption OR due IS NULL OR fetched >= due)
+UNION ALL
+SELECT video_id, 'retry', strftime(due, '%Y-%m-%d') FROM (
+  SELECT video_id, due, arg_max(has_caption, fetched) FILTER (WHERE ok AND fetched < due) AS last_caption, max(fetched) AS last_seen
+  FROM dated_outcomes WHERE due IS NOT NULL GROUP BY ALL)
+WHERE NOT last_caption AND (due <= (SELECT max(fetched) FROM dated_outcomes) - 1 OR last_seen >= due)""", "dated_outcomes"))
+def q_stream_retries(spark, d):
+    """Fetches of several days streamed in batches that cut the days: what each decides,
+    and the retries that timers emit when a waiting video is old enough."""
+    root = _scratch(spark, "stream-pending")
+    obs = X.fx_obs(X.table(spark, d, "events"))
+    for j in range(X.FETCH_ROUNDS):
+        X.fx_dated_outcomes(obs, j).repartition(2).write.json(f"{root}/src/round={j}")
+    q = SS.stream_pending(spark, f"{root}/src/*", f"{root}/out", f"{root}/ckpt", files_per_trigger=3)
+    q.awaitTermination()
+    return spark.read.schema(SS.DECISIONS).parquet(f"{root}/out").select(
+        "video_id", "decision", F.date_format("at", "yyyy-MM-dd").alias("day"))
+
+
 @register("stream_topics", O.sql("SELECT * FROM markdown", "markdown"))
 def q_stream_topics(spark, d):
     """Caption files streamed in about four batches -> Markdown fragments, equal to

@@ -149,6 +149,22 @@ def fx_outcomes(obs: DataFrame) -> DataFrame:
                     (n % 3 != 0).alias("has_caption")))
 
 
+#: Days between the rounds of FX-DATED, and the first round's day.
+FETCH_ROUNDS, FETCH_STEP, FETCH_START = 4, 4, "2024-03-05"
+
+
+def fx_dated_outcomes(obs: DataFrame, j: int) -> DataFrame:
+    """FX-DATED: the fetches of round ``j``, with the publish date that the plan knows:
+    two thirds of the videos, some failing, a quarter with a caption."""
+    n = F.regexp_extract("video_id", r"(\d+)$", 1).cast("long")
+    day = F.date_add(F.to_date(F.lit(FETCH_START)), j * FETCH_STEP)
+    return (obs.select("video_id").distinct().filter((n * 7 + j) % 3 != 0)
+            .select("video_id", F.when(n % 13 == 0, "N/A").when(n % 17 != 0, F.date_format(F.date_add(
+                F.to_date(F.lit("2024-02-26")), (n % 18).cast("int")), "yyyy-MM-dd")).alias("publish_date"),
+                    F.when((n + j) % 5 == 0, 1).otherwise(0).alias("exit_code"), ((n + j) % 4 == 3).alias("has_caption"),
+                    day.cast("timestamp").alias("at")))
+
+
 def fx_obs_rows(events: DataFrame) -> DataFrame:
     """FX-OBS as state rows: the observation's playlist as a one-element list."""
     o = fx_obs(events)

@@ -153,26 +153,6 @@ def test_folders_are_listed_two_levels_deep(spark):
     assert read == f"{d}/with space/f+g%20.srt"
 
 
-def test_outcomes_before_the_state(spark):
-    root = folder("pending")
-    outcomes = spark.createDataFrame([("v", 0, True), ("w", 0, False), ("young", 0, False), ("x", 1, False)], SS.OUTCOME_SCHEMA)
-    SS.pending_batch(outcomes, 0, f"{root}/pending", "2024-06-01")
-    assert SS.read_pending(spark, f"{root}/state", f"{root}/pending") is None
-    rows = spark.createDataFrame([("v", 1, "2024-01-01"), ("w", 2, "2024-01-01"), ("young", 3, "2024-05-30"), ("x", 4, None)],
-                                 "video_id string, ord long, publish_date string")
-    SS.merge_batch(rows, 0, f"{root}/state")
-    got = {r.video_id: (r.subtitle_downloaded, r.has_no_subtitle) for r in SS.read_pending(spark, f"{root}/state", f"{root}/pending").collect()}
-    assert got == {"v": (True, False), "w": (False, True), "young": (False, False), "x": (False, False)}
-
-
-def test_compaction_drops_what_it_replaced(spark):
-    root = folder("compact")
-    for k in range(6):
-        SS.merge_batch(spark.createDataFrame([(f"v{k}", k, f"t{k}")], "video_id string, ord long, title string"), k, root, compact_every=2)
-    assert SS.read_state(spark, root).count() == 6
-    assert len(os.listdir(os.path.join(root, "base"))) == 2 and len(os.listdir(os.path.join(root, "delta"))) < 6
-
-
 def test_repeated_outcomes_give_one_row(spark):
     plan = spark.createDataFrame([("v", "fetch", "2024-01-01", False, False)], "video_id string, action string, publish_date string, "
                                  "subtitle_downloaded boolean, has_no_subtitle boolean")
