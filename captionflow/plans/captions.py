@@ -11,7 +11,7 @@ from ..operators import captions as C
 from ..operators import topics as T
 from ..operators import transcript as TR
 from ..functions import scalars as S
-from ..session import stage_table
+from ..session import CLUSTERED_JOINS, drop_staged, stage_buckets, stage_clustered
 
 
 @dataclass
@@ -23,27 +23,30 @@ class CaptionTables:
     # Stage the tables that feed several branches (fold output, windows, TF-IDF,
     # segments) as parquet in the checkpoint folder: each branch then scans one
     # table instead of re-running a copy of the upstream plan, and a lost
-    # executor never re-runs the Python fold.
+    # executor never re-runs the Python fold. All of them are bucketed by video, as
+    # the fold's one shuffle has dealt the cues: whatever is keyed by a video and
+    # more (window, term, segment) needs no further shuffle.
     materialize: bool = True
+    buckets: int | None = None
 
     def __post_init__(self):
         self._cache: dict[str, DataFrame] = {}
+        if self.materialize:
+            self.buckets = self.buckets or stage_buckets(self.cues)
+            self.cues.sparkSession.conf.set(*CLUSTERED_JOINS)
 
     def _get(self, name, build, stage: bool = False):
         if name not in self._cache:
             df = build()
             if stage and self.materialize:
-                df = stage_table(df, name)
+                df = stage_clustered(df, name, self.buckets, "video_id")
             self._cache[name] = df
         return self._cache[name]
 
     def cleanup(self) -> None:
         """Delete the staged tables of this run (call after its results are written)."""
-        from ..session import drop_table_path
         for df in self._cache.values():
-            path = getattr(df, "_staged_path", None)
-            if path:
-                drop_table_path(df.sparkSession, path)
+            drop_staged(df)
         self._cache.clear()
 
     @property
@@ -53,7 +56,7 @@ class CaptionTables:
 
     @property
     def cue_windows(self):
-        return self._get("cue_windows", lambda: C.clean_and_window(self.cues, elapsed=self.elapsed), stage=True)
+        return self._get("cue_windows", lambda: C.clean_and_window(self.cues, elapsed=self.elapsed, partitions=self.buckets), stage=True)
 
     @property
     def windows(self):

@@ -81,6 +81,43 @@ def stage_table(df, name: str):
     return out
 
 
+def stage_buckets(df) -> int:
+    """How many buckets to stage a table of this plan's size in: at least the cluster's
+    parallelism, at most the session's shuffle partitions. Only a matter of parallelism."""
+    spark = df.sparkSession
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, max(spark.sparkContext.defaultParallelism, estimate // (32 << 20))))
+
+
+def stage_clustered(df, name: str, buckets: int, *by: str):
+    """Like :func:`stage_table`, in ``buckets`` buckets by the hash of ``by``: joins,
+    aggregates and windows on keys that hold ``by`` read it back without a shuffle. Joins
+    on more keys than ``by`` count on ``CLUSTERED_JOINS`` for that."""
+    import uuid
+    spark = df.sparkSession
+    tag = uuid.uuid4().hex
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{name}-{tag}"
+    table = f"stage_{name.replace('-', '_')}_{tag}"
+    df.write.mode("error").format("parquet").bucketBy(buckets, *by).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._staged_path, out._staged_table = path, table
+    return out
+
+
+#: With this setting a join on (video, window) uses sides that are both dealt by video.
+CLUSTERED_JOINS = ("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
+def drop_staged(df) -> None:
+    """Delete a staged table, with its entry in the catalog if it has one."""
+    spark = df.sparkSession
+    if getattr(df, "_staged_table", None):
+        spark.sql(f"DROP TABLE IF EXISTS {df._staged_table}")
+    if getattr(df, "_staged_path", None):
+        drop_table_path(spark, df._staged_path)
+
+
 def drop_table_path(spark: SparkSession, path: str) -> None:
     """Delete a staged table folder (shared storage, through Hadoop's FileSystem)."""
     jvm = spark.sparkContext._jvm
