@@ -3,6 +3,8 @@ operators whose default mode has a query of its own, with oracles."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -13,7 +15,7 @@ from . import oracle_sql as O
 from . import registry_files  # noqa: F401  (its oracle tables are used below)
 from . import registry_state as RS
 from .registry import register
-from .sync import channel_sync, regen_documents
+from .sync import channel_sync, regen_documents, sync_folder
 
 # ------------------------------------------------------------------ channel sync
 O.cte("cs_obs", "SELECT * FROM obs_rows WHERE subtitle_downloaded", ["obs_rows"])
@@ -88,7 +90,7 @@ FROM cs_state s LEFT JOIN (
   FROM orders WHERE o_orderkey % 12 = 0 OR o_orderkey % 20 = 0 GROUP BY ALL) p USING (video_id)""", ["cs_state"])
 
 
-@register("channel_sync", O.sql(f"""
+O.cte("cs_synced", f"""
 SELECT p.video_id, p.channel_id, p.title, p.publish_date, p.duration_s, p.channel, p.view_count, p.playlists, p.action,
   CASE WHEN p.action <> 'fetch' THEN 'skipped' WHEN o.exit_code IS NULL THEN 'pending'
        WHEN o.exit_code = 0 AND o.has_caption THEN 'downloaded' WHEN o.exit_code = 0 THEN 'skipped'
@@ -99,22 +101,54 @@ SELECT p.video_id, p.channel_id, p.title, p.publish_date, p.duration_s, p.channe
   p.has_no_subtitle OR coalesce(p.action = 'fetch' AND o.exit_code = 0 AND NOT o.has_caption
     AND coalesce(date_diff('day', try_strptime(p.publish_date, '%Y-%m-%d')::DATE, DATE '{RS.AS_OF}') > 7, true), false)
     AS has_no_subtitle
-FROM cs_plan p LEFT JOIN outcomes o USING (video_id)""", "cs_plan", "outcomes"))
+FROM cs_plan p LEFT JOIN outcomes o USING (video_id)""", ["cs_plan", "outcomes"])
+
+
+def _sync_inputs(spark, d):
+    events, orders = X.table(spark, d, "events"), X.table(spark, d, "orders")
+    return (RS._history(spark, d), X.fx_listing_by_customer(orders), SF.describe_files(X.fx_listing_files(orders)),
+            {"outcomes": X.fx_outcomes(X.fx_obs(events)), "legacy_logs": SF.parse_log_lines(X.fx_log_lines(events)),
+             "channel_name": RS.CHANNEL_NAME, "playlist": RS.PLAYLIST_CTX, "as_of": RS.AS_OF, "info": RS._info(spark, d),
+             "recovered": RS._recovered(spark, d)})
+
+
+def _stored(spark, d):
+    return ST.dedup_state(X.fx_obs_rows(X.table(spark, d, "events")).filter("subtitle_downloaded"))
+
+
+@register("channel_sync", O.sql("SELECT * FROM cs_synced", "cs_synced"))
 def q_channel_sync(spark, d):
     """One whole channel sync: listing into the stored state (the videos that have
     captions), import from history, legacy logs, metadata, second source, plan against
     the files on disk, outcomes."""
-    events, orders = X.table(spark, d, "events"), X.table(spark, d, "orders")
-    stored = ST.dedup_state(X.fx_obs_rows(events).filter("subtitle_downloaded"))
-    r = channel_sync(
-        RS._history(spark, d), stored, X.fx_listing_by_customer(orders),
-        SF.describe_files(X.fx_listing_files(orders)), outcomes=X.fx_outcomes(X.fx_obs(events)),
-        legacy_logs=SF.parse_log_lines(X.fx_log_lines(events)), channel_name=RS.CHANNEL_NAME, playlist=RS.PLAYLIST_CTX,
-        as_of=RS.AS_OF, info=RS._info(spark, d), recovered=RS._recovered(spark, d))
+    history, listing, files, options = _sync_inputs(spark, d)
+    r = channel_sync(history, _stored(spark, d), listing, files, **options)
     return r.outcomes.select("video_id", "channel_id", "title", "publish_date", "duration_s", "channel", "view_count",
                              F.array_join("playlists", ",").alias("playlists"), "action", "outcome", *ST.FLAGS)
 
 
+@register("channel_sync_saved", O.sql("""
+SELECT video_id, title, publish_date, duration_s, channel, view_count, playlists, info_downloaded, subtitle_downloaded,
+  has_no_subtitle, '@main' AS doc_channel, 'es' AS detected_language FROM cs_synced""", "cs_synced"))
+def q_channel_sync_saved(spark, d):
+    """The same sync from and to the channel's state document in a folder: written by the
+    first sync under its legacy name, run, written again and read back."""
+    from ..session import ensure_checkpoint_dir
+    from ..sources.documents import write_documents
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sync-{uuid.uuid4().hex}"
+    stored = _stored(spark, d)
+    video = F.to_json(F.struct(*[c for c in stored.columns if c != "ord"]))
+    ends = spark.range(2).select(F.lit(0).cast("long").alias("ord"), (F.col("id") * 2).cast("int").alias("part"),
+                                 F.when(F.col("id") == 0, '{"detected_language": "es", "videos": [').otherwise("]}").alias("piece"))
+    rows = stored.select("ord", F.lit(1).alias("part"), video.alias("piece")).unionByName(ends)
+    write_documents(rows.withColumn("file", F.lit(f"{SF.STATE_PREFIXES[1]}main.json")), folder, "ord", separator=",")
+    history, listing, files, options = _sync_inputs(spark, d)
+    sync_folder(spark, folder, "main", history, listing, files, **options)
+    return SF.read_channel_state(spark, folder).select(
+        "video_id", "title", "publish_date", "duration_s", "channel", "view_count", F.array_join("playlists", ",").alias("playlists"),
+        *ST.FLAGS, "doc_channel", "detected_language")
+
+
 # ------------------------------------------------------------------ offline regeneration
 def _regen_oracle() -> str:
     """The caption oracle with files in place of videos: cues, titles and addresses."""

@@ -41,9 +41,12 @@ def channel_sync(history: DataFrame, state: DataFrame, listing: DataFrame, files
     target = ST.target_channel(listing, history)
     merged = ST.upsert_listing(state, listed, playlist)
     imported = ST.reverse_import(merged.select("video_id"), history, target, channel_name)
-    # imported ids are not among the channel's own, and each occurs once in the history
-    base = ST.conform(merged.drop("src", "ord"))
-    full = base.unionByName(ST.conform(imported.drop("ord")).select(*base.columns))
+    # imported ids are not among the channel's own, and each occurs once in the history;
+    # a document lists them after the channel's own, each in its source's order
+    base = ST.conform(merged.drop("src").withColumnRenamed("ord", "_own"))
+    full = base.unionByName(ST.conform(imported).withColumnRenamed("ord", "_imported").select(
+        *[c for c in base.columns if c != "_own"], "_imported"), allowMissingColumns=True)
+    full = full.withColumn("ord", F.struct(F.col("_own").isNull().alias("imported"), "_own", "_imported")).drop("_own", "_imported")
     if legacy_logs is not None:
         full = ST.apply_legacy_flags(full, legacy_logs).drop("flips")
     if info is not None:
@@ -58,6 +61,55 @@ def channel_sync(history: DataFrame, state: DataFrame, listing: DataFrame, files
     return SyncResult(full, plan, applied, ST.session_summary(applied))
 
 
+def state_after(result: SyncResult) -> DataFrame:
+    """The channel's state with the flags that the outcomes of its working set set."""
+    if result.outcomes is None:
+        return result.state
+    flags = result.outcomes.select("video_id", *[F.col(f).alias(f"_{f}") for f in ST.FLAGS])
+    return (result.state.join(flags, "video_id", "left")
+            .withColumns({f: F.coalesce(f"_{f}", f) for f in ST.FLAGS}).drop(*[f"_{f}" for f in ST.FLAGS]))
+
+
+def sync_folder(spark, folder: str, channel: str, history: DataFrame, listing: DataFrame, files: DataFrame, *,
+                handle: str | None = None, tags: DataFrame | None = None, language: str | None = None,
+                **options) -> SyncResult:
+    """A channel sync from and to the channel's state document in ``folder``.
+
+    The document is the one :func:`~captionflow.sources.state_files.pick_state_file` names.
+    Its rows are the stored state; the language is ``language``, else the document's, else
+    that of ``tags`` (channel, ord, tag), else the default; the state with its new flags is
+    written as the document again (:func:`~captionflow.sources.sinks.write_channel_state`).
+    So a sync can be run again from what it wrote. ``options`` go to :func:`channel_sync`.
+    """
+    from ..session import drop_staged, stage_table
+    from ..sources.sinks import write_channel_state
+    from ..sources.state_files import list_files, pick_state_file, read_channel_state
+
+    here = folder.rstrip("/")
+    picked = pick_state_file(list_files(spark, here).filter("dir = ''"), channel).first()
+    file = picked["path"].rsplit("/", 1)[-1] if picked is not None and not picked["is_new"] else None
+    if file is not None:
+        rows = stage_table(read_channel_state(spark, f"{here}/{file}"), "stored-state")
+        stored_lang = rows.agg(F.max("detected_language").alias("l")).first()["l"]
+        state = rows.withColumn("ord", F.col("pos")).drop("path", "doc_channel", "detected_language", "pos")
+    else:
+        rows, stored_lang = None, None
+        state = ST.conform(spark.createDataFrame([], "video_id string, ord long"))
+    result = channel_sync(history, state, listing, files, **options)
+    one = spark.createDataFrame([(channel, stored_lang)], "channel string, stored_lang string")
+    if stored_lang is None:  # N/A: nothing stored
+        one = one.withColumn("stored_lang", F.lit("N/A"))
+    detected = ST.detect_language(tags.filter(F.col("channel") == channel)) if tags is not None \
+        else spark.createDataFrame([], "channel string, lang string")
+    lang = ST.resolve_language(one, detected, language).select(
+        F.col("channel").alias("state_channel"), F.lit(handle).cast("string").alias("handle"), F.lit(file).cast("string").alias("file"),
+        F.col("lang").alias("detected_language"))
+    after = stage_table(state_after(result), "synced-state")
+    write_channel_state(after.withColumn("state_channel", F.lit(channel)), lang, here)
+    drop_staged(after)
+    return result
+
+
 def regen_markdown(spark, root: str, state: DataFrame | None = None, note: str | None = None) -> DataFrame:
     """Offline regeneration (:func:`regen_documents`) of the caption files in ``root``
     and ``root/archive``. The texts are joined once, with the files to convert, by the

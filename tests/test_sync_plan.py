@@ -64,3 +64,37 @@ def test_regen_markdown_per_file(spark):
     for k, name in enumerate(names[:6]):
         body = "".join(r.fragment for r in frags if r.video_id.endswith(os.path.basename(d) + "/" + name) and r.part == 5)
         assert f"word{k}x0".lower() in body.lower() and not any(f"word{j}x" in body.lower() for j in range(8) if j != k)
+
+
+def test_sync_runs_again_from_what_it_wrote(spark):
+    """The second sync reads the first's document: what was fetched is done, what was
+    closed stays closed, the language stays, nothing is lost."""
+    import json
+    import os
+    import tempfile
+    from captionflow.plans.sync import sync_folder
+    d = tempfile.mkdtemp(prefix="sync-", dir="/tmp")
+    listing = spark.createDataFrame([("vidaaaaaaaa", 1, "A", "20240101", None), ("vidbbbbbbbb", 2, "B", "20240102", None),
+                                     ("vidcccccccc", 3, "C", "20240530", None), ("viddddddddd", 4, "D", None, None)],
+                                    "video_id string, ord long, title string, upload_date string, epoch_s long")
+    history = spark.createDataFrame([("vidaaaaaaaa", 9, "ch", "@u"), ("videeeeeeee", 7, "ch", "@u")], "video_id string, ord long, channel_id string, uploader_id string")
+    history = ST.merge_videos(history)
+    files = spark.createDataFrame([], "video_id string, path string")
+    tags = spark.createDataFrame([("c", 1, "en-US"), ("c", 2, "en"), ("x", 1, "fr")], "channel string, ord long, tag string")
+    outcomes = spark.createDataFrame([("vidaaaaaaaa", 0, True), ("vidbbbbbbbb", 0, False), ("vidcccccccc", 0, False), ("viddddddddd", 1, False)],
+                                     "video_id string, exit_code int, has_caption boolean")
+    first = sync_folder(spark, d, "c", history, listing, files, outcomes=outcomes, as_of="2024-06-01", tags=tags)
+    assert {r.video_id: r.action for r in first.plan.collect()} == dict.fromkeys(
+        ["vidaaaaaaaa", "vidbbbbbbbb", "vidcccccccc", "viddddddddd", "videeeeeeee"], "fetch")
+    name, = os.listdir(d)
+    doc = json.load(open(os.path.join(d, name)))
+    assert name == f"{SF.STATE_PREFIXES[0]}c.json" and doc["detected_language"] == "en" and doc["channel"] == "@c"
+    assert [v["video_id"] for v in doc["videos"]] == ["vidaaaaaaaa", "vidbbbbbbbb", "vidcccccccc", "viddddddddd", "videeeeeeee"]
+    new = listing.limit(0).union(spark.createDataFrame([("vidffffffff", 1, "F", "20240601", None)], listing.schema))
+    second = sync_folder(spark, d, "c", history, new, files, as_of="2024-06-02")
+    assert {r.video_id: r.action for r in second.plan.collect()} == {
+        "vidaaaaaaaa": "skip_done", "vidbbbbbbbb": "skip_no_subtitle", "vidcccccccc": "fetch", "viddddddddd": "fetch",
+        "videeeeeeee": "fetch", "vidffffffff": "fetch"}
+    again = json.load(open(os.path.join(d, name)))
+    assert [v["video_id"] for v in again["videos"]][-1] == "vidffffffff" and again["videos"][:5] == doc["videos"]
+    assert again["detected_language"] == "en"
