@@ -2,7 +2,8 @@
 
 The whole text is scanned; then every encoded stretch (URL escapes, Unicode escapes,
 base64, and compressed bytes inside base64) is unwrapped into a new layer, which is
-scanned and unwrapped in turn until nothing new appears. A layer whose content was
+scanned and unwrapped in turn until nothing new appears. What cannot be decoded in a
+stretch is replaced, not a reason to leave the rest. A layer whose content was
 seen before is not opened again, so encodings that contain themselves end. Every
 character of a layer keeps the span of the original text that it came from; findings
 are reported as spans of the original text.
@@ -12,7 +13,9 @@ from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import hashlib
+import io
 import itertools
 import lzma
 import re
@@ -35,17 +38,22 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 MIN_VALUE, MIN_ACCESS = 8, 16
 
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
-UNICODE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})")
+UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
+UNICODE_ONE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Runs over single line ends, as in MIME and PEM.
-BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}")
-#: A compressed layer may grow to this many bytes; one that would not end there is
-#: counted (``n_unopened``) and scanned in overlapping pieces, so a bomb cannot fill a
-#: worker, up to ``MAX_STREAM_BYTES``. Redaction takes out its run whole.
-MAX_LAYER_BYTES = 1 << 25
-MAX_STREAM_BYTES = 1 << 30
-PIECE, OVERLAP = 1 << 23, 1 << 16
+#: Runs over single line ends, as in MIME, PEM and quoted mail, of lines of any width.
+BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{4,}\r?\n[\x20\t>]*)+[A-Za-z0-9+/_-]+={0,2}")
+LEAST_BASE64 = 16
+#: Compressed layers are streams: they are decoded in pieces of this many bytes, whatever
+#: their size, and so are compressed layers in them. A piece is cut behind the last sign
+#: that no finding and no encoding has; what follows is carried over to the next piece.
+PIECE = 1 << 23
+#: Bounds that keep a decompression bomb from filling a worker or its time: one unbroken
+#: run of signs in a stream, in characters, and all bytes decoded from one run of the text.
+#: What exceeds them is counted (``n_unopened``), and redaction takes the run out whole.
+MAX_RUN, MAX_DECODED = 1 << 26, 1 << 32
+#: The signs of findings and encodings.
+RUN_SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=:\"'%\\{}- \r\n\t>"
 REDACTED = "[SECRET]"
 
 
@@ -95,18 +103,14 @@ class Layer:
         return Layer("".join(text), np.concatenate(first), np.concatenate(last))
 
 
-def _from_url(run: str) -> str | None:
-    try:
-        return bytes.fromhex(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def _from_url(run: str) -> str:
+    return bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace")
 
 
-def _from_unicode(run: str) -> str | None:
-    points = [int(a or b or c, 16) for a, b, c in UNICODE_ONE.findall(run)]
-    if any(p > 0x10FFFF for p in points):
-        return None
-    return "".join(map(chr, points)).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+def _from_unicode(run: str) -> str:
+    points = [int(max(m), 16) for m in UNICODE_ONE.findall(run)]
+    text = "".join(chr(p) if p <= 0x10FFFF else "\N{REPLACEMENT CHARACTER}" for p in points)
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 #: Where compressed bytes may start inside other bytes.
@@ -114,34 +118,62 @@ COMPRESSED_INSIDE = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\
 COMPRESSED = re.compile(rb"\x1f\x8b|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01-\xff]", re.DOTALL)
 
 
-def _inflated(data: bytes) -> Iterator[bytes]:
+class _Source(io.RawIOBase):
+    """Pieces of bytes as a file."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.rest = pieces, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        while not self.rest:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.rest = piece
+        n = min(len(out), len(self.rest))
+        out[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
+
+def _inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
     """The content of gzip, zlib, bzip2, xz or zstandard bytes, of all members one after
-    the other, in pieces of at most ``PIECE`` bytes; nothing for others. Of broken
-    members what comes before the fault."""
+    the other, in pieces; nothing for others. Of broken members what comes before the
+    fault; after the last member what follows it."""
+    data, members = next(pieces, b""), 0
+    while len(data) < 16 and (more := next(pieces, None)) is not None:
+        data += more
     try:
         while COMPRESSED.match(data):
+            members += 1
             if data[:4] == b"\x28\xb5\x2f\xfd":
                 import zstandard
-                reader = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True)
+                source = _Source(itertools.chain([data], pieces))
+                reader = zstandard.ZstdDecompressor().stream_reader(source, read_across_frames=True)
                 while out := reader.read(PIECE):
                     yield out
                 return
             if data[:1] in b"\x1f\x78":
                 d = zlib.decompressobj(47)  # gzip or zlib
-                rest = data
-                while rest and not d.eof:
-                    out, rest = d.decompress(rest, PIECE), d.unconsumed_tail
-                    yield out
             else:
                 d = bz2.BZ2Decompressor() if data[:3] == b"BZh" else lzma.LZMADecompressor()
-                yield d.decompress(data, PIECE)
-                while not d.eof and not d.needs_input:
-                    yield d.decompress(b"", PIECE)
-            if not d.eof:
-                return
+            is_zlib = hasattr(d, "unconsumed_tail")
+            while not d.eof:
+                out = d.decompress(data, PIECE)
+                data = d.unconsumed_tail if is_zlib else b""
+                if out:
+                    yield out
+                if not d.eof and not data and (is_zlib or d.needs_input):
+                    if (data := next(pieces, b"")) == b"":
+                        return
             data = d.unused_data.lstrip(b"\0")  # members may be padded
-        if data:  # what follows the last member
+            while len(data) < 16 and (more := next(pieces, None)) is not None:
+                data = (data + more).lstrip(b"\0")
+        if members and data:
             yield data
+            yield from pieces
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
         return
     except Exception as e:
@@ -149,35 +181,78 @@ def _inflated(data: bytes) -> Iterator[bytes]:
             raise
 
 
-def _contents(data: bytes) -> Iterator[bytes | None]:
-    """The bytes themselves, or what they are compressed from, through any number of
-    layers. A layer that is too large gives None, then its overlapping pieces."""
-    seen = set()
-    while (digest := hashlib.sha256(data).digest()) not in seen:
-        seen.add(digest)
-        if not COMPRESSED.match(data):
-            break
-        pieces, size, stream = [], 0, _inflated(data)
-        for piece in stream:
-            pieces.append(piece)
-            size += len(piece)
-            if size >= MAX_LAYER_BYTES:
-                yield None
-                tail = b""
-                for piece in itertools.chain(pieces, stream):
-                    yield tail + piece
-                    tail = (tail + piece)[-OVERLAP:]
-                    size += len(piece)
-                    if size >= MAX_STREAM_BYTES + MAX_LAYER_BYTES:
-                        break
+class TooMuch(Exception):
+    """More bytes than one run may decode to."""
+
+
+def _contents(data: bytes) -> Iterator[str | None]:
+    """The texts of what bytes are compressed from, through any number of layers; None
+    stands for a run that is too long. Layers that fit one piece are compared with those
+    before, so bytes that are compressed from themselves end; larger ones end by size."""
+    decoded, seen, level = 0, {hashlib.sha256(data).digest()}, iter([data])
+
+    def counted(pieces: Iterator[bytes]) -> Iterator[bytes]:
+        nonlocal decoded
+        for piece in pieces:
+            decoded += len(piece)
+            if decoded > MAX_DECODED:
+                raise TooMuch
+            yield piece
+    try:
+        while True:
+            pieces = counted(_inflated(level))
+            first = next(pieces, None)
+            if first is None:
                 return
-        if not size:
-            break
-        data = b"".join(pieces)
-    yield data
+            second = next(pieces, None)
+            if second is None:
+                digest = hashlib.sha256(first).digest()
+                if digest in seen:
+                    return
+                seen.add(digest)
+                yield from _texts_of(first)
+                level = iter([first])
+            elif COMPRESSED.match(first):
+                level = itertools.chain([first, second], pieces)
+            else:
+                yield from _segments(itertools.chain([first, second], pieces))
+                return
+            if not COMPRESSED.match(first):
+                return
+    except TooMuch:
+        yield None
+
+
+def _segments(pieces: Iterator[bytes]) -> Iterator[str | None]:
+    """The text of a stream in segments, cut where no finding or encoding can go on, and
+    that without its NULs if it has any; None where a run is too long."""
+    for_plain, for_wide = (codecs.getincrementaldecoder("utf-8")("replace") for _ in range(2))
+    held, wide, nuls = "", "", False
+
+    def cut(text: str) -> tuple[str, str]:
+        kept = text.rstrip(RUN_SIGNS)
+        return kept, text[len(kept):]
+    for piece in pieces:
+        nuls = nuls or b"\0" in piece
+        done, held = cut(held + for_plain.decode(piece))
+        yield done
+        if nuls:
+            done, wide = cut(wide + for_wide.decode(piece.replace(b"\0", b"")))
+            yield done
+        else:
+            wide = held
+            for_wide.setstate(for_plain.getstate())
+        if max(len(held), len(wide)) > MAX_RUN:
+            yield None
+            yield held  # its parts are scanned all the same
+            yield wide
+            held = wide = ""
+    yield held
+    if nuls:
+        yield wide
 
 
-BASE64_SIGNS = str.maketrans("-_", "+/", "=\r\n\t ")
+BASE64_SIGNS = str.maketrans("-_", "+/", "=\r\n\t >")
 
 
 def _base64_bytes(body: str) -> bytes:
@@ -194,15 +269,11 @@ def _texts_of(data: bytes) -> Iterator[str]:
 
 
 def _opened(data: bytes) -> Iterator[str | None]:
-    """The texts of bytes and of what they are compressed from; None stands for a layer
-    that is too large, whose pieces follow."""
+    """The texts of bytes and of what they are compressed from; None stands for what is
+    too large."""
     yield from _texts_of(data)
     if COMPRESSED.match(data):
-        for content in _contents(data):
-            if content is None:
-                yield None
-            elif content is not data:
-                yield from _texts_of(content)
+        yield from _contents(data)
 
 
 def _is_text(data: bytes) -> bool:
@@ -226,6 +297,8 @@ def _from_base64(run: str) -> Iterator[str | None]:
     signs may be in front: then it is read at its four alignments, with any bytes before
     the text or the compressed bytes. What is no text gives signs that no finding has."""
     body = run.translate(BASE64_SIGNS)
+    if len(body) < LEAST_BASE64:
+        return
     data = _base64_bytes(body)
     if _is_text(data) and len(body) % 4 != 1:
         yield from _opened(data)
@@ -235,16 +308,14 @@ def _from_base64(run: str) -> Iterator[str | None]:
         yield from _opened(data)
         for m in COMPRESSED_INSIDE.finditer(data):
             if m.start() and _starts(data[m.start():m.start() + 256]):
-                yield from itertools.islice(_opened(data[m.start():]), 1, None)
+                yield from _contents(data[m.start():])
 
 
 def _unwrapped(layer: Layer):
-    """The layers one decoding below, and the span of one that is too large before the
-    layers of its pieces."""
+    """The layers one decoding below, and the spans of runs with more than is opened."""
     for mark, pattern, decode in (("%", URL_RUN, _from_url), ("\\", UNICODE_RUN, _from_unicode)):
         if mark in layer.text:
-            parts = [(m.start(), m.end(), new) for m in pattern.finditer(layer.text)
-                     if (new := decode(m[0])) is not None]
+            parts = [(m.start(), m.end(), decode(m[0])) for m in pattern.finditer(layer.text)]
             if parts:
                 yield layer.replaced(parts)
     for m in itertools.chain(BASE64_RUN.finditer(layer.text), BASE64_LINES.finditer(layer.text)):
@@ -254,18 +325,20 @@ def _unwrapped(layer: Layer):
 
 
 def scan_layers(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """(base findings, all findings, spans of the layers that were too large) of a text;
-    findings are (start, kind, end) in code points of the text, sorted, none twice."""
+    """(base findings, all findings, spans of the runs not opened in full) of a text;
+    findings are (start, kind, end) in code points of the text, sorted, none twice. Large
+    layers come as segments, one at a time."""
     base = base_findings(text)
     found, seen, large = set(base), set(), []
-    work = [_unwrapped(Layer(text))]  # one layer of a large one's pieces at a time
+    work = [_unwrapped(Layer(text))]
     while work:
         below = next(work[-1], None)
         if below is None:
             work.pop()
             continue
         if isinstance(below, tuple):
-            large.append(below)
+            if below not in large:
+                large.append(below)
             continue
         where = (below.first, below.last) if isinstance(below.first, int) else None
         key = (hashlib.sha256(below.text.encode("utf-8", "surrogatepass")).digest(), where)
@@ -280,7 +353,7 @@ def scan_layers(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
-    """(base findings, all findings, number of layers that were too large) of a text."""
+    """(base findings, all findings, number of runs not opened in full) of a text."""
     base, found, large = scan_layers(text)
     return base, found, len(large)
 
@@ -330,13 +403,13 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redacted_text(text: str) -> str:
-    """``text`` without its findings and without the runs whose layers are too large."""
+    """``text`` without its findings and without the runs that were not opened in full."""
     _, found, large = scan_layers(text)
     return redact(text, sorted(found + [(a, len(KINDS), z) for a, z in large]))
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with the secrets of ``text`` and base64 runs of too large layers replaced, and ``n_chars``, if there is
+    """``docs`` with the secrets of ``text`` and runs not opened in full replaced, and ``n_chars``, if there is
     such a column, counted anew; null texts stay null, other columns stay."""
     bound_batches(docs.sparkSession)
 

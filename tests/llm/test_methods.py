@@ -170,15 +170,16 @@ def test_secrets_in_layers(layer):
     assert secrets.scan(secrets.redact(text, spans))[1] == []
 
 
-def test_layers_end():
+def test_layers_end(monkeypatch):
     deep = SECRET
     for _ in range(12):
         deep = b64(deep.encode())
     assert len(secrets.scan(deep)[1]) == 1
     percent = "%25" * 30
     assert secrets.scan(percent)[1:] == ([], 0)
-    bomb = b64(gzip.compress(bytes(secrets.MAX_LAYER_BYTES + 1)))
-    assert secrets.scan(f"x {bomb} y")[2] == 1
+    monkeypatch.setattr(secrets, "MAX_DECODED", 1 << 20)
+    bomb = b64(gzip.compress(bytes((1 << 20) + 1)))
+    assert secrets.scan(f"x {bomb} y")[2] == 1 and secrets.redacted_text(f"x {bomb} y") == "x [SECRET] y"
 
 
 def test_members_and_large_layers(monkeypatch):
@@ -193,14 +194,68 @@ def test_members_and_large_layers(monkeypatch):
                 continue
             text = f"x {b64(data)} y"
             assert secrets.scan(text)[1:] == ([(2, 0, len(text) - 2)], 0), pack
-    monkeypatch.setattr(secrets, "MAX_LAYER_BYTES", 1 << 16)
+    # streams of many pieces: wherever the secret stands, and compressed once more
     monkeypatch.setattr(secrets, "PIECE", 1 << 12)
-    monkeypatch.setattr(secrets, "OVERLAP", 1 << 8)
-    for before in (1 << 10, (1 << 16) - 8, (1 << 17) - 5, 1 << 18):
-        text = f"x {b64(gzip.compress(b' ' * before + SECRET.encode() + b' ' * (1 << 17)))} y"
-        assert secrets.scan(text)[1:] == ([(2, 0, len(text) - 2)], 1)
-    large = b64(bz2.compress(b"plain words " * (1 << 14)))
-    assert secrets.scan(f"x {large} y")[1:] == ([], 1) and secrets.redacted_text(f"x {large} y") == "x [SECRET] y"
+    rng = random.Random(3)
+    noise = "".join(rng.choice("plain words, é. ") for _ in range(1 << 16)).encode()
+    for before in (0, 1 << 10, (1 << 12) - 8, (1 << 13) - 5, 1 << 16):
+        inner = noise[:before] + b" " + SECRET.encode() + b" " + noise
+        for data in (gzip.compress(inner), bz2.compress(gzip.compress(inner)), lzma.compress(zlib.compress(bz2.compress(inner))),
+                     zstandard.compress(gzip.compress(zstandard.compress(inner)))):
+            text = f"x {b64(data)} y"
+            _, found, unopened = secrets.scan(text)  # stored bytes read at other places may look like more
+            assert (2, 0, len(text) - 2) in found and {s[::2] for s in found} == {(2, len(text) - 2)} and unopened == 0
+    # values, escapes and base64 runs of any length over the ends of pieces
+    for inner in (b"password=" + b"h" * 50_000, b"password" + b" " * 20_000 + b"=" + b" " * 9_000 + b"hunter2hunter2",
+                  "".join(f"%{b:02x}" for b in SECRET.encode() * 2_000).encode(),
+                  b64(gzip.compress(rng.randbytes(30_000) + SECRET.encode())).encode(), (SECRET + " ").encode("utf-16") * 900):
+        text = f"x {b64(gzip.compress(noise[:4000] + b',' + inner + b', end'))} y"
+        assert (2, 0, len(text) - 2) in secrets.scan(text)[1] and secrets.scan(text)[2] == 0, inner[:20]
+    # an unbroken run that is too long is counted, and redacted whole
+    monkeypatch.setattr(secrets, "MAX_RUN", 1 << 14)
+    large = b64(gzip.compress(b"plain, " + b"x" * (1 << 16) + b", words"))
+    assert secrets.scan(f"x {large} y")[2] == 1 and secrets.redacted_text(f"x {large} y") == "x [SECRET] y"
+
+
+def test_undecodable_bytes_hide_nothing():
+    """One bad byte or point beside an escaped secret leaves the secret readable."""
+    hexed, wide = "".join(f"%{b:02x}" for b in SECRET.encode()), "".join(f"\\u{ord(c):04x}" for c in SECRET)
+    for layer in (f"%E9{hexed}", f"{hexed}%FF", f"%c3{hexed}%e2%82", f"\\u{{FFFFFF}}{wide}", f"{wide}\\ud800", f"\\UFFFFFFFF{wide}",
+                  "".join(f"\\U{ord(c):08x}" for c in SECRET), f"{wide[:30]}\\x70\\xff"[:0] + f"\\xff{wide}",
+                  b64(b"\xff\xfe\xfd" + SECRET.encode() + b"\xff"), b64(f"%E9{hexed}%FF".encode())):
+        text = f"héllo [ {layer} ] end"
+        assert [k for _, k, _ in secrets.scan(text)[1]] == [0], layer
+        assert secrets.scan(secrets.redacted_text(text))[1] == []
+
+
+def test_random_nestings():
+    """Any chain of encodings, with noise around each layer, is undone."""
+    import lzma
+
+    import zstandard
+    rng = random.Random(11)
+
+    def noise(kind):
+        return rng.choice([b"", b" ", b", ", b"\n", b"; x ", b"(" if kind else b"%E9 ", "é ".encode()])
+    wraps = {
+        "url": lambda b: "".join(f"%{x:02X}" for x in b).encode(),
+        "unicode": lambda b: "".join(f"\\u{ord(c):04x}" for c in b.decode("utf-8", "replace")).encode(),
+        "hexed": lambda b: "".join(f"\\x{ord(c):02x}" if ord(c) < 256 else c for c in b.decode("utf-8", "replace")).encode(),
+        "base64": lambda b: base64.b64encode(b), "web": lambda b: base64.urlsafe_b64encode(b),
+        "gzip": lambda b: base64.b64encode(gzip.compress(b)), "bz2": lambda b: base64.b64encode(bz2.compress(b)),
+        "xz": lambda b: base64.b64encode(lzma.compress(b)), "zstd": lambda b: base64.b64encode(zstandard.compress(b)),
+        "twice": lambda b: base64.b64encode(zlib.compress(gzip.compress(b))),
+        "lines": lambda b: b"\n> ".join(base64.b64encode(b)[i:i + 12] for i in range(0, len(base64.b64encode(b)), 12)),
+    }
+    for k in range(150):
+        chain = [rng.choice(list(wraps)) for _ in range(rng.randrange(1, 5))]
+        data = SECRET.encode()
+        for name in chain:
+            data = noise(name == "lines") + wraps[name](b" " + data + b" ") + rng.choice([b"", b" ", b"\n", b", y"])
+        text = "see " + data.decode("utf-8", "replace")
+        found = secrets.scan(text)
+        assert any(kind == 0 for _, kind, _ in found[1]), chain
+        assert secrets.scan(secrets.redacted_text(text))[1] == [], chain
 
 
 @pytest.mark.parametrize("inner", [SECRET.encode(), gzip.compress(SECRET.encode()), bz2.compress(SECRET.encode()),
@@ -213,8 +268,8 @@ def test_base64_with_something_in_front(inner):
         assert kind == 0 and a <= text.index(code) and z == len(text) - 4, front
 
 
-@pytest.mark.parametrize("width", [20, 64, 76])
-@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+@pytest.mark.parametrize("width", [12, 20, 64, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  ", "\n> ", "\r\n> > "])
 def test_wrapped_base64(width, end):
     for inner in (b"x" * 43 + SECRET.encode() + b"y" * 40, gzip.compress(random.Random(1).randbytes(400) + SECRET.encode())):
         code = b64(inner)
