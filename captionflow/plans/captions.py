@@ -11,7 +11,7 @@ from ..operators import captions as C
 from ..operators import topics as T
 from ..operators import transcript as TR
 from ..functions import scalars as S
-from ..session import CLUSTERED_JOINS, drop_staged, stage_buckets, stage_clustered
+from ..session import CLUSTERED_JOINS, drop_staged, stage_buckets, stage_clustered, stage_table
 
 
 @dataclass
@@ -28,6 +28,9 @@ class CaptionTables:
     # more (window, term, segment) needs no further shuffle.
     materialize: bool = True
     buckets: int | None = None
+    # Videos of more cues than this are folded in chunks by several tasks (found by a
+    # count of cues by video); none by default.
+    long_cues: int | None = None
 
     def __post_init__(self):
         self._cache: dict[str, DataFrame] = {}
@@ -56,7 +59,16 @@ class CaptionTables:
 
     @property
     def cue_windows(self):
-        return self._get("cue_windows", lambda: C.clean_and_window(self.cues, elapsed=self.elapsed, partitions=self.buckets), stage=True)
+        def build():
+            if self.long_cues is None:
+                return C.clean_and_window(self.cues, elapsed=self.elapsed, partitions=self.buckets)
+            long = self._get("long_videos", lambda: stage_table(self.cues.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
+                                                                .where(F.col("n") > self.long_cues).select("video_id"), "long-videos"))
+            short = self.cues.join(long, "video_id", "left_anti")
+            return C.clean_and_window(short, elapsed=self.elapsed, partitions=self.buckets).unionByName(
+                C.clean_and_window_chunked(self.cues.join(long, "video_id", "left_semi"), elapsed=self.elapsed)
+                .repartition(*([self.buckets] if self.buckets else []), "video_id"))
+        return self._get("cue_windows", build, stage=True)
 
     @property
     def windows(self):

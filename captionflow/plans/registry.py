@@ -61,6 +61,15 @@ def q_strip_rollup(spark, sf_dir):
     return _captions(spark, sf_dir, materialize=False).cue_windows.select("video_id", "seq", "clean_text")
 
 
+@register("strip_rollup_chunked", O.sql("SELECT video_id, seq, clean_text, win FROM cue_windows", "cue_windows"))
+def q_strip_rollup_chunked(spark, sf_dir):
+    """The fold of long videos, in chunks of 16 cues whose starts are guessed, for every
+    video: the same texts and windows."""
+    from ..operators.captions import clean_and_window_chunked
+    cues = X.fx_cues(X.table(spark, sf_dir, "documents"))
+    return clean_and_window_chunked(cues, chunk_cues=16, warm_cues=2).select("video_id", "seq", "clean_text", "win")
+
+
 @register("adaptive_windows", O.sql("SELECT video_id, seq, start_ms, end_ms, win FROM cue_windows", "cue_windows"))
 def q_adaptive_windows(spark, sf_dir):
     return _captions(spark, sf_dir, materialize=False).cue_windows.select("video_id", "seq", "start_ms", "end_ms",

@@ -58,3 +58,44 @@ def test_partial_merge_equals_one_shot(spark, rows, cut):
         "video_id", "publish_date", "title", "subtitle_downloaded", "info_downloaded", "has_no_subtitle",
         "playlists").collect())
     assert got == want
+
+
+def test_chunked_fold_equals_the_sequential_one(spark):
+    """Rolling texts over few words, so that guesses are wrong at many starts and wrong
+    again after a chunk is folded anew; gaps in time and in numbers; both clocks."""
+    import random
+    from captionflow.operators.captions import clean_and_window, clean_and_window_chunked
+    rng = random.Random(8)
+    rows = []
+    for v in range(12):
+        at, seq, words = 0, rng.randrange(3), ["a"]
+        for _ in range(rng.choice((1, 5, 60, 200))):
+            kind = rng.random()
+            words = (words + [rng.choice("ab")] if kind < 0.6 else words if kind < 0.75 else [rng.choice("ab")] if kind < 0.95 else [])[-9:]
+            start, at = at, at + rng.choice((200, 900, 4_000, 31_000))
+            rows.append((f"v{v}", "en", seq, start, at, rng.choice((" ".join(words), f"<i>{' '.join(words)}</i>", " ")) if words else None))
+            seq += rng.choice((1, 1, 1, 2, 7))
+    cues = spark.createDataFrame(rows, "video_id string, lang string, seq long, start_ms long, end_ms long, raw_text string").repartition(5)
+    for elapsed in ("total", "component"):
+        want = sorted(map(repr, clean_and_window(cues, elapsed=elapsed).collect()))
+        for chunk, warm in ((3, 0), (5, 2), (64, 8)):
+            assert sorted(map(repr, clean_and_window_chunked(cues, elapsed, chunk_cues=chunk, warm_cues=warm).collect())) == want
+    t = CaptionTables(cues, long_cues=50)
+    assert sorted(map(repr, t.cue_windows.collect())) == sorted(map(repr, clean_and_window(cues).collect()))
+
+
+def test_one_long_video_uses_several_tasks(spark):
+    from captionflow.operators.captions import clean_and_window, clean_and_window_chunked
+    cues = spark.range(0, 60_000, numPartitions=4).selectExpr(
+        "'one' AS video_id", "'en' AS lang", "id AS seq", "id * 2000 AS start_ms", "id * 2000 + 1900 AS end_ms",
+        "concat('w', id div 3, ' ', 'x', id, ' end') AS raw_text")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = clean_and_window_chunked(cues, chunk_cues=5_000)
+        tasks = got.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks > 1
+        cols = [F.count(F.lit(1)), F.sum(F.xxhash64("seq", "clean_text", "win").cast("decimal(38,0)"))]
+        assert got.agg(*cols).first() == clean_and_window(cues).agg(*cols).first()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
