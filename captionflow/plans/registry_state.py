@@ -240,6 +240,17 @@ def q_upsert_listing(spark, d):
     return u.select(*[c for c in MERGE_COLS if c != "ord"], _pl(), "src")
 
 
+@register("upsert_listing_buckets", O.sql("SELECT * EXCLUDE (src) FROM upserted", "upserted"))
+def q_upsert_listing_buckets(spark, d):
+    """The same upsert into a state kept in buckets: only those that the listing hits are
+    read and rewritten; the whole table is read back."""
+    from .state_buckets import read_buckets, upsert_buckets, write_buckets
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/buckets-{uuid.uuid4().hex}"
+    write_buckets(ST.dedup_state(_obs_rows(spark, d)), path, buckets=32)
+    upsert_buckets(spark, path, ST.fill_dates(_listing(spark, d), _history(spark, d)), PLAYLIST_CTX, buckets=32)
+    return read_buckets(spark, path).select(*[c for c in MERGE_COLS if c != "ord"], _pl())
+
+
 O.cte("target", """
 SELECT h.video_id, h.channel_id, h.uploader_id
 FROM (SELECT arg_min(video_id, ord) AS video_id FROM listing_c) f JOIN history h USING (video_id)""",

@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from captionflow.functions import scalars as S
 from captionflow.operators import state as ST
 from captionflow.sources import state_files as SF
@@ -141,3 +143,37 @@ def test_reverse_import_rules(spark):
     tgt = spark.createDataFrame([("ch1", "@u1")], "channel_id string, uploader_id string")
     got = sorted(r.video_id for r in ST.reverse_import(state, hist, tgt, "handle").collect())
     assert got == ["h1", "h2", "h3"]
+
+
+def test_upsert_rewrites_only_the_buckets_it_hits(spark):
+    """A listing of 1 % of the ids leaves the other buckets' files as they are; the table
+    is the plain upsert's; an upsert that fails leaves it alone; again changes nothing."""
+    import glob
+    import os
+    import tempfile
+    import pytest
+    from captionflow.plans.state_buckets import bucket_of, read_buckets, upsert_buckets, write_buckets
+    path = os.path.join(tempfile.mkdtemp(prefix="buckets-", dir="/tmp"), "state")
+    state = spark.range(500).selectExpr("concat('v', id) AS video_id", "id AS ord", "if(id % 3 = 0, 'N/A', concat('t', id)) AS title",
+                                        "id % 5 = 0 AS subtitle_downloaded")
+    write_buckets(state, path, 64)
+    listing = spark.createDataFrame([("v3", 1, "new title"), ("v4", 2, "other"), ("v999", 3, "unseen"), ("v3", 4, "again")],
+                                    "video_id string, ord long, title string")
+
+    def files():
+        return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/bucket=*/*.parquet")}
+    before = files()
+    with pytest.raises(Exception, match="lost"):
+        upsert_buckets(spark, path, listing.withColumn("title", F.when(F.col("video_id") == "v999", F.raise_error(F.lit("lost")))), "PL", 64)
+    assert files() == before
+    hit = {r[0] for r in listing.select(bucket_of("video_id", 64)).distinct().collect()}
+    for _ in range(2):
+        rows = upsert_buckets(spark, path, listing, "PL", 64)
+        assert {r.video_id: r.src for r in rows.where("video_id in ('v3', 'v4', 'v999')").collect()}["v3"] == "state"
+        after = files()
+        kept = {f for f in before if int(f.split("bucket=")[1].split("/")[0]) not in hit}
+        assert len(hit) <= 3 and {f: t for f, t in after.items() if f in kept} == {f: before[f] for f in kept}
+        assert not (set(after) - kept) & set(before)
+        want = ST.upsert_listing(state, listing, "PL").withColumn("ord", F.col("ord.ord")).drop("src")
+        got = read_buckets(spark, path).select(*want.columns)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
