@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from ..session import drop_table_path, stage_table
 
 #: Bytes of text that one Arrow batch may carry to a Python worker.
 ARROW_BATCH_BYTES = 4 * 1024 * 1024
-#: A lookup side is broadcast up to this many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: A lookup side is broadcast up to this many rows and bytes; beyond it the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 #: ``crc32(doc_id as text) mod FOLDS`` is 0 for the held-out rows.
 FOLDS = 5
 
@@ -68,6 +69,22 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def size_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def size_checked(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``most_bytes`` bytes,
+    strings counted by their length."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= rows and size["b"] <= most_bytes else df
+
+
+def first_by_bytes(rows: DataFrame, order: list[str], size: Callable, most_bytes: int) -> list:
+    """Rows in order until their sizes add up to ``most_bytes``: what the driver may hold.
+    The rows are written first, so that they are read in order without computing them again."""
+    staged, out, held = stage(rows, "sample"), [], 0
+    for r in staged.orderBy(*order).toLocalIterator():
+        held += size(r)
+        if out and held > most_bytes:
+            break
+        out.append(r)
+    drop_stage(staged)
+    return out

@@ -12,6 +12,7 @@ set aside, turns margins into scores of 0 to 1.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,13 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import texthash
-from .common import bound_batches, held_out, size_checked, text_or_empty
+from .common import bound_batches, first_by_bytes, held_out, size_checked, text_or_empty
 
 SHAPE_SLOTS = 1 << 15
 WORD_SLOTS = 1 << 16
 SLOTS = SHAPE_SLOTS + WORD_SLOTS
 #: Most training rows of each class that the hinge-loss fit reads.
 SAMPLE_PER_CLASS = 3000
+#: Most bytes of indicators of the sample, which the driver holds.
+SAMPLE_BYTES = 256 << 20
 THRESHOLD = 0.3
 COST = 1.0
 EPOCHS = 12
@@ -98,11 +101,11 @@ def sample_labels(known: DataFrame, per_class: int) -> DataFrame:
     return F.broadcast(picked)
 
 
-def class_counts(rows: DataFrame) -> np.ndarray:
+def class_counts(rows: DataFrame, features: Callable[[np.ndarray], np.ndarray] = features, slots: int = SLOTS) -> np.ndarray:
     """Rows of each class that have each indicator, over all training rows: counted
     in each task, then summed; at most two numbers a slot reach the driver."""
     def count(batches):
-        n = np.zeros((2, SLOTS), np.int64)
+        n = np.zeros((2, slots), np.int64)
         for b in batches:
             for y, data in zip(b.column("y").to_pylist(), texthash.rows(b.column("text"))):
                 n[y][features(data)] += 1
@@ -110,7 +113,7 @@ def class_counts(rows: DataFrame) -> np.ndarray:
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[0][some]), pa.array(n[1][some])],
                                              ["slot", "n0", "n1"])
-    out = np.zeros((2, SLOTS), np.int64)
+    out = np.zeros((2, slots), np.int64)
     for r in rows.select("y", "text").mapInArrow(count, "slot int, n0 long, n1 long") \
             .groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect():
         out[:, r["slot"]] = r["n0"], r["n1"]
@@ -123,10 +126,12 @@ def log_count_ratio(counts: np.ndarray, smooth: float = 1.0) -> np.ndarray:
 
 
 def sample_rows(docs: DataFrame, known: DataFrame, per_class: int) -> list[tuple[int, np.ndarray]]:
-    """(class, slots) of the documents of a bounded sample of labels, in a fixed order."""
+    """(class, slots) of the documents of a bounded sample of labels, in a fixed order:
+    at most ``per_class`` of each class, and ``SAMPLE_BYTES`` of slots in all."""
     slots = F.arrow_udf(lambda c: pa.array([features(d).tobytes() for d in texthash.rows(c)], pa.binary()), "binary")
-    rows = training_rows(docs, sample_labels(known, per_class)).select("o", "doc_id", "y", slots("text").alias("slots")).collect()
-    return [(r["y"], np.frombuffer(r["slots"], np.int32)) for r in sorted(rows, key=lambda r: (r["o"], str(r["doc_id"]), r["slots"]))]
+    rows = training_rows(docs, sample_labels(known, per_class)).select("o", "doc_id", "y", slots("text").alias("slots"))
+    kept = first_by_bytes(rows, ["o", "doc_id", "slots"], lambda r: len(r["slots"]), SAMPLE_BYTES)
+    return [(r["y"], np.frombuffer(r["slots"], np.int32)) for r in kept]
 
 
 def dual_coordinate_descent(x: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray,
@@ -196,15 +201,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     no training rows, or of one class alone, every score is that of the prior."""
     bound_batches(docs.sparkSession)
     known = training_labels(labels, "quality")
-    scale = log_count_ratio(class_counts(training_rows(docs, size_checked(known))))
+    counts = class_counts(training_rows(docs, size_checked(known)))
     sample = sample_rows(docs, known, per_class)
     x = [s for _, s in sample]
     y = np.array([1.0 if t else -1.0 for t, _ in sample])
     n1, n0 = int((y > 0).sum()), int((y < 0).sum())
     if not n1 or not n0:
-        return QualityModel(np.zeros(SLOTS), scale, 0.0, 1.0, math.log((n1 + 1) / (n0 + 1)))
+        return QualityModel(np.zeros(SLOTS), log_count_ratio(counts), 0.0, 1.0, math.log((n1 + 1) / (n0 + 1)))
     aside = np.arange(len(x)) % 4 == 3 if min(n0, n1) >= 8 else np.ones(len(x), bool)
     learn = ~aside if min(n0, n1) >= 8 else aside
+    if (aside != learn).all():  # margins of rows set aside are only fair if the ratios do not know them
+        for i in np.flatnonzero(aside):
+            counts[int(y[i] > 0)][x[i]] -= 1
+    scale = log_count_ratio(counts)
     pick = np.flatnonzero(learn)
     cost = COST * np.where(y[pick] > 0, 1.0, n1 / n0)
     w, b = dual_coordinate_descent([x[i] for i in pick], y[pick], scale, cost)

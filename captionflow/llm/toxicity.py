@@ -5,9 +5,13 @@ word indicators; the model of a category also gets the probabilities of the
 categories before it. In training these are out-of-fold predictions, so that a
 later model sees earlier probabilities as honest as those it will get in use.
 
-A category's labels are the ``toxic`` label, narrowed to documents that use a word
-of the category's list; the last category is the label itself. Lists serve the
-labels of training rows only; they are no inputs of a score.
+One label is given, so the earlier categories are found in the labelled rows: the
+indicators that tell toxic documents from others, by their counts over all training
+rows, fall into two groups by which of them occur together in toxic documents (the sign
+of their loading on the first principal direction). A category's labels are the toxic
+documents with an indicator of its group; the last category is the label itself.
+Indicators are chosen anew for every fold, from counts without the fold's rows, so an
+out-of-fold prediction owes nothing to the row it is made for.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import texthash
-from .common import bound_batches, held_out
-from .quality import sample_labels, training_labels, training_rows
+from .common import bound_batches, first_by_bytes, held_out, size_checked
+from .quality import SAMPLE_BYTES, class_counts, sample_labels, training_labels, training_rows
 
 SLOTS = 1 << 18
 #: Bytes of a word's start that make an indicator of their own.
@@ -36,12 +40,7 @@ THRESHOLD = 0.4
 FOLDS = 5
 U64 = np.uint64
 
-# The words that narrow the toxic label to a category.
-CATEGORIES = {
-    "insult": ("clown", "idiot", "loser", "moron", "stupid"),
-    "contempt": ("disgusting", "pathetic", "scum", "trash", "worthless"),
-    "toxic": None,
-}
+NAMES = ("group_1", "group_2", "toxic")
 
 
 def features(data: np.ndarray) -> np.ndarray:
@@ -130,15 +129,15 @@ class Chain:
         return p
 
 
-def telling(x: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def telling(counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """By slot, the log-likelihood ratio statistic of indicator and class, 0 where the
-    indicator is no likelier in class 1."""
-    if not x:
-        return np.zeros(SLOTS)
-    with_1 = np.bincount(np.concatenate([*(i for i, t in zip(x, y) if t > 0), np.zeros(0, np.int32)]), minlength=SLOTS)
-    with_any = np.bincount(np.concatenate(x), minlength=SLOTS)
-    n1, n = float((y > 0).sum()), float(len(x))
-    out = np.zeros(SLOTS)
+    indicator is no likelier in class 1. ``counts``: rows of class 0 and 1 that have an
+    indicator; ``rows``: rows of each class."""
+    with_1, with_any = counts[1].astype(float), counts.sum(axis=0).astype(float)
+    n1, n = float(rows[1]), float(rows.sum())
+    if not n:
+        return np.zeros(counts.shape[1])
+    out = np.zeros(counts.shape[1])
     for seen, of in ((with_1, n1), (with_any - with_1, n - n1)):
         for part, whole in ((seen, with_any), (of - seen, n - with_any)):
             mean = whole * of / n
@@ -146,52 +145,98 @@ def telling(x: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.where(with_1 * n > with_any * n1, out, 0)
 
 
-def fit_chain(x: list[np.ndarray], y: np.ndarray, names: tuple[str, ...], folds: int = FOLDS) -> Chain:
-    """``y``: rows by categories, 0 or 1."""
-    known = np.flatnonzero(np.any([telling(x, y[:, k]) >= MIN_RATIO for k in range(len(names))], axis=0))
-    slot_of = np.full(SLOTS, -1, np.int32)
-    slot_of[known] = np.arange(len(known))
-    cols = [c[c >= 0] for c in (slot_of[i] for i in x)]
-    fold = np.arange(len(x)) % folds
+def counted(x: list[np.ndarray], y: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Rows of each class (``y``: 0 or 1) among ``which`` that have each indicator."""
+    return np.array([np.bincount(np.concatenate([np.zeros(0, np.int32), *(x[i] for i in which if y[i] == t)]), minlength=SLOTS)
+                     for t in (0, 1)])
+
+
+def groups(x: list[np.ndarray], slots: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """For each of ``slots`` its group, 0 or 1: the sign of its loading on the first
+    principal direction of the rows ``x`` over these slots."""
+    at = np.full(SLOTS, -1)
+    at[slots] = np.arange(len(slots))
+    cols = [c[c >= 0] for c in (at[i] for i in x)]
+    who, col = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate([np.zeros(0, np.int64), *cols]).astype(np.int64)
+    mean = np.bincount(col, minlength=len(slots)) / max(1, len(cols))
+    v = np.cos(np.arange(len(slots)) + 1.0)  # any start that is not symmetric
+    for _ in range(rounds):
+        score = np.bincount(who, v[col], len(cols)) - mean @ v
+        v = np.bincount(col, score[who], len(slots)) - mean * score.sum()
+        size = np.linalg.norm(v)
+        if not size:
+            break
+        v /= size
+    return (v > 0).astype(int)
+
+
+def category_labels(x: list[np.ndarray], y: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Rows by categories: the toxic rows with an indicator of each group, and all toxic ones."""
+    toxic = [x[i] for i in np.flatnonzero(y > 0)]
+    of = np.full(SLOTS, -1)
+    of[slots] = groups(toxic, slots)
+    out = np.zeros((len(x), 3))
+    out[:, 2] = y
+    for i in np.flatnonzero(y > 0):
+        for k in (0, 1):
+            out[i, k] = float((of[x[i]] == k).any())
+    return out
+
+
+def fit_chain(x: list[np.ndarray], y: np.ndarray, names: tuple[str, ...], folds: int = FOLDS, counts: np.ndarray | None = None,
+              rows: np.ndarray | None = None) -> Chain:
+    """``y``: rows by categories, 0 or 1. ``counts`` and ``rows``: indicators and rows of each
+    class of the last category over all training rows, these included (else only these)."""
+    every, last = np.arange(len(x)), y[:, -1] if len(x) else np.zeros(0)
+    if counts is None:
+        counts, rows = counted(x, last, every), np.array([(last == 0).sum(), (last == 1).sum()])
+
+    def columns(without: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], int]:
+        """slot -> column for the indicators that tell, by counts without some rows."""
+        less = np.array([(last[without] == t).sum() for t in (0, 1)])
+        known = np.flatnonzero(telling(counts - counted(x, last, without), rows - less) >= MIN_RATIO)
+        slot_of = np.full(SLOTS, -1, np.int32)
+        slot_of[known] = np.arange(len(known))
+        return slot_of, [c[c >= 0] for c in (slot_of[i] for i in x)], len(known)
+    fold = every % folds
+    slot_of, cols, n = columns(every[:0])
+    parts = [columns(every[fold == f]) for f in range(folds)] if len(names) > 1 else []
     out_of_fold = np.zeros((len(x), 0))
     weight, earlier, shift = [], [], []
     for k in range(len(names)):
-        w, e, b = logistic(cols, out_of_fold, y[:, k], len(known))
+        w, e, b = logistic(cols, out_of_fold, y[:, k], n)
         weight.append(w)
         earlier.append(e)
         shift.append(b)
-        p = np.zeros(len(x))
         if k + 1 < len(names):  # the last one feeds no other
-            for f in range(folds):
-                learn, rest = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-                wf, ef, bf = logistic([cols[i] for i in learn], out_of_fold[learn], y[learn, k], len(known))
+            p = np.zeros(len(x))
+            for f, (_, own, m) in enumerate(parts):
+                learn, rest = every[fold != f], every[fold == f]
+                wf, ef, bf = logistic([own[i] for i in learn], out_of_fold[learn], y[learn, k], m)
                 for i in rest:
-                    p[i] = _sigmoid(wf[cols[i]].sum() + out_of_fold[i] @ ef + bf)
+                    p[i] = _sigmoid(wf[own[i]].sum() + out_of_fold[i] @ ef + bf)
             out_of_fold = np.column_stack((out_of_fold, p))
-    return Chain(names, slot_of, np.array(weight).reshape(len(names), len(known)).astype(np.float32), earlier, shift)
-
-
-def category_labels(y: Column, text: Column, categories: dict = CATEGORIES) -> list[Column]:
-    out = []
-    for name, listed in categories.items():
-        used = F.lit(True) if listed is None else F.lower(text).rlike("(" + "|".join(listed) + ")")
-        out.append(F.when(used, y).otherwise(0).alias(name))
-    return out
+    return Chain(names, slot_of, np.array(weight).reshape(len(names), n).astype(np.float32), earlier, shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict = CATEGORIES, per_class: int = SAMPLE_PER_CLASS) -> Chain:
-    """The chain from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), from at
-    most ``per_class`` training rows of each class, those of least hashed id. With no
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Chain:
+    """The chain from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic). Indicators are
+    counted over all training rows; the models are fitted on at most ``per_class`` rows of
+    each class, those of least hashed id, and ``SAMPLE_BYTES`` of indicators. With no
     training rows every probability is one half or less."""
     bound_batches(docs.sparkSession)
+    known = training_labels(labels, "toxic")
+    every = training_rows(docs, size_checked(known))
+    counts = class_counts(every, features, SLOTS)
+    sizes = {r["y"]: r["n"] for r in every.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = F.arrow_udf(lambda c: pa.array([features(d).tobytes() for d in texthash.rows(c)], pa.binary()), "binary")
-    rows = training_rows(docs, sample_labels(training_labels(labels, "toxic"), per_class))
-    rows = rows.select("o", "doc_id", *category_labels(F.col("y"), F.col("text"), categories), slots("text").alias("slots"))
-    sample = sorted(rows.collect(), key=lambda r: (r["o"], str(r["doc_id"]), r["slots"]))
-    names = tuple(categories)
+    rows = training_rows(docs, sample_labels(known, per_class)).select("o", "doc_id", "y", slots("text").alias("slots"))
+    sample = first_by_bytes(rows, ["o", "doc_id", "slots"], lambda r: len(r["slots"]), SAMPLE_BYTES)
     x = [np.frombuffer(r["slots"], np.int32) for r in sample]
-    y = np.array([[float(r[n]) for n in names] for r in sample]).reshape(len(x), len(names))
-    return fit_chain(x, y, names)
+    y = np.array([float(r["y"]) for r in sample])
+    whole = np.array([sizes.get(0, 0), sizes.get(1, 0)])
+    known_slots = np.flatnonzero(telling(counts, whole) >= MIN_RATIO)
+    return fit_chain(x, category_labels(x, y, known_slots), NAMES, counts=counts, rows=whole)
 
 
 def chain_column(chain: Chain, text: Column) -> Column:
