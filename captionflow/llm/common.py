@@ -35,6 +35,17 @@ def drop_stage(*frames: DataFrame) -> None:
             drop_table_path(df.sparkSession, path)
 
 
+def reads_staged(df: DataFrame, *staged: DataFrame) -> DataFrame:
+    """``df``, which reads staged tables of its own: who has written ``df`` can delete them
+    with :func:`drop_inputs`."""
+    df._staged_inputs = staged
+    return df
+
+
+def drop_inputs(df: DataFrame) -> None:
+    drop_stage(*getattr(df, "_staged_inputs", ()))
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, so that long texts do not fill a worker. The bound
     stays in the session, for the plans of the operators run after they return."""

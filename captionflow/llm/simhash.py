@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import texthash
-from .common import bound_batches, drop_stage, free_name, stage
+from .common import bound_batches, drop_stage, free_name, reads_staged, stage
 from .components import connected_components
 
 SHINGLE = 3
@@ -245,4 +245,4 @@ def keep_one_per_component(docs: DataFrame, shingle: int = SHINGLE, max_bits: in
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("low"))
     keep = stage(low.select(F.col("low.rid").alias(rid)), "kept")
     # the kept rows grow with the documents: merged by key at every size
-    return whole.join(keep.hint("merge"), rid, "left_semi").select(*docs.columns)
+    return reads_staged(whole.join(keep.hint("merge"), rid, "left_semi").select(*docs.columns), whole, keep)
