@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from captionflow.llm import decontamination, packing, quality, secrets, simhash
-from captionflow.llm.common import stage, table
+from captionflow.llm.common import drop_inputs, drop_stage, stage, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each written before the next reads it."""
+    """Apply the stages to ``documents``, each written before the next reads it. A stage's
+    output, and what it had staged, goes when the next one's is written (the last stage
+    takes what it needs of its input before it returns)."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, function) in enumerate(STAGES):
-        docs = function(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stage(docs, f"pipeline-{name}")
+        made = function(spark, docs, sf_dir)
+        if k + 1 == len(STAGES):
+            drop_stage(docs)
+            return made
+        after = stage(made, f"pipeline-{name}")
+        drop_inputs(made)
+        drop_stage(docs)
+        docs = after
     return docs
