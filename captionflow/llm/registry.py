@@ -16,6 +16,7 @@ from . import (decontamination, licenses, packing, pii, prefix_trie, quality, qu
                toxicity, url_filter, variants)
 from ..session import ensure_checkpoint_dir
 from .common import table
+from .oracle_sql import ORACLE
 
 RULES = [
     url_filter.Rule("allow", "com", "/"),
@@ -119,4 +120,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
