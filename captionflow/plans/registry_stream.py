@@ -34,11 +34,16 @@ def _write_files(df, rows: int, batches: int, path: str, fmt: str) -> int:
     return max(1, -(-files // batches))
 
 
+def _partitions(spark) -> int:
+    """State partitions: each is a store of its own, so not more than the tables need."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def _sync(spark, d, batches):
     root = _scratch(spark, "stream-sync")
     events = X.table(spark, d, "events")
     per_batch = _write_files(X.fx_obs_rows(events), events.count(), batches, f"{root}/src", "json")
-    q = SS.stream_sync(spark, f"{root}/src", f"{root}/ckpt", per_batch)
+    q = SS.stream_sync(spark, f"{root}/src", f"{root}/ckpt", per_batch, partitions=_partitions(spark))
     q.awaitTermination()
     return root, SS.read_state(spark, f"{root}/ckpt")
 
@@ -74,7 +79,7 @@ def q_stream_pending(spark, d):
     outcomes = X.fx_outcomes(X.fx_obs(X.table(spark, d, "events")))
     dated = outcomes.join(state.select("video_id", "publish_date"), "video_id").withColumn("at", F.to_timestamp(F.lit(X.OUTCOME_AS_OF)))
     dated.write.json(f"{root}/outcomes")
-    q = SS.stream_pending(spark, f"{root}/outcomes", f"{root}/pending", f"{root}/ckpt2")
+    q = SS.stream_pending(spark, f"{root}/outcomes", f"{root}/pending", f"{root}/ckpt2", partitions=_partitions(spark))
     q.awaitTermination()
     s = SS.apply_decisions(state, spark.read.schema(SS.DECISIONS).parquet(f"{root}/pending"))
     return s.select("video_id", "subtitle_downloaded", "has_no_subtitle")
@@ -104,7 +109,7 @@ def q_stream_retries(spark, d):
     obs = X.fx_obs(X.table(spark, d, "events"))
     for j in range(X.FETCH_ROUNDS):
         X.fx_dated_outcomes(obs, j).repartition(2).write.json(f"{root}/src/round={j}")
-    q = SS.stream_pending(spark, f"{root}/src/*", f"{root}/out", f"{root}/ckpt", files_per_trigger=3)
+    q = SS.stream_pending(spark, f"{root}/src/*", f"{root}/out", f"{root}/ckpt", files_per_trigger=3, partitions=_partitions(spark))
     q.awaitTermination()
     return spark.read.schema(SS.DECISIONS).parquet(f"{root}/out").select(
         "video_id", "decision", F.date_format("at", "yyyy-MM-dd").alias("day"))
