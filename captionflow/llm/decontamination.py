@@ -400,6 +400,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item, with all their columns."""
+    """The rows of ``docs`` that contain no benchmark item, with all their columns, whatever
+    their names. Repeated rows and null ids are judged one by one by their whole text; null
+    and empty texts contain nothing and stay; without a benchmark all rows stay; of an
+    empty table none. Repeated, null and empty benchmark rows change nothing."""
     name = free_name(docs, "matches")
     return with_matches(docs, benchmark, name, coverage).where(F.size(name) == 0).drop(name)

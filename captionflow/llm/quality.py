@@ -233,13 +233,18 @@ def score_column(model: QualityModel, text: Column) -> Column:
 
 def score_documents(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row; each row is scored on its
-    own whole text, so repeated rows and null ids are kept."""
+    own whole text, however long, so repeated rows and null ids are kept. Null and empty
+    texts get the model's base score; an empty table gives no rows; columns other than
+    doc_id and text are not read."""
     bound_batches(docs.sparkSession)
     scored = docs.select("doc_id", held_out().alias("held_out"), score_column(model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns."""
+    """The rows of ``docs`` that the classifier accepts, with all their columns, whatever
+    their names. Repeated rows and null ids are judged one by one by their whole text; null
+    and empty texts have the model's base score and stay if it reaches the threshold; of an
+    empty table nothing stays. Without labels of both classes the prior decides for all."""
     model = fit(docs, labels)
     return docs.where(score_column(model, F.col("text")) >= threshold)

@@ -410,7 +410,9 @@ def redacted_text(text: str) -> str:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with the secrets of ``text`` and runs not opened in full replaced, and ``n_chars``, if there is
-    such a column, counted anew; null texts stay null, other columns stay."""
+    such a column, counted anew; null texts stay null, other columns stay, whatever their
+    names. Repeated rows and null ids are redacted one by one, texts of any length whole; an
+    empty table stays empty."""
     bound_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
