@@ -58,3 +58,73 @@ def test_preview_over_several_windows(spark):
     assert got == {"v": "Alpha beta " + " ".join(f"w{k}" for k in range(10)) + "...", "u": "the"}
     short = {r.video_id: r.preview for r in segment_preview(windows.where("win <> 3"), segs).collect()}
     assert short["v"] == "Alpha beta late"
+
+
+def test_commit_holds_lists_not_names(monkeypatch):
+    """What a task tells the driver grows by a line for LISTED documents."""
+    import pyarrow as pa
+
+    from captionflow.sources import documents as D
+    monkeypatch.setattr(D, "LISTED", 10)
+    d = folder("docs")
+    writer = D._DocumentWriter({"path": d, "run": "_writing-x"})
+    batch = pa.RecordBatch.from_arrays([pa.array([f"f{k:03d}" for k in range(95)]), pa.array([D.ROW] * 95, pa.int32()), pa.array(["x"] * 95)],
+                                       ["file", "part", "piece"])
+    told = writer.write(iter([batch]))
+    assert len(told.lists) == 10
+    writer.commit([told, None])
+    names = [n for x in told.lists for n in json.load(open(f"{d}/_writing-x/{x}/names"))]
+    assert names == [f"f{k:03d}" for k in range(95)] and not os.path.exists(f"{d}/f000")
+
+
+def test_moves_can_be_made_again(spark):
+    from captionflow.sources import documents as D
+    d = folder("docs")
+    os.makedirs(f"{d}/_w/a/0")
+    json.dump(["x/one", "two"], open(f"{d}/_w/a/0/names", "w"))
+    json.dump(["a/0"], open(f"{d}/_w/lists.json", "w"))
+    for k in range(2):
+        open(f"{d}/_w/a/0/{k}", "w").write(str(k))
+    D._move_all(spark, d, "_w")
+    D._move_all(spark, d, "_w")  # an attempt that comes again finds them moved
+    assert open(f"{d}/x/one").read() == "0" and open(f"{d}/two").read() == "1"
+
+
+def test_many_small_files_are_few_tasks(spark):
+    from captionflow.sources.ranges import file_ranges
+    d = folder("small")
+    for k in range(300):
+        open(f"{d}/{k}.json", "w").write('{"videos": []}' * 20)
+    assert file_ranges(spark, d, ".json", 64).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_whole_files_by_address(spark):
+    from captionflow.sources import state_files as SF
+    from captionflow.sources.ranges import whole_files
+    d = folder("info")
+    for name in ("1/c-abcdefghijk.info.json", "1/_hidden.json", "2/c-bcdefghijkl.json", "2/deep/c-no-cdefghijklm.json", "c-defghijklmn.json", "2/empty.json"):
+        os.makedirs(os.path.dirname(f"{d}/{name}"), exist_ok=True)
+        open(f"{d}/{name}", "w").write("" if "empty" in name else '{"title": "é"}')
+
+    def names(path):
+        return sorted(r.name for r in whole_files(spark, path).collect())
+    assert names(f"file://{d}/*") == ["c-abcdefghijk.info.json", "c-bcdefghijkl.json", "c-defghijklmn.json"]
+    assert names(f"{d}/{{1,x}}/c-[a-c]*.json") == ["c-abcdefghijk.info.json"] and names(f"{d}/2") == ["c-bcdefghijkl.json"]
+    assert names(f"{d}/c-defghijklmn.json") == ["c-defghijklmn.json"]
+    assert sorted(r.video_id for r in SF.read_video_info(spark, f"{d}/[12]").collect()) == ["abcdefghijk", "bcdefghijkl"]
+
+
+def test_a_ranges_scan_takes_little_memory():
+    """Some bytes of memory for each byte of a range, and the same levels."""
+    import tracemalloc
+
+    import numpy as np
+
+    from captionflow.sources.ranges import RANGE_BYTES, _levels
+    plain = np.frombuffer(b'{"a": [1, "]"]}, ' * 60_000, np.uint8)
+    tracemalloc.start()
+    text, depth, after = _levels(plain, False)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 * len(plain) and RANGE_BYTES * 16 * 4 < 1 << 30
+    assert depth.tolist()[:17] == [1] * 6 + [2] * 7 + [1] + [0] * 3 and int(text[:17].sum()) == 4 and not after
