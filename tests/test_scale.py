@@ -128,3 +128,38 @@ def test_a_ranges_scan_takes_little_memory():
     tracemalloc.stop()
     assert most < 16 * len(plain) and RANGE_BYTES * 16 * 4 < 1 << 30
     assert depth.tolist()[:17] == [1] * 6 + [2] * 7 + [1] + [0] * 3 and int(text[:17].sum()) == 4 and not after
+
+
+def test_blocks_of_a_whole_file_are_those_of_its_lines():
+    """The cut of a file of one range and the walk over lines give the same blocks."""
+    import random
+
+    from captionflow.sources.ranges import Bytes, range_blocks
+
+    class File:
+        def __init__(self, data):
+            self.data = data
+
+        def read_at(self, n, at):
+            return self.data[at:at + n]
+    rng = random.Random(3)
+    for _ in range(3_000):
+        data = b"".join(rng.choice([b"\n", b"\r\n", b" ", b"\t", b"a", b"1 --> 2", b"\r", b"\xef\xbb\xbf"]) for _ in range(rng.randrange(1, 14)))
+        n = len(data)
+        walked = Bytes(File(data + b"\n\n"), n + 2, 0, n + 1)  # not the whole file: by lines
+        assert list(range_blocks(Bytes(File(data), n, 0, n))) == list(range_blocks(walked)), data
+
+
+def test_markdown_is_made_once(spark):
+    """The fragments are made once for the sizes and the packs."""
+    from captionflow.sources import sinks
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    rows = spark.createDataFrame([("en", f"v{k}", 0, 0, 0, "x") for k in range(50)],
+                                 "lang string, video_id string, part int, seg long, para int, fragment string")
+    sinks.write_markdown(rows.mapInArrow(count, rows.schema), os.path.join(folder("md"), "md"))
+    assert seen.value == 50
